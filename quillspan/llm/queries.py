@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import grouping, neighbours
+from quillspan.llm import grouping, near_copies, neighbours, splitting
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,4 +34,22 @@ def p3_neighbours(spark, sf):
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_profiles": p1_profiles, "p1_kmeans": p1_kmeans, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
+def p2_found(spark, sf):
+    return splitting.split_oversized(_t(spark, sf, "chunks"))
+
+
+def p2_cohesion(spark, sf):
+    return splitting.split_oversized(_t(spark, sf, "chunks"), method="cohesion")
+
+
+def p4_found(spark, sf):
+    return near_copies.near_copies(_t(spark, sf, "chunks"), _t(spark, sf, "stock_passages"), shingle_words=3, similarity=0.5)
+
+
+def p4_groups(spark, sf):
+    return near_copies.near_copy_groups(_t(spark, sf, "chunks"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profiles, p1_kmeans, p2_found, p2_cohesion, p3_found, p3_neighbours, p4_found, p4_groups)}
+
+SQL: dict[str, str] = {}
