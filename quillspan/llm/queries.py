@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import grouping, near_copies, neighbours, splitting
+from quillspan.llm import grouping, leaks, mixture, near_copies, neighbours, reading, splitting
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +50,38 @@ def p4_groups(spark, sf):
     return near_copies.near_copy_groups(_t(spark, sf, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profiles, p1_kmeans, p2_found, p2_cohesion, p3_found, p3_neighbours, p4_found, p4_groups)}
+def p6_found(spark, sf):
+    return leaks.leaked_documents(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
+def p6_spans(spark, sf):
+    return leaks.leaked_spans(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
+def p7_found(spark, sf):
+    return mixture.short_sources(_t(spark, sf, "documents"), _t(spark, sf, "source_targets"))
+
+
+def p7_report(spark, sf):
+    return mixture.Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets")).report()
+
+
+def p7_copies(spark, sf):
+    return mixture.Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets")).rates()
+
+
+def p8_found(spark, sf):
+    return reading.reading_bands(reading.reading_levels(_t(spark, sf, "documents")))
+
+
+def p8_profile(spark, sf):
+    docs = _t(spark, sf, "documents")
+    return reading.reading_profile(reading.reading_levels(docs), docs)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_profiles, p1_kmeans, p2_found, p2_cohesion, p3_found, p3_neighbours, p4_found, p4_groups, p6_found, p6_spans, p7_found, p7_report, p7_copies, p8_found, p8_profile)
+}
 
 SQL: dict[str, str] = {}
