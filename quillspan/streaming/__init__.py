@@ -1 +1 @@
-
+"""Stateful and streaming operators."""
