@@ -29,7 +29,7 @@ class ShardGraph:
     A shard of 0 or 1 points gives an index whose searches return what there is.
     """
 
-    def __init__(self, points: np.ndarray, degree: int = 12, beam: int = 12, alpha: float = 1.2, entries: int = 48):
+    def __init__(self, points: np.ndarray, degree: int = 48, beam: int = 20, alpha: float = 1.1, entries: int = 256):
         self.x = np.ascontiguousarray(points, dtype=np.float32)
         self.n = len(self.x)
         self.degree, self.beam, self.alpha2 = degree, beam, alpha * alpha
@@ -40,7 +40,7 @@ class ShardGraph:
             self._build()
 
     # -- search -----------------------------------------------------------
-    def search(self, queries: np.ndarray, k: int, beam: int | None = None, limit: int | None = None, starts: int = 2):
+    def search(self, queries: np.ndarray, k: int, beam: int | None = None, limit: int | None = None, starts: int = 6):
         """Beam search of every query: (ids, similarities), each (q x k), -1 / -inf where there are fewer."""
         ids, sims = [], []
         block = 1024

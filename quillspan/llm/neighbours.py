@@ -35,8 +35,9 @@ def vector_neighbours(
     queries: Callable[[Column], Column] | None = None,
     shard_rows: int = 2000,
     probes: int = 3,
-    degree: int = 20,
+    degree: int = 48,
     beam: int = 20,
+    search_beam: int = 16,
     alpha: float = 1.1,
 ) -> DataFrame:
     """For each usable vector its ``top`` most similar others: (chunk_id, neighbour_id, cosine, rank).
@@ -111,7 +112,7 @@ def vector_neighbours(
         is_query[cls[asked]] = True
         base, q = np.flatnonzero(is_home), np.flatnonzero(is_query)
         x = unit(raw[first])
-        got, sim = ShardGraph(x[base], degree, beam, alpha).search(x[q], top + 1)
+        got, sim = ShardGraph(x[base], degree, beam, alpha).search(x[q], top + 1, max(search_beam, top + 1))
         y = raw[first].astype(np.float64)
         y /= np.sqrt((y * y).sum(1, keepdims=True))
         hit = base[np.where(got >= 0, got, 0)] if len(base) else np.zeros(got.shape, int)
