@@ -36,8 +36,9 @@ class Context:
         return replace(self, label_ids=tuple(sorted(set(requested))))
 
 
+# Policies are filters: where they are NULL the row is hidden. Plain comparisons, so that they reach the scan.
 def tenant_policy(ctx: Context, column: str = "tenant_id") -> Column:
-    return F.lit(False) if ctx.tenant_id is None else F.coalesce(F.col(column) == ctx.tenant_id, F.lit(False))
+    return F.lit(False) if ctx.tenant_id is None else F.col(column) == ctx.tenant_id
 
 
 def label_policy(ctx: Context, labels: str = "label_ids") -> Column:
@@ -56,7 +57,7 @@ def uploader_policy(ctx: Context) -> Column:
 def history_policy(ctx: Context) -> Column:
     if ctx.reads_all_history:
         return F.lit(True)
-    return F.lit(False) if ctx.user_id is None else F.coalesce(F.col("user_id") == ctx.user_id, F.lit(False))
+    return F.lit(False) if ctx.user_id is None else F.col("user_id") == ctx.user_id
 
 
 #: Tables whose rows are visible if their parent row is: name -> (parent table, own key, parent key).
