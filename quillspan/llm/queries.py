@@ -119,7 +119,7 @@ shared AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.5 * (x.n + y.n - k)
 """,
     # Any tokenizer gives the same rows, and so do characters.
-    "p7_found": """
+    "p7_found": r"""
 WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents WHERE length(trim(source)) > 0 AND regexp_matches(text, '\S')),
 t AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
 SELECT lower(trim(g.source)) AS source FROM source_targets g LEFT JOIN t ON t.source = lower(trim(g.source))
