@@ -22,31 +22,33 @@ def suffix_order(s: np.ndarray, bits: int) -> np.ndarray:
         key <<= np.uint64(bits)
         if i < n:
             key[: n - i] |= s[i:].astype(np.uint64) + np.uint64(1)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
     size = np.diff(np.r_[head, n])
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = np.repeat(head, size) + 1
+    rank = np.empty(n + 1, np.int32)  # half the memory traffic; a shard has far fewer than 2**31 symbols
+    rank[order] = np.repeat(head.astype(np.int32) + 1, size)
     rank[n] = 0
-    tied = order[np.repeat(size > 1, size)]
+    tied = order[np.repeat(size > 1, size)].astype(np.int32)
     h = span
     while len(tied):
         first = rank[tied]
         second = rank[np.minimum(tied + h, n)]
         pair = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        at = np.argsort(pair, kind="stable")
+        at = np.argsort(pair)
         tied, pair, first = tied[at], pair[at], first[at]
         m = len(tied)
-        group = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        # A group keeps its first rank; those of equal pairs in it share the rank of the first of them.
         within = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         size = np.diff(np.r_[within, m])
-        begin = np.repeat(group, np.diff(np.r_[group, m]))
-        rank[tied] = first + np.repeat(within, size) - begin
+        head = first[within]
+        fresh = np.r_[True, head[1:] != head[:-1]]
+        begin = np.maximum.accumulate(np.where(fresh, within, 0))
+        rank[tied] = np.repeat((head + within - begin).astype(np.int32), size)
         tied = tied[np.repeat(size > 1, size)]
         h *= 2
-    order = np.empty(n, np.int64)
-    order[rank[:n] - 1] = np.arange(n)
+    order = np.empty(n, np.int32)
+    order[rank[:n] - 1] = np.arange(n, dtype=np.int32)
     return order
 
 
@@ -77,8 +79,8 @@ class FMIndex:
         self.n, self.bits = len(s), bits
         order = suffix_order(s, bits)
         # Row 0 is the empty suffix; its preceding symbol is the last one.
-        order = np.r_[self.n, order]
-        text = np.r_[s, 0].astype(np.int64)
+        order = np.r_[np.int32(self.n), order]
+        text = np.r_[s, np.uint8(0)]
         bwt = text[order - 1]
         self.end = int(np.flatnonzero(order == 0)[0])  # the row of the whole text has no preceding symbol
         marked = order % sample == 0
@@ -92,7 +94,7 @@ class FMIndex:
             bit = (seq >> b) & 1 == 1
             self.levels.append(_Bits(bit))
             self.zeros.append(int((~bit).sum()))
-            seq = np.r_[seq[~bit], seq[bit]]
+            seq = np.concatenate([seq[~bit], seq[bit]])
         self.start = self._down(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
 
     def _down(self, c: np.ndarray, pos: np.ndarray) -> np.ndarray:
