@@ -191,3 +191,18 @@ def anchor_found(text: Column, anchor: Column) -> Column:
     plain = F.contains(spaced(text), spaced(anchor))
     loose = ~anchor.rlike("\\p{Nd}") & F.contains(squashed(text), squashed(anchor))
     return F.coalesce((F.length(spaced(anchor)) > 0) & (plain | loose), F.lit(False))
+
+
+def _fold_series(words: pd.Series) -> pd.Series:
+    return words.map(fold, na_action="ignore")
+
+
+def accented_vocabulary(df: DataFrame, text_col: str) -> DataFrame:
+    """(folded, forms, plain): words with accented forms, by their form without accents: distinct forms, and whether the plain one occurs.
+
+    Words are made distinct before they are folded, so Python sees the vocabulary, not the corpus.
+    """
+    words = df.select(F.explode(F.expr(f"regexp_extract_all(`{text_col}`, '[\\\\p{{L}}]+', 0)")).alias("w")).select(F.lower("w").alias("w")).distinct()
+    f = words.withColumn("folded", F.pandas_udf(_fold_series, "string")("w"))
+    g = f.groupBy("folded").agg(F.count(F.lit(1)).alias("forms"), F.count_if(F.col("w") == F.col("folded")).alias("plain"), F.count_if(F.col("w") != F.col("folded")).alias("accented"))
+    return g.where("accented > 0").drop("accented")

@@ -139,14 +139,22 @@ def md5_uniform(column):
     return F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
 
 
-def interpolated(pairs: DataFrame, weights: list[float]) -> DataFrame:
-    """Points between neighbours: (a, b, weight, embedding) from pairs (a, b, va, vb), scaled to unit length."""
+def shares(df: DataFrame, whole: str, part: str, value: str) -> DataFrame:
+    """(part, whole, value, of_<whole>, cumulative): each part's share of its whole, and the running share in the order of the parts."""
+    w = Window.partitionBy(whole)
+    total = F.sum(value).over(w)
+    name = f"of_{whole.removesuffix('_id')}"
+    return df.select(part, whole, value, F.round(F.col(value) / total, 9).alias(name), F.round(F.sum(value).over(w.orderBy(part)) / total, 9).alias("cumulative"))
+
+
+def interpolated(pairs: DataFrame, weights: list[float], scaled: bool = True) -> DataFrame:
+    """Points between neighbours: (a, b, weight, embedding) from pairs (a, b, va, vb), scaled to unit length unless told otherwise."""
     from quillspan.functions.vector import l2_normalised
 
     w = F.explode(F.array(*[F.lit(float(x)) for x in weights]))
     p = pairs.select("a", "b", "va", "vb", w.alias("weight"))
     mix = F.zip_with("va", "vb", lambda x, y: x.cast("double") * (1 - F.col("weight")) + y.cast("double") * F.col("weight"))
-    return p.select("a", "b", "weight", l2_normalised(mix).alias("embedding"))
+    return p.select("a", "b", "weight", (l2_normalised(mix) if scaled else mix).alias("embedding"))
 
 
 def zipf_weights(spark, n: int, z: float) -> DataFrame:
