@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,7 @@ class Stored:
         spark = df.sparkSession
         self.spark = spark
         self.path = f"{shared_dir(spark)}/quillspan-{uuid.uuid4().hex}-{label}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
@@ -53,3 +55,11 @@ class Stored:
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back."""
     return Stored(df, label).df
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables this application wrote; results that have not been computed yet can no longer be. Returns how many."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for t in made:
+        t.drop()
+    return len(made)

@@ -38,7 +38,8 @@ def _classes() -> np.ndarray:
             kind[cp] = 1
         elif cp > 127 and unicodedata.category(ch) in ("Mn", "Me", "Cf"):
             kind[cp] = 2
-    kind[0x00AD] = 2
+    # Soft hyphen, Hangul fillers and the blank Braille cell, invisible whatever their category.
+    kind[[0x00AD, 0x115F, 0x1160, 0x2800, 0x3164, 0xFFA0]] = 2
     return kind
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.retrieval import bounded
 from quillspan.operators.security import AccessDenied
 
 
@@ -80,7 +81,7 @@ def merge_preview(documents: DataFrame, role_sets: DataFrame, sources, target: i
     sees = lambda d, r: (F.size(d) == 0) | F.arrays_overlap(F.col(d), F.col(r))
     # Only sets that hold a source or the target can change for any role.
     changing = sets.where(F.arrays_overlap(F.col("d"), F.array_union(s, _ids([target]))))
-    wider = changing.join(roles, ~sees("d", "r") & sees("d2", "r2"), "left_semi").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("visibility_widening"))
+    wider = changing.join(bounded(roles), ~sees("d", "r") & sees("d2", "r2"), "left_semi").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("visibility_widening"))
     return touched.agg(F.count(F.lit(1)).alias("documents_relabelled")).crossJoin(wider)
 
 
@@ -148,3 +149,15 @@ def in_namespace(name: str, namespace: str):
     """Whether a label name lies in a namespace of '/'-separated segments: 'legal/eu' is in 'legal', 'legal-hold' is not."""
     parts, whole = F.split(F.trim(F.col(name)), "/"), F.split(F.lit(namespace), "/")
     return F.slice(parts, F.lit(1), F.size(whole)) == whole
+
+
+def ensured_labels(tenants: DataFrame, labels: DataFrame, flag: str, name: str) -> DataFrame:
+    """(tenant_id, name) of all labels that carry ``flag``, with one made up for every tenant that lacks it."""
+    have = labels.where(F.col(flag)).select("tenant_id", "name")
+    lack = tenants.select(F.col("id").alias("tenant_id")).join(have, "tenant_id", "left_anti").withColumn("name", F.lit(name))
+    return have.unionByName(lack)
+
+
+def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is absent added to ``old``; of several with one key any one is added."""
+    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.retrieval import unit_rows
+
 
 def recall_mrr(results: DataFrame, truth: DataFrame, kinds: DataFrame, k: int = 8) -> DataFrame:
     """Per kind of question: (kind, questions, recall, mrr); a question's rank is that of its first true hit within k.
@@ -86,12 +90,32 @@ def ranking_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def label_shortlist(documents: DataFrame, labels: DataFrame, truth: DataFrame) -> DataFrame:
-    """(document_id, rank): position of the true label among all labels by cosine with the document's mean vector; labels are few, so they are broadcast after a check."""
-    from quillspan.functions.vector import cosine
-    from quillspan.operators.retrieval import bounded
+def label_shortlist(documents: DataFrame, labels: DataFrame, truth: DataFrame, most: int = 20_000) -> DataFrame:
+    """(document_id, rank): the best position of a true label among all labels, by cosine with the document's mean vector.
 
-    s = documents.select("document_id", F.col("embedding").alias("d")).crossJoin(bounded(labels.select("label_id", F.col("embedding").alias("l"))))
-    s = s.select("document_id", "label_id", F.round(cosine(F.col("d"), F.col("l")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("score").desc(), "label_id"))
-    return s.withColumn("rank", rank).join(truth, ["document_id", "label_id"], "left_semi").groupBy("document_id").agg(F.min("rank").alias("rank"))
+    ``documents`` (document_id, embedding), ``labels`` (label_id, embedding),
+    ``truth`` (document_id, label_id). Labels go to the tasks whole, so there
+    may be at most ``most``; equal cosines, to nine digits, rank by label_id.
+    Documents without a true label among the labels have no row.
+    """
+    rows = labels.where(F.col("embedding").isNotNull()).orderBy("label_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
+    known = documents.sparkSession.sparkContext.broadcast((np.array([r["label_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
+    own = truth.groupBy("document_id").agg(F.collect_set("label_id").alias("true"))
+    d = documents.join(own, "document_id").select(F.col("document_id").cast("bigint"), F.col("embedding").cast("array<double>"), F.col("true").cast("array<bigint>"))
+
+    def run(batches):
+        ids, lab = known.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = np.round(unit_rows(x) @ unit_rows(lab).T, 9)
+            place = np.empty(s.shape, np.int64)
+            np.put_along_axis(place, np.argsort(-s, axis=1, kind="stable"), np.broadcast_to(np.arange(1, s.shape[1] + 1), s.shape), 1)
+            got = [(doc, place[i, np.isin(ids, t)]) for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))]
+            got = [(doc, int(p.min())) for doc, p in got if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32())], ["document_id", "rank"])
+
+    return d.mapInArrow(run, "document_id bigint, rank int")

@@ -198,6 +198,21 @@ def excerpt(chunks: DataFrame, n: int = 6) -> DataFrame:
     return first.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), "\n").alias("excerpt"))
 
 
+def boxes_in_slice(text: str, words: list[tuple[str, object]], start: int, end: int) -> list:
+    """Boxes of the words of a page, in order, that overlap text[start:end]; words are found one after the other."""
+    out, at = [], 0
+    for word, box in words:
+        found = text.find(word, at)
+        if found < 0:
+            continue
+        at = found + len(word)
+        if found >= end:
+            break
+        if at > start:
+            out.append(box)
+    return out
+
+
 # -- tables -----------------------------------------------------------------
 def table_cell(value: str | None) -> str:
     return re.sub(r"\s*\n\s*", " ", (value or "").strip()).replace("|", "\\|")

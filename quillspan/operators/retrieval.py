@@ -97,21 +97,22 @@ def width_guard(df: DataFrame, column: str, width: int) -> DataFrame:
     return df.withColumn(column, F.when(F.size(column) == width, F.col(column)).otherwise(bad.cast(df.schema[column].dataType)))
 
 
-def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 4000) -> DataFrame:
-    """Exact cosine top k of each question: (query_id, chunk_id, score, rank).
-
-    ``questions`` has (query_id, embedding), ``vectors`` (chunk_id, embedding).
-    The questions travel to the tasks in blocks of at most ``block``; each Arrow
-    batch of vectors is scored by one matrix product and keeps its k best per
-    question, so what is shuffled is k rows per question and batch.
+def scan_topk(questions: DataFrame, vectors: DataFrame, k: int, scores, block: int = 4000, digits: int = 9) -> DataFrame:
+    """(query_id, chunk_id, score): what may be among each question's k best, by a scan of all vectors.
+
+    ``questions`` has (query_id, embedding), ``vectors`` (chunk_id, embedding);
+    NULL embeddings are left out. ``scores(q, x, query_ids, chunk_ids)`` gives
+    the score matrix of two blocks of vectors. The questions travel to the
+    tasks in blocks of at most ``block``; each Arrow batch of vectors keeps its
+    k best per question and ties with the last, so what is shuffled is about k
+    rows per question and batch.
     """
-    rows = questions.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where("e is not null").orderBy("query_id")
-    result, ids, vs = None, [], []
+    rows = questions.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("e")).where("e is not null and query_id is not null").orderBy("query_id")
+    source = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and chunk_id is not null")
+    kind, slack = "query_id bigint, chunk_id bigint, score double", 2 * 10.0**-digits
 
     def part(ids, vs):
-        q = np.array(vs, np.float64).reshape(len(ids), -1)
-        norm = np.sqrt((q * q).sum(1, keepdims=True))
-        known = questions.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), q / np.where(norm > 0, norm, 1)))
+        known = questions.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(vs, np.float64).reshape(len(ids), -1)))
 
         def score(batches):
             qid, q = known.value
@@ -121,30 +122,56 @@ def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
                 cid = b.column(0).to_numpy()
-                norm = np.sqrt((x * x).sum(1))
-                s = q @ (x / np.where(norm > 0, norm, 1)[:, None]).T
-                s[:, norm == 0] = -np.inf
-                if exclude_self:
-                    s[qid[:, None] == cid[None, :]] = -np.inf
+                s = scores(q, x, qid, cid)
                 keep = min(k, n)
                 at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
                 edge = np.take_along_axis(s, at, 1).min(1)
-                # What rounds to a tie with the k-th is kept; the window decides by id.
-                r, c = np.nonzero((s >= edge[:, None] - 2e-9) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[c]), pa.array(s[r, c])], ["query_id", "chunk_id", "score"])
+                # What rounds to a tie with the k-th is kept; the ranking decides by id.
+                r, c = np.nonzero((s >= edge[:, None] - slack) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[c]), pa.array(np.round(s[r, c], digits))], ["query_id", "chunk_id", "score"])
 
-        return vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("embedding").cast("array<double>")).mapInArrow(score, "query_id bigint, chunk_id bigint, score double")
+        return source.mapInArrow(score, kind)
 
+    result, ids, vs = None, [], []
     for r in rows.toLocalIterator():
         ids.append(r["query_id"])
         vs.append(r["e"])
         if len(ids) == block:
             p = part(ids, vs)
             result, ids, vs = p if result is None else result.unionByName(p), [], []
-    if ids or result is None:
-        p = part(ids, vs) if ids else vectors.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, score double")
+    if ids:
+        p = part(ids, vs)
         result = p if result is None else result.unionByName(p)
-    return ranked(result.withColumn("score", F.round("score", 9)), "score", k)
+    return vectors.sparkSession.createDataFrame([], kind) if result is None else result
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n > 0, n, 1)
+
+
+def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 4000) -> DataFrame:
+    """Exact cosine top k of each question: (query_id, chunk_id, score, rank). All-zero vectors are never found; equal scores, to nine digits, go to the smaller id."""
+
+    def scores(q, x, qid, cid):
+        s = unit_rows(q) @ unit_rows(x).T
+        s[:, ~x.any(1)] = -np.inf
+        if exclude_self:
+            s[qid[:, None] == cid[None, :]] = -np.inf
+        return s
+
+    return ranked(scan_topk(questions, vectors, k, scores, block), "score", k)
+
+
+def pair_cosines(df: DataFrame, left: str = "q", right: str = "embedding") -> DataFrame:
+    """(query_id, chunk_id, score) of rows (query_id, chunk_id, left, right): cosine in double precision, to nine digits."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (unit_rows(b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)) for i in (2, 3)) if b.num_rows else (np.zeros((0, 1)),) * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round((x * y).sum(1), 9))], ["query_id", "chunk_id", "score"])
+
+    return df.select(F.col("query_id").cast("bigint"), F.col("chunk_id").cast("bigint"), F.col(left).cast("array<double>"), F.col(right).cast("array<double>")).mapInArrow(run, "query_id bigint, chunk_id bigint, score double")
 
 
 def fuse(rankings: list[DataFrame], limit: int, k: int = RRF_K) -> DataFrame:

@@ -33,7 +33,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
 
 
 def balanced_counts(df: DataFrame, key: str, id_col: str, share: float = 0.01) -> DataFrame:
-    """Rows and distinct ids of every key: (key, rows, ids).
+    """Rows, distinct ids and smallest id of every key: (key, rows, ids, first).
 
     Heavy keys are counted in ``SALTS`` parts by a hash of the id, so no task
     sees more than a part of one, and the parts are added; each id falls in one
@@ -43,10 +43,10 @@ def balanced_counts(df: DataFrame, key: str, id_col: str, share: float = 0.01) -
     rows = df.where(F.col(key).isNotNull() & F.col(id_col).isNotNull()).select(key, F.col(id_col).alias("__id"))
     heavy = heavy_keys(rows, key, share)
     salted = rows.join(F.broadcast(heavy), key, "left_semi").groupBy(key, F.pmod(F.xxhash64("__id"), F.lit(SALTS)).alias("salt"), "__id").agg(F.count(F.lit(1)).alias("n"))
-    first = salted.groupBy(key, "salt").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"))
-    hot = first.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("ids").alias("ids"))
+    first = salted.groupBy(key, "salt").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"), F.min("__id").alias("first"))
+    hot = first.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("ids").alias("ids"), F.min("first").alias("first"))
     rest = rows.join(F.broadcast(heavy), key, "left_anti").groupBy(key, "__id").agg(F.count(F.lit(1)).alias("n"))
-    cold = rest.groupBy(key).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"))
+    cold = rest.groupBy(key).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"), F.min("__id").alias("first"))
     return hot.unionByName(cold)
 
 
@@ -84,10 +84,10 @@ def vector_rows(embeddings: DataFrame, spaces: DataFrame) -> DataFrame:
 
 
 def vector_shares(embeddings: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Chunks that carry each distinct vector and their share of all chunks with a usable vector: (vector, chunks, share)."""
+    """Chunks that carry each distinct vector and their share of all chunks with a usable vector: (vector, first_chunk, chunks, share)."""
     rows = vector_rows(embeddings, spaces)
     total = rows.agg(F.countDistinct("chunk_id").alias("total"))
-    return balanced_counts(rows, "vector", "chunk_id").crossJoin(F.broadcast(total)).select("vector", F.col("ids").alias("chunks"), (F.col("ids") / F.col("total")).alias("share"))
+    return balanced_counts(rows, "vector", "chunk_id").crossJoin(F.broadcast(total)).select("vector", F.col("first").alias("first_chunk"), F.col("ids").alias("chunks"), (F.col("ids") / F.col("total")).alias("share"))
 
 
 def heavy_tenants_and_vectors(chunks: DataFrame, embeddings: DataFrame, spaces: DataFrame, stock: DataFrame, tenant_share: float = 0.05, vector_share: float = 0.015) -> DataFrame:

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.vector import cosine, sign_word
-from quillspan.operators.retrieval import bounded, ranked
+from quillspan.operators.retrieval import bounded, dense, pair_cosines, ranked, scan_topk
 
 
 def second_moment(vectors: DataFrame, column: str = "embedding", centred: bool = False) -> tuple[np.ndarray, int]:
@@ -104,29 +103,33 @@ def coarse_to_fine(questions: DataFrame, members: DataFrame, open_groups: int, k
     """Top k of the members of the ``open_groups`` nearest groups: (query_id, chunk_id, score, rank).
 
     ``members`` has (gid, chunk_id, embedding); groups are compared by the mean
-    of their members. Questions and groups are few next to members.
+    of their members, in one scan of the means.
     """
-    means = as_vectors(pooled(members, ["gid"]), ["gid"])
-    q = bounded(questions.select("query_id", F.col("embedding").alias("q")))
-    near = means.crossJoin(q).select("query_id", "q", "gid", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("nearness"))
-    picked = ranked(near, "nearness", open_groups, tie="gid").select("query_id", "q", "gid")
-    hits = members.join(picked, "gid").select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return ranked(hits, "score", k)
+    means = as_vectors(pooled(members, ["gid"]), ["gid"]).withColumnRenamed("gid", "chunk_id")
+    picked = dense(questions, means, open_groups).select("query_id", F.col("chunk_id").alias("gid"))
+    asked = picked.join(bounded(questions.select("query_id", F.col("embedding").alias("q"))), "query_id")
+    return ranked(pair_cosines(members.join(asked, "gid")), "score", k)
 
 
-def hamming_rescored(questions: DataFrame, vectors: DataFrame, shortlist: int, k: int, width: int = 64) -> DataFrame:
+def hamming_rescored(questions: DataFrame, vectors: DataFrame, shortlist: int, k: int) -> DataFrame:
     """Shortlist by Hamming distance of sign bits, then exact cosine: (query_id, chunk_id, score, rank).
 
-    Distances are computed on 32-bit words inside the scan and the window keeps
-    a shortlist per question before the vectors of the survivors are looked up.
+    The scan compares packed bits; the vectors are looked up for the shortlist only.
     """
-    words = [sign_word(F.col("embedding"), i).alias(f"w{i}") for i in range(0, width, 32)]
-    v = vectors.select("chunk_id", *words)
-    q = bounded(questions.select("query_id", *[sign_word(F.col("embedding"), i).alias(f"q{i}") for i in range(0, width, 32)]))
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(0, width, 32)), F.lit(0))
-    near = ranked(v.crossJoin(q).select("query_id", "chunk_id", (-apart).alias("nearness")), "nearness", shortlist).select("query_id", "chunk_id")
+
+    def scores(q, x, qid, cid):
+        pack = lambda v: np.packbits(v > 0, axis=1)
+        a, b = pack(q), pack(x)
+        pad = (-a.shape[1]) % 8
+        a, b = (np.ascontiguousarray(np.pad(v, ((0, 0), (0, pad)))).view(np.uint64) for v in (a, b))
+        apart = np.zeros((len(a), len(b)), np.int32)
+        for i in range(a.shape[1]):
+            apart += np.bitwise_count(a[:, i, None] ^ b[None, :, i])
+        return -apart.astype(np.float32)
+
+    near = ranked(scan_topk(questions, vectors, shortlist, scores), "score", shortlist).select("query_id", "chunk_id")
     full = near.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(bounded(questions.select("query_id", F.col("embedding").alias("q"))), "query_id")
-    return ranked(full.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score")), "score", k)
+    return ranked(pair_cosines(full), "score", k)
 
 
 def md5_order(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -183,3 +186,24 @@ def bucket_widening(chunks: DataFrame, buckets: int, key: str = "tenant_id") ->
 def required_modulus(share: float, epsilon: float) -> int:
     """Hash buckets so that others add at most ``epsilon`` times what a tenant with that share of the rows owns."""
     return int(np.ceil((1 - share) / (epsilon * share)))
+
+
+def inverted_lists(vectors: DataFrame, lists: int, seed: int = 1, column: str = "embedding") -> DataFrame:
+    """(gid, chunk_id, embedding): vectors in k-means lists, as members for ``coarse_to_fine``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.select("chunk_id", F.col(column).cast("array<double>").alias("embedding")).withColumn("_v", array_to_vector("embedding"))
+    model = KMeans(k=lists, seed=seed, maxIter=5, featuresCol="_v", predictionCol="gid").fit(v)
+    return model.transform(v).select("gid", "chunk_id", "embedding")
+
+
+def reprojected(embeddings: DataFrame, axes: np.ndarray, model: str, version: str) -> DataFrame:
+    """Rows of a new space beside the old one: (chunk_id, embedding_model, embedding_version, embedding)."""
+    return project(embeddings, axes).select("chunk_id", F.lit(model).alias("embedding_model"), F.lit(version).alias("embedding_version"), "embedding")
+
+
+def activated(spaces: DataFrame, model: str, version: str) -> DataFrame:
+    """The catalogue after a switch: the named space is active, the one active before is retired."""
+    chosen = (F.col("model") == model) & (F.col("version") == version)
+    return spaces.withColumn("status", F.when(chosen, "active").when(F.col("status") == "active", "retired").otherwise(F.col("status")))

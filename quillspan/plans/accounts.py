@@ -435,3 +435,8 @@ def purge_preview(x):
 @query(f"SELECT id FROM chk WHERE tenant_id <> {TENANT}", "chk")
 def purged_chunks(x):
     return access.without_tenant(x.chunks, TENANT).select("id")
+
+
+@query("SELECT tenant_id, name FROM access_labels WHERE is_quarantine UNION ALL SELECT t.id, 'quarantine' FROM tenants t WHERE NOT EXISTS (SELECT 1 FROM access_labels l WHERE l.tenant_id = t.id AND l.is_quarantine)")
+def ensured_quarantine(x):
+    return access.ensured_labels(x.tenants, x.labels, "is_quarantine", "quarantine")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text, vector
 from quillspan.operators import evaluate, retrieval, vectors
 from quillspan.plans.accounts import TENANT, secure
-from quillspan.plans.fixtures import Fixtures, sql
+from quillspan.plans.fixtures import CTES, Fixtures, sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -180,13 +180,13 @@ def sign_bits(x):
 
 _HAM = f"""b AS (SELECT chunk_id, embedding, {_BITS} AS bits FROM vecs),
   near AS (SELECT p.chunk_id AS query_id, v.chunk_id, p.embedding AS q, v.embedding AS e, len(list_filter(list_zip(p.bits, v.bits), lambda z: z[1] <> z[2])) AS apart,
-    row_number() OVER (PARTITION BY p.chunk_id ORDER BY len(list_filter(list_zip(p.bits, v.bits), lambda z: z[1] <> z[2])), v.chunk_id) AS r FROM b p, b v WHERE p.chunk_id % 200 = 0 QUALIFY r <= 50),
+    row_number() OVER (PARTITION BY p.chunk_id ORDER BY len(list_filter(list_zip(p.bits, v.bits), lambda z: z[1] <> z[2])), v.chunk_id) AS r FROM b p, b v WHERE p.chunk_id % 20 = 0 QUALIFY r <= 50),
   ham AS (SELECT query_id, chunk_id, round(list_cosine_similarity(q::DOUBLE[], e::DOUBLE[]), 9) AS score FROM near),
   hamming AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ham QUALIFY rank <= 10)"""
 
 
 def _hamming(x):
-    return vectors.hamming_rescored(probes(x).where(F.col("query_id") % 200 == 0), x.embeddings, 50, 10)
+    return vectors.hamming_rescored(probes(x), x.embeddings, 50, 10)
 
 
 @query(f"WITH {_HAM} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hamming", "vecs")
@@ -195,11 +195,11 @@ def hamming_rescore(x):
 
 
 _EXACT = """ex AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
-  (SELECT p.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vecs p, vecs v WHERE p.chunk_id % 200 = 0) QUALIFY rank <= 10)"""
+  (SELECT p.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vecs p, vecs v WHERE p.chunk_id % 20 = 0) QUALIFY rank <= 10)"""
 
 
 def _exact(x):
-    return retrieval.dense(probes(x).where(F.col("query_id") % 200 == 0), x.embeddings, 10)
+    return retrieval.dense(probes(x), x.embeddings, 10)
 
 
 @query(
@@ -254,7 +254,7 @@ def pooled_max(x):
 @query(
     """WITH m AS (SELECT c.document_id AS gid, e.chunk_id, e.embedding::DOUBLE[] AS e FROM vecs e JOIN chk c ON c.id = e.chunk_id),
     comp AS (SELECT gid, i, avg(v) AS v FROM (SELECT gid, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM m) GROUP BY 1, 2), mean AS (SELECT gid, list(v ORDER BY i) AS e FROM comp GROUP BY 1),
-    q AS (SELECT chunk_id AS query_id, embedding::DOUBLE[] AS q FROM vecs WHERE chunk_id % 200 = 0),
+    q AS (SELECT chunk_id AS query_id, embedding::DOUBLE[] AS q FROM vecs WHERE chunk_id % 20 = 0),
     p AS (SELECT query_id, q, gid, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, e), 9) DESC, gid) AS r FROM q, mean QUALIFY r <= 8),
     h AS (SELECT p.query_id, m.chunk_id, round(list_cosine_similarity(p.q, m.e), 9) AS score FROM p JOIN m USING (gid))
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, round(score, 6) AS score FROM h QUALIFY rank <= 10""",
@@ -262,7 +262,7 @@ def pooled_max(x):
 )
 def coarse_to_fine(x):
     members = _by_document(x).select(F.col("document_id").alias("gid"), "chunk_id", "embedding")
-    return _out(vectors.coarse_to_fine(probes(x).where(F.col("query_id") % 200 == 0), members, 8, 10))
+    return _out(vectors.coarse_to_fine(probes(x), members, 8, 10))
 
 
 @query("SELECT id FROM chk ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 500", "chk")
@@ -431,12 +431,12 @@ def label_shortlist(x):
 @query(
     f"""WITH {_EXACT.replace("ex AS", "full10 AS")}, part AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
       (SELECT p.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vecs p, vecs v
-       WHERE p.chunk_id % 200 = 0 AND CAST('0x' || substr(md5(CAST(v.chunk_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.2) QUALIFY rank <= 10)
+       WHERE p.chunk_id % 20 = 0 AND CAST('0x' || substr(md5(CAST(v.chunk_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.2) QUALIFY rank <= 10)
     SELECT f.query_id, round(count(p.rank) / count(*), 9) AS recall, count(*) FILTER (WHERE f.rank = 1 AND p.rank = 1) > 0 AS top1 FROM full10 f LEFT JOIN part p USING (query_id, chunk_id) GROUP BY 1""",
     "vecs",
 )
 def recall_partial_reach(x):
-    q = probes(x).where(F.col("query_id") % 200 == 0)
+    q = probes(x)
     reach = x.embeddings.where(vectors.md5_uniform(F.col("chunk_id")) < 0.2)
     return evaluate.overlap(_exact(x), retrieval.dense(q, reach, 10), 10)
 
@@ -451,3 +451,30 @@ def interpolated_corpus(x):
     e = lambda i, v: x.embeddings.select(F.col("chunk_id").alias(i), F.col("embedding").alias(v))
     pairs = near.join(e("a", "va"), "a").join(e("b", "vb"), "b")
     return vectors.interpolated(pairs, [0.25, 0.5], scaled=False).select("a", "b", "weight", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query(None)
+def bm25_secured(x):
+    return retrieval.bm25(_lexemes(x), secure(x).table("chunks"), k=10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# The same SQL over the chunks that the policy shows.
+SQL["bm25_secured"] = SQL["bm25_topk"].replace(CTES["chk"][1], f"{CTES['chk'][1]} WHERE tenant_id = {TENANT} AND len(coalesce(label_ids, [])) = 0")
+
+
+@query(None)
+def ivf_search(x):
+    lists = vectors.inverted_lists(x.embeddings, 16)
+    return _out(vectors.coarse_to_fine(probes(x), lists, 4, 10))
+
+
+@query(None)
+def knn_projected(x):
+    axes, _ = vectors.basis(x.embeddings, 32)
+    q = vectors.project(probes(x).withColumnRenamed("query_id", "chunk_id"), axes).withColumnRenamed("chunk_id", "query_id")
+    return _out(retrieval.dense(q, vectors.project(x.embeddings, axes), 10, exclude_self=True))
+
+
+@query("SELECT model, version, CASE WHEN model = 'quill-embed' AND version = '2' THEN 'active' WHEN status = 'active' THEN 'retired' ELSE status END AS status FROM embedding_spaces")
+def space_switched(x):
+    return vectors.activated(x.spaces, "quill-embed", "2").select("model", "version", "status")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quillspan.operators import skew
 
 
@@ -20,9 +18,8 @@ def p5_tenant_profile(spark, sf):
 
 
 def p5_vector_counts(spark, sf):
-    """How many distinct vectors are carried by how many chunks."""
-    per = skew.vector_shares(_t(spark, sf, "chunk_embeddings"), _t(spark, sf, "embedding_spaces"))
-    return per.groupBy("chunks").agg(F.count(F.lit(1)).alias("vectors"))
+    """Each distinct vector, named by its first chunk, with the number of chunks that carry it."""
+    return skew.vector_shares(_t(spark, sf, "chunk_embeddings"), _t(spark, sf, "embedding_spaces")).select("first_chunk", "chunks")
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_tenant_profile, p5_vector_counts)}
@@ -52,7 +49,6 @@ SELECT t.id AS tenant_id, t.name, count(*) AS chunks, CAST(sum(chars) AS BIGINT)
 FROM c JOIN tenants t ON t.id = c.tenant_id WHERE r = 1 GROUP BY t.id, t.name
 """,
     "p5_vector_counts": f"""
-WITH {_USABLE}, per AS (SELECT embedding, count(DISTINCT chunk_id) AS chunks FROM usable GROUP BY embedding)
-SELECT chunks, count(*) AS vectors FROM per GROUP BY chunks
+WITH {_USABLE} SELECT min(chunk_id) AS first_chunk, count(DISTINCT chunk_id) AS chunks FROM usable GROUP BY embedding
 """,
 }

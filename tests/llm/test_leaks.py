@@ -40,6 +40,7 @@ VARIANTS = {
     "decomposed": "comité décide que la réserve du siège paie 357 euros à la",
     "punctuation": "comité: décide, que (la) réserve - du siège; paie “357” euros... à la",
     "invisible": "comi­té dé​cide que la réserve du siège paie 357 euros à la",
+    "fillers": "com\u3164ité déci\u2800de que\ufeff la ré\u2062serve du siège paie 357 euros à la",
     "markup": "<p>comité <b>décide</b> que la rés<i>erve</i> du siège **paie** 357 _euros_ à la</p>",
     "entities": "comit&eacute;&nbsp;d&eacute;cide que la r&#233;serve du si&egrave;ge paie 357 euros &agrave; la",
     "lines": "comité\ndécide que\r\nla réserve du siège paie\n\n357 euros à la",

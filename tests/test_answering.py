@@ -89,6 +89,30 @@ def test_dense_ties_self_and_blocks(spark):
     assert retrieval.dense(q.where("false"), v, 3).count() == 0 and retrieval.dense(q, v.where("false"), 3).count() == 0
 
 
+def test_hamming_and_coarse_search(spark):
+    x = np.random.default_rng(4).normal(size=(300, 20))
+    v = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)], "chunk_id bigint, embedding array<double>").repartition(3)
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ham = {}
+    for r in vectors.hamming_rescored(q, v, 25, 5).orderBy("query_id", "rank").collect():
+        ham.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for i in range(0, 300, 50):
+        apart = ((x > 0) != (x[i] > 0)).sum(1)
+        short = sorted(range(300), key=lambda j: (apart[j], j))[:25]
+        assert ham[i] == sorted(short, key=lambda j: -round(float(y[i] @ y[j]), 9))[:5]
+    members = v.withColumn("gid", F.col("chunk_id") % 10)
+    means = np.stack([x[np.arange(300) % 10 == g].mean(0) for g in range(10)])
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    got = {}
+    for r in vectors.coarse_to_fine(q, members, 3, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for i in range(0, 300, 50):
+        opened = np.argsort(-(means @ y[i]))[:3]
+        inside = [j for j in range(300) if j % 10 in opened]
+        assert got[i] == sorted(inside, key=lambda j: -(y[i] @ y[j]))[:5]
+
+
 def test_width_guard(spark):
     from pyspark.errors import PySparkException
 
