@@ -1,20 +1,19 @@
 """Problem 4: records that share most of their wording.
 
-Method: parity-sketch join. The word shingles of a record are hashed into a
-tree of blocks (64 leaves for short texts, more in the bands of longer ones);
-a block's sketch is the XOR of its shingles' hashes, so two records that differ
-in d shingles disagree in at most d blocks and, if similar enough, agree in
-some. Equal block sketches are joined (the pigeonhole step), the candidates are
-checked against a 256-bit parity sketch of the whole record, whose Hamming
-distance never exceeds the symmetric difference, and what remains is verified
-on the full shingle sets.
-
-A block is used as a key once the shingles in it are together rare enough that
-records share them by chance less than once in sixteen comparisons per record
-(``log2(records) + 4`` bits, at least ``FLOOR_BITS`` a shingle, rarity counted
-over all records in a table of fixed size); otherwise its parent block is. Both
-depend on the block's content alone, so equal blocks always make equal keys and
-no key needs a cap.
+Method: prefix join with parity sketches. The word shingles of a record are
+put in one order for all records, rarest first (counted over all records in a
+table of bounded size). Two records with the similarity share a shingle among
+the first of each, so records are joined on every shingle of those prefixes:
+no pair is lost, whatever its shingles have in common with others. Of the pairs
+so met, those are dropped that cannot have the similarity if the shingle is the
+rarest they share: what follows it is too short, or the parity sketches of what
+follows differ in too many bits. The candidates are checked against a 256-bit
+parity sketch of the whole record, whose Hamming distance never exceeds the
+symmetric difference, and what remains is verified on the full shingle sets.
+
+The work grows with the pairs of records that share a shingle of their
+prefixes, so with the square of the records where a fixed share of them holds
+the same ones.
 """
 
 from __future__ import annotations
@@ -33,11 +32,11 @@ from quillspan.core.components import connected_components
 from quillspan.core.workspace import Stored, stored
 
 WORD = re.compile(r"[^\W_]+")
-FLOOR_BITS = 3.0
-EXTRA_BITS = 4.0
-LEAST_POPULATION = 1 << 14
 KEYS_A_BUCKET = 500_000
 LONG_RUN = 1000
+PAIRS_AT_ONCE = 2_000_000
+WIDE_SPARE = 16
+HOT = ["key", "size", "place", "r0", "r1", "r2", "r3"]
 SETS = "id bigint, num bigint, size int, sketch binary, shingles binary"
 
 
@@ -99,32 +98,80 @@ def bands(size: np.ndarray) -> list[tuple[int, np.ndarray]]:
         band += 1
 
 
-def block_keys(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, bits: np.ndarray, need: float, levels: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(record, key) of all blocks used, from (record, shingle) sorted by both; ``bits`` is the rarity of each shingle."""
-    value = _mix(shingles.astype(np.uint64) ^ np.uint64(0x5BD1E995))
-    records, keys = [], []
-    for band, inside in bands(size):
-        mine = inside[own]
-        if not mine.any():
-            continue
-        o, s, v, w = own[mine].astype(np.uint64), shingles[mine].astype(np.uint64), value[mine], bits[mine]
-        below = None
-        for level in range(6 + 2 * band, 6 + 2 * band - levels, -1):
-            node = (o << np.uint64(level)) | (s >> np.uint64(32 - level))
-            begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            node, xor, weight = node[begin], np.bitwise_xor.reduceat(v, begin), np.add.reduceat(w, begin)
-            use = weight >= need
-            enough = use.copy()
-            if below is not None:
-                # A block whose two halves are keys already adds nothing.
-                up, times = np.unique(below >> np.uint64(1), return_counts=True)
-                use &= ~np.isin(node, up[times == 2])
-            below = node[enough]
-            records.append((node[use] >> np.uint64(level)).astype(np.int64))
-            keys.append(_mix(xor[use] + np.uint64(band * 64 + level)))
-    if not records:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(records), np.concatenate(keys)
+def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(record, shingle, place, rest) of the postings, from (record, shingle) sorted by record.
+
+    ``count`` is how many records share each shingle's slot. Two sets with the
+    similarity share a shingle among the first ``size - ceil(similarity * size)
+    + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` are
+    the parities of all after it, of 64 bits and of 192 (three columns). A
+    shingle that is alone in its slot has no partner and is left out.
+    """
+    rare = np.minimum(np.log2(count) * 2048, 0xFFFF).astype(np.uint64)
+    order = np.argsort((own.astype(np.uint64) << np.uint64(48)) | (rare << np.uint64(32)) | shingles.astype(np.uint64))
+    sh, count = shingles[order], count[order]
+    begin = np.cumsum(size) - size
+    place = np.arange(len(sh)) - begin[own]
+    many = size[own]
+    use = (place <= many - np.ceil(similarity * many - 1e-9)) & (count > 1)
+    last = (begin + size - 1)[own[use]]
+    h = _mix(sh.astype(np.uint64) + np.uint64(47))
+    one, wide = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(0xFFFFFFFF)) % np.uint64(192)
+    rest = np.zeros((int(use.sum()), 4), np.uint64)
+    for i in range(4 if len(sh) else 0):
+        flip = one if i == 0 else np.where(wide >> np.uint64(6) == i - 1, np.uint64(1) << (wide & np.uint64(63)), np.uint64(0))
+        parity = np.bitwise_xor.accumulate(flip)
+        rest[:, i] = parity[last] ^ parity[use]
+    return own[use], sh[use], place[use], rest
+
+
+def _is_wide(size, place, similarity: float):
+    """Whether a posting carries the wide rest too: partners like it may differ in more than 64 bits can tell."""
+    return 2 * (size - place) - 4 * similarity / (1 + similarity) * size > WIDE_SPARE
+
+
+def posting_pairs(shingle: np.ndarray, size: np.ndarray, place: np.ndarray, rest: np.ndarray, similarity: float):
+    """Yields (x, y), places in the arrays, of the postings of one shingle whose sets can have the similarity if it is the rarest they share.
+
+    Sorted by (shingle, size). The shingle and what follows it must hold the
+    overlap, which bounds the sizes of its partners, and the two rests differ
+    in no more shingles than the overlap leaves over.
+    """
+    share = similarity / (1 + similarity)
+    limit = np.floor((size - place) / share + 1e-6).astype(np.int64) - size
+    most = np.minimum(limit, np.floor(size / similarity + 1e-6).astype(np.int64))
+    wide = _is_wide(size, place, similarity)
+    at = (shingle.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
+    first = np.flatnonzero(most >= size)
+    many = np.searchsorted(at, (shingle[first].astype(np.uint64) << np.uint64(32)) | most[first].astype(np.uint64), side="right") - first - 1
+    first, many = first[many > 0], many[many > 0]
+    total = np.cumsum(many)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS_AT_ONCE)))
+        m = many[a:b]
+        x = np.repeat(first[a:b], m)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        ok = limit[y] >= size[x]
+        x, y = x[ok], y[ok]
+        both = size[x] + size[y]
+        spare = both - place[x] - place[y] - 2 * np.ceil(share * both - 1e-9).astype(np.int64)
+        ok = np.bitwise_count(rest[x, 0] ^ rest[y, 0]) <= spare
+        x, y, spare = x[ok], y[ok], spare[ok]
+        ok = ~(wide[x] & wide[y])
+        test = np.flatnonzero(~ok)
+        ok[test] = np.bitwise_count(rest[x[test], 1:] ^ rest[y[test], 1:]).sum(1) <= spare[test]
+        yield x[ok], y[ok]
+        a = b
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes; those of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _sets(chunks: DataFrame, words: int, min_words: int) -> DataFrame:
@@ -208,71 +255,76 @@ def _rarity(sets: DataFrame, table_bits: int) -> np.ndarray:
     return _summed(sets.select("shingles").mapInArrow(count, kind), kind, 1 << table_bits, block, np.int32, np.add)
 
 
-def _candidates(sets: DataFrame, n: int, levels: int) -> DataFrame:
-    """Pairs (a, b) of records with an equal block sketch. Keys travel packed, nine bytes each, by bucket."""
-    table_bits = min(24, max(20, math.ceil(math.log2(max(n, 1)) + 2)))
-    population = max(n, LEAST_POPULATION)
-    need = math.log2(population) + EXTRA_BITS
-    bits = np.log2(population / np.minimum(np.maximum(_rarity(sets, table_bits), 1), population)).astype(np.float32)
-    known = sets.sparkSession.sparkContext.broadcast(np.maximum(bits, np.float32(FLOOR_BITS)))
+def _candidates(sets: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of records that may have the similarity; none that has it is missing. Postings travel packed by bucket, a range of shingles."""
+    table_bits = min(24, max(20, math.ceil(math.log2(max(n, 1)) + 4)))
+    known = sets.sparkSession.sparkContext.broadcast(_rarity(sets, table_bits))
     buckets = max(12, math.ceil(n * 50 / KEYS_A_BUCKET))
-
-    def keys(batches):
-        for b in batches:
-            own, sh, size = _loaded(b.column(1))
-            num = b.column(0).to_numpy()
-            at, key = block_keys(own, sh, size, known.value[_slots(sh, table_bits)], need, levels)
-            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            part = num[at] >> 32
-            order = np.lexsort((part, bucket))
-            bucket, part, key, idx = bucket[order], part[order], key[order], (num[at][order] & 0xFFFFFFFF).astype(np.uint32)
-            begin = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, int)
-            end = np.r_[begin[1:], len(key)]
-            short = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[begin].astype(np.int32)), pa.array(part[begin].astype(np.int32)), pa.array([short[x:y].tobytes() for x, y in zip(begin, end)], pa.binary()), pa.array([idx[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())],
-                ["bucket", "part", "keys", "idx"],
-            )
+    share = similarity / (1 + similarity)
+
+    def postings(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 15):
+                b = batch.slice(a, 1 << 15)
+                own, sh, size = _loaded(b.column(1))
+                num = b.column(0).to_numpy()
+                at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[_slots(sh, table_bits)], similarity)
+                bucket, part = (key.astype(np.int64) * buckets) >> 32, num[at] >> 32
+                order = np.lexsort((key, part, bucket))
+                bucket, part, key, place, rest, at = bucket[order], part[order], key[order], place[order], rest[order], at[order]
+                many = size[at].astype(np.int64)
+                wide = _is_wide(many, place, similarity)
+                idx = (num[at] & 0xFFFFFFFF).astype(np.uint32)
+                begin = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, int)
+                cuts = list(zip(begin, np.r_[begin[1:], len(key)]))
+                packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [idx[x:y].tobytes() for x, y in cuts], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
+                packed += [[rest[x:y, 0].tobytes() for x, y in cuts], [rest[x:y, 1:][wide[x:y]].tobytes() for x, y in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(part[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "part", "keys", "idx", "sizes", "places", "rests", "wides"])
 
     def pairs(table):
-        key, num = [], []
-        for p, k, i in zip(table["part"].to_pylist(), table["keys"].to_pylist(), table["idx"].to_pylist()):
-            k = np.frombuffer(k, np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(k), 8), np.uint8)
-            wide[:, :5] = k
-            key.append(wide.view(np.uint64).ravel())
-            num.append(np.frombuffer(i, np.uint32).astype(np.int64) | (p << 32))
-        key, num = np.concatenate(key), np.concatenate(num)
-        order = np.argsort(key, kind="stable")
-        key, num = key[order], num[order]
+        key, num, size, place, rest = [], [], [], [], []
+        for r in table.select(["part", "keys", "idx", "sizes", "places", "rests", "wides"]).to_pylist():
+            key.append(np.cumsum(_from_planes(r["keys"]), dtype=np.uint32))
+            num.append(np.frombuffer(r["idx"], np.uint32).astype(np.int64) | (r["part"] << 32))
+            size.append(_from_planes(r["sizes"]).astype(np.int64))
+            place.append(_from_planes(r["places"]).astype(np.int64))
+            full = np.zeros((len(key[-1]), 4), np.uint64)
+            full[:, 0] = np.frombuffer(r["rests"], np.uint64)
+            full[_is_wide(size[-1], place[-1], similarity), 1:] = np.frombuffer(r["wides"], np.uint64).reshape(-1, 3)
+            rest.append(full)
+        key, num, size, place, rest = (np.concatenate(c) for c in (key, num, size, place, rest))
+        order = np.lexsort((size, key))
+        key, num, size, place, rest = key[order], num[order], size[order], place[order], rest[order]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         run = np.diff(np.r_[begin, len(key)])
-        long = np.repeat(run > LONG_RUN, run)
-        hot, hot_key = num[long], key[long].astype(np.int64)
-        begin, run = begin[run <= LONG_RUN], run[run <= LONG_RUN]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, int(run.max(initial=0))):
-            # All pairs at this distance inside their runs.
-            begin, run = begin[run > step], run[run > step]
-            at = np.repeat(begin, run - step) + (np.arange((run - step).sum()) - np.repeat(np.cumsum(run - step) - (run - step), run - step))
-            x, y = num[at], num[at + step]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        p = np.stack([np.concatenate(a), np.concatenate(b)], 1)
-        p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
-        found, none = len(p), pa.nulls(len(p), pa.int64())
-        bucket = pa.array(np.full(len(hot), table["bucket"][0].as_py(), np.int64))
-        return pa.table({
-            "a": pa.chunked_array([pa.array(p[:, 0].copy()), pa.array(hot)]), "b": pa.chunked_array([pa.array(p[:, 1].copy()), pa.nulls(len(hot), pa.int64())]),
-            "bucket": pa.chunked_array([none, bucket]), "key": pa.chunked_array([pa.nulls(found, pa.int64()), pa.array(hot_key)]),
-        })
-
-    packed = sets.select("num", "shingles").mapInArrow(keys, "bucket int, part int, keys binary, idx binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, bucket bigint, key bigint"), "candidates")
+        run = np.repeat(run, run)
+        hot = run > LONG_RUN
+        short = (run > 1) & ~hot
+        ids, many, at = num[short], size[short], place[short]
+        met = [np.zeros((0, 2), np.int64)]
+        for x, y in posting_pairs(key[short], many, at, rest[short], similarity):
+            met.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+        met = np.unique(np.concatenate(met), axis=0)
+        met = met[met[:, 0] != met[:, 1]]
+        n, none = len(met), pa.nulls(len(met), pa.int64())
+        long = [num[hot], key[hot].astype(np.int64), size[hot], place[hot], *rest[hot].view(np.int64).T]
+        columns = [pa.chunked_array([none, pa.array(np.ascontiguousarray(c))]) for c in long[1:]]
+        columns = [pa.chunked_array([pa.array(met[:, 0].copy()), pa.array(long[0])]), pa.chunked_array([pa.array(met[:, 1].copy()), pa.nulls(len(long[0]), pa.int64())]), *columns]
+        return pa.Table.from_arrays(columns, ["a", "b", *HOT])
+
+    packed = sets.select("num", "shingles").mapInArrow(postings, "bucket int, part int, keys binary, idx binary, sizes binary, places binary, rests binary, wides binary")
+    found = stored(packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in HOT)), "candidates")
     short = found.where("b is not null").select("a", "b")
-    # The members of a long run are joined by Spark, which sorts, spills and splits them.
-    hot = found.where("b is null").select("bucket", "key", "a")
-    long = hot.join(hot.select("bucket", "key", F.col("a").alias("b")), ["bucket", "key"]).where("a < b").select("a", "b")
+    # The members of a long run are joined by Spark, which sorts, spills and splits them; the conditions are those of posting_pairs.
+    hot = found.where("b is null").select("a", *HOT)
+    x, y = hot.select(F.col("key"), *(F.col(c).alias(f"{c}_x") for c in ("a", *HOT[1:]))), hot.select(F.col("key"), *(F.col(c).alias(f"{c}_y") for c in ("a", *HOT[1:])))
+    both = F.col("size_x") + F.col("size_y")
+    need = F.ceil(both * share - 1e-9)
+    spare = both - F.col("place_x") - F.col("place_y") - 2 * need
+    apart = [F.bit_count(F.col(f"r{i}_x").bitwiseXOR(F.col(f"r{i}_y"))) for i in range(4)]
+    wide = _is_wide(F.col("size_x"), F.col("place_x"), similarity) & _is_wide(F.col("size_y"), F.col("place_y"), similarity)
+    fit = (F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= need) & (F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * similarity - 1e-6)
+    long = x.join(y, "key").where("a_x < a_y").where(fit & (apart[0] <= spare) & (~wide | (apart[1] + apart[2] + apart[3] <= spare))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
     return short.unionByName(long).distinct()
 
 
@@ -336,14 +388,14 @@ def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double")
 
 
-def _linked(chunks: DataFrame, id_col: str, text_col: str, stock: DataFrame | None, shingle_words: int, similarity: float, min_words: int, levels: int) -> tuple[DataFrame, DataFrame]:
+def _linked(chunks: DataFrame, id_col: str, text_col: str, stock: DataFrame | None, shingle_words: int, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members (id, num), links (a, b, similarity) between nums)."""
     texts = chunks.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     if stock is not None:
         texts = texts.join(stock.select(F.col("text").alias("stock_text")).where("stock_text is not null"), F.col("text") == F.col("stock_text"), "left_anti")
     sets = Stored(_sets(texts, shingle_words, max(min_words, shingle_words)), "sets").df
     held = sets.where("shingles is not null")
-    links = Stored(_verified(held, _candidates(held, held.count(), levels), similarity), "links").df
+    links = Stored(_verified(held, _candidates(held, held.count(), similarity), similarity), "links").df
     return sets.select("id", "num").distinct(), links
 
 
@@ -355,9 +407,8 @@ def near_copies(
     shingle_words: int = 5,
     similarity: float = 0.8,
     min_words: int = 20,
-    levels: int = 4,
 ) -> DataFrame:
-    """All pairs of records whose shingle sets have the Jaccard similarity: (chunk_id_a, chunk_id_b), a < b.
+    """All pairs of records whose shingle sets have the Jaccard similarity (above 0): (chunk_id_a, chunk_id_b), a < b.
 
     Words are runs of letters or digits, lower case; texts with fewer than
     ``min_words`` words, NULL, empty and blank texts, NULL ids, and texts equal
@@ -367,7 +418,7 @@ def near_copies(
     rows. The result has a row per pair by definition; use ``near_copy_groups``
     where a class per record is enough.
     """
-    members, links = _linked(chunks, id_col, text_col, stock, shingle_words, similarity, min_words, levels)
+    members, links = _linked(chunks, id_col, text_col, stock, shingle_words, similarity, min_words)
     a = members.select(F.col("num").alias("a"), F.col("id").alias("ia"))
     b = members.select(F.col("num").alias("b"), F.col("id").alias("ib"))
     across = links.join(a, "a").join(b, "b").select("ia", "ib")
@@ -386,7 +437,6 @@ def near_copy_groups(
     shingle_words: int = 5,
     similarity: float = 0.8,
     min_words: int = 20,
-    levels: int = 4,
 ) -> DataFrame:
     """One row per record that has a near copy: (group_id, chunk_id, links).
 
@@ -395,7 +445,7 @@ def near_copy_groups(
     equal sets, named by their smallest id. Exact copies are never expanded
     into pairs. Inputs are treated as in ``near_copies``.
     """
-    members, links = _linked(chunks, id_col, text_col, stock, shingle_words, similarity, min_words, levels)
+    members, links = _linked(chunks, id_col, text_col, stock, shingle_words, similarity, min_words)
     first = members.groupBy("num").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     rep = first.select("num", "rep")
     a, b = rep.select(F.col("num").alias("a"), F.col("rep").alias("src")), rep.select(F.col("num").alias("b"), F.col("rep").alias("dst"))

@@ -128,3 +128,33 @@ def test_any_two_sizes_within_a_factor_of_two_share_a_band():
 def test_shingles_of_odd_texts(texts):
     own, sh, many = nc.shingle_sets(texts, 3, nc._Hashes())
     assert len(own) == len(sh) == sum(m >= 3 for m in many)
+
+
+def common(groups=60, members=3):
+    """Records made of phrases that a large share of all records holds, so that nothing in them is rare."""
+    rng = np.random.default_rng(4)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(24)]
+    rows = []
+    for _ in range(groups):
+        own = rng.permutation(24)[:8]
+        for _ in range(members):
+            kept = [int(p) for p in own]
+            kept[int(rng.integers(8))] = int(rng.integers(24))
+            rows.append((len(rows), " ".join(phrases[i] for i in kept)))
+    return rows
+
+
+@pytest.mark.parametrize("long_run", [5, 1000])
+@pytest.mark.parametrize("words, similarity", [(3, 0.5), (5, 0.8), (3, 0.3)])
+def test_pairs_whose_every_shingle_is_common(spark, monkeypatch, words, similarity, long_run):
+    monkeypatch.setattr(nc, "LONG_RUN", long_run)
+    rows = common()
+    want = brute(rows, words, similarity)
+    assert want and pairs(nc.near_copies(frame(spark, rows).repartition(3), shingle_words=words, similarity=similarity)) == want
+
+
+def test_short_pairs_of_shared_words_at_the_threshold(spark):
+    # 18 shingles each that a third of the records hold; one word apart.
+    t = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join([*t[:-1], f"end{i}"])) for i in range(40)] + [(100 + i, text(60)) for i in range(80)]
+    assert pairs(nc.near_copies(frame(spark, rows), shingle_words=3, similarity=0.5)) == brute(rows)
