@@ -30,7 +30,7 @@ def p3_found(spark, sf):
 
 
 def p3_neighbours(spark, sf):
-    near = neighbours.vector_neighbours(_t(spark, sf, "chunk_embeddings"), _t(spark, sf, "embedding_spaces"), queries=lambda c: c % 20 == 0)
+    near = neighbours.vector_neighbours(_t(spark, sf, "chunk_embeddings"), _t(spark, sf, "embedding_spaces"), queries=lambda c: c % 20 == 0, probes=16, search_beam=48)
     return near.withColumn("cosine", F.round("cosine", 6))
 
 

@@ -181,3 +181,25 @@ def test_regions_over_their_share_are_cut(spark, embedded, spaces):
     got = {(r["chunk_id"], r["neighbour_id"]) for r in near.collect()}
     close = {(i, int(j)) for i in range(len(x)) for j, s in zip(want[i], sim[i]) if s >= 0.9}
     assert len(close & got) / len(close) > 0.9
+
+
+def test_neighbours_below_any_floor_are_found(spark, embedded, spaces, tmp_path):
+    from quillspan.llm import queries
+
+    x = np.random.default_rng(8).standard_normal((14_000, 8)).astype(np.float32)
+    x[:, 6:] *= 1.5
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 8, dtype=np.int32)), pa.array(x.ravel()))
+    from pyspark.sql import functions as F
+
+    table = pa.table({"chunk_id": np.arange(len(x)), "embedding": flat})
+    e = spark.createDataFrame(table).withColumns({"tenant_id": F.lit(1).cast("bigint"), "embedding_model": F.lit("m"), "embedding_version": F.lit("1")})
+    e.write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    spaces.write.parquet(f"{tmp_path}/embedding_spaces.parquet")
+    got = {}
+    for r in queries.p3_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["chunk_id"], set()).add(r["neighbour_id"])
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y[::20] @ y.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -9
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(got[20 * i] & set(w.tolist())) / 5 for i, w in enumerate(want)]) >= 0.98
