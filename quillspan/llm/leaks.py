@@ -24,7 +24,14 @@ from quillspan.llm.fm_index import FMIndex
 SPANS = "doc_id bigint, item_id bigint, span_start int, span_end int"
 BLOCK_TAG = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|tr|td|th|table|thead|tbody|h[1-6]|blockquote|pre|section|article|header|footer)\b[^<>]{0,500}>", re.I)
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,500}>", re.S)
-LINK = re.compile(r"\]\([^()\s]{0,2000}\)")
+# A tag of any length is one if all in it are attributes; otherwise "<" may be prose. Possessive, so a scan never turns back.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'<>`]++)"""
+_BARE = "allowfullscreen|async|autofocus|autoplay|checked|controls|default|defer|disabled|download|hidden|ismap|itemscope|loop|multiple|muted|novalidate|open|readonly|required|reversed|selected"
+LONG_TAG = re.compile(rf"""</?([A-Za-z][\w:.-]*+)(?:\s++(?:[^\s"'<>/=]++\s*+=\s*+{_VALUE}|(?:{_BARE})\b))*+\s*+/?>""", re.I)
+_TARGET = r"[^()\s]"
+for _ in range(8):
+    _TARGET = rf"(?:[^()\s]|\({_TARGET}*+\))"
+LINK = re.compile(rf"""\]\(\s*+(?:<[^<>\n]*+>|{_TARGET}*+)(?:\s++(?:"[^"]*+"|'[^']*+'|\([^()]*+\)))?+\s*+\)""")
 SHARD_LETTERS = 2_000_000
 ITEM_LETTERS = 4_000_000
 
@@ -53,7 +60,10 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     if "&" in text:
         for _ in range(2):
             text = html.unescape(text)
+    if "](" in text:
+        text = LINK.sub("]", text)
     if "<" in text:
+        text = LONG_TAG.sub(lambda m: "\n" if BLOCK_TAG.match(f"<{m[1]}>") else "", text)
         text = TAG.sub("", BLOCK_TAG.sub("\n", text))
     if "](" in text:
         text = LINK.sub("]", text)

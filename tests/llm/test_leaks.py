@@ -107,3 +107,28 @@ def test_non_latin_letters_are_compared_exactly(spark):
     greek = "ένα δύο τρία τέσσερα πέντε έξι επτά οκτώ εννέα δέκα έντεκα δώδεκα"
     docs = spark.createDataFrame([(1, greek.upper()), (2, greek.replace("δέκα", "δέκβ"))], DOCS)
     assert {r["doc_id"] for r in leaks.leaked_documents(docs, spark.createDataFrame([(1, greek)], ITEMS)).collect()} == {1}
+
+
+LONG_MARKUP = {
+    "image data": f'comité décide <img src="data:image/png;base64,{"QUJD" * 400}==" alt="a > b"/>que la réserve du siège paie 357 euros à la',
+    "attribute list": f"comité décide <span {' '.join(f'data-k{i}="v{i}"' for i in range(90))} hidden>que la réserve</span> du siège paie 357 euros à la",
+    "long target": f"comité [décide](https://x.org/{'a' * 3000}) que la réserve du siège paie 357 euros à la",
+    "link title": "comité [décide](https://x.org/p \"Un titre\") que la [réserve](<u> 'deux mots') du siège paie 357 euros à la",
+    "nested brackets": "comité [décide](https://x.org/a_(b_(c))_d) que la réserve du siège paie 357 euros à la",
+}
+
+
+@pytest.mark.parametrize("name", LONG_MARKUP)
+def test_markup_of_any_length_makes_no_difference(name):
+    plain = leaks.letters("comité décide que la réserve du siège paie 357 euros à la")
+    assert all(np.array_equal(a, b) for a, b in zip(leaks.letters(LONG_MARKUP[name]), plain))
+
+
+def test_prose_after_a_less_than_sign_stays():
+    prose = "où <b vaut moins " + "mot, " * 200 + "et c> d"
+    assert len(leaks.letters(prose)[0]) > 600
+
+
+def test_unclosed_markup_is_scanned_in_linear_time():
+    for t in ("<a b=" * 50_000, '<a b="' * 50_000, "](" * 100_000, "](a " * 50_000, "<a " * 50_000):
+        leaks.letters(t)
