@@ -97,43 +97,63 @@ def width_guard(df: DataFrame, column: str, width: int) -> DataFrame:
     return df.withColumn(column, F.when(F.size(column) == width, F.col(column)).otherwise(bad.cast(df.schema[column].dataType)))
 
 
-def scan_topk(questions: DataFrame, vectors: DataFrame, k: int, scores, block: int = 4000, digits: int = 9) -> DataFrame:
-    """(query_id, chunk_id, score): what may be among each question's k best, by a scan of all vectors.
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row of a flat list, by score and then the smaller id, in that order."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, scores, ids = rows[order], scores[order], ids[order]
+    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    nth = np.arange(len(rows)) - np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
+    return rows[nth < k], scores[nth < k], ids[nth < k]
+
+
+def scan_topk(questions: DataFrame, vectors: DataFrame, k: int, scores, block: int = 50_000, digits: int = 9) -> DataFrame:
+    """(query_id, chunk_id, score): what may be among each question's k best, by one scan of all vectors.
 
     ``questions`` has (query_id, embedding), ``vectors`` (chunk_id, embedding);
-    NULL embeddings are left out. ``scores(q, x, query_ids, chunk_ids)`` gives
-    the score matrix of two blocks of vectors. The questions travel to the
-    tasks in blocks of at most ``block``; each Arrow batch of vectors keeps its
-    k best per question and ties with the last, so what is shuffled is about k
-    rows per question and batch.
+    NULL embeddings are left out, and a width unlike the first question's fails
+    the query. ``scores(q, x, query_ids, chunk_ids)`` gives the score matrix of
+    two blocks of vectors, -inf for pairs that do not count. The questions
+    travel to the tasks at most ``block`` a scan, and each task keeps a running
+    top k per question, which it gives out once at its end: k rows per question
+    and task are shuffled, whatever the number of vectors. Scores are rounded
+    to ``digits``; equal ones go to the smaller chunk_id.
     """
     rows = questions.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("e")).where("e is not null and query_id is not null").orderBy("query_id")
     source = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and chunk_id is not null")
-    kind, slack = "query_id bigint, chunk_id bigint, score double", 2 * 10.0**-digits
+    kind, at_once = "query_id bigint, chunk_id bigint, score double", 1024
 
     def part(ids, vs):
         known = questions.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(vs, np.float64).reshape(len(ids), -1)))
 
         def score(batches):
             qid, q = known.value
+            blocks = range(0, len(qid), at_once)
+            held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in blocks]
+            floor = np.full(len(qid), -np.inf)
             for b in batches:
                 n = b.num_rows
                 if not n:
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
                 cid = b.column(0).to_numpy()
-                s = scores(q, x, qid, cid)
-                keep = min(k, n)
-                at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                edge = np.take_along_axis(s, at, 1).min(1)
-                # What rounds to a tie with the k-th is kept; the ranking decides by id.
-                r, c = np.nonzero((s >= edge[:, None] - slack) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[c]), pa.array(np.round(s[r, c], digits))], ["query_id", "chunk_id", "score"])
-
-        return source.mapInArrow(score, kind)
+                for i, a in enumerate(blocks):
+                    s = np.round(scores(q[a : a + at_once], x, qid[a : a + at_once], cid).astype(np.float64), digits)
+                    low = floor[a : a + at_once]
+                    if n > k:
+                        low = np.maximum(low, np.partition(s, n - k, axis=1)[:, n - k])
+                    r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+                    held[i] = r, v, _ = _best(*(np.concatenate(p) for p in zip(held[i], (r, s[r, c], cid[c]))), k)
+                    full = np.flatnonzero(np.bincount(r, minlength=len(low)) == k)
+                    floor[a + full] = v[np.searchsorted(r, full, side="right") - 1]
+            for (r, v, ids), a in zip(held, blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[a + r], pa.int64()), pa.array(ids, pa.int64()), pa.array(v, pa.float64())], ["query_id", "chunk_id", "score"])
+
+        return width_guard(source, "embedding", len(vs[0])).mapInArrow(score, kind)
 
     result, ids, vs = None, [], []
     for r in rows.toLocalIterator():
+        if vs and len(r["e"]) != len(vs[0]):
+            raise ValueError(f"question {r['query_id']} has width {len(r['e'])}, others {len(vs[0])}")
         ids.append(r["query_id"])
         vs.append(r["e"])
         if len(ids) == block:
@@ -150,7 +170,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 4000) -> DataFrame:
+def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 50_000) -> DataFrame:
     """Exact cosine top k of each question: (query_id, chunk_id, score, rank). All-zero vectors are never found; equal scores, to nine digits, go to the smaller id."""
 
     def scores(q, x, qid, cid):
