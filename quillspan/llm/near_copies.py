@@ -1,15 +1,22 @@
 """Problem 4: records that share most of their wording.
 
 Method: prefix join with parity sketches. The word shingles of a record are
-put in one order for all records, rarest first (counted over all records in a
-table of bounded size). Two records with the similarity share a shingle among
+put in one order for all records, rarest first; how often each occurs is
+counted over all records. Two records with the similarity share a shingle among
 the first of each, so records are joined on every shingle of those prefixes:
-no pair is lost, whatever its shingles have in common with others. Of the pairs
-so met, those are dropped that cannot have the similarity if the shingle is the
-rarest they share: what follows it is too short, or the parity sketches of what
-follows differ in too many bits. The candidates are checked against a 256-bit
-parity sketch of the whole record, whose Hamming distance never exceeds the
-symmetric difference, and what remains is verified on the full shingle sets.
+no pair is lost, whatever its shingles have in common with others. A shingle
+that only one record has takes a place of its prefix and is sent nowhere. Of
+the pairs so met, those are dropped that cannot have the similarity if the
+shingle is the rarest they share: what follows it is too short, or the parity
+sketches of what follows differ in too many bits. The candidates are checked
+against a 256-bit parity sketch of the whole record, whose Hamming distance
+never exceeds the symmetric difference, and what remains is verified on the
+full shingle sets.
+
+A record travels as the 64-bit hash of its shingle set, so equal sets are one
+record wherever they stand, and a text that a third of all rows repeat is
+compared once. Shingles are never stored: a pass over the texts makes them anew
+where they are needed, which is cheaper than writing them.
 
 The work grows with the pairs of records that share a shingle of their
 prefixes, so with the square of the records where a fixed share of them holds
@@ -19,35 +26,27 @@ the same ones.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.core.components import connected_components
 from quillspan.core.workspace import Stored, stored
 
-WORD = re.compile(r"[^\W_]+")
 KEYS_A_BUCKET = 500_000
-LONG_RUN = 1000
+COUNTS_A_BUCKET = 8_000_000
+LEAST_TABLE_BITS, MOST_TABLE_BITS = 16, 27
+LONG_RUN = 20_000
 PAIRS_AT_ONCE = 2_000_000
+LETTERS_AT_ONCE = 2_000_000
+SHINGLES_AT_ONCE = 4_000_000
 WIDE_SPARE = 16
 HOT = ["key", "size", "place", "r0", "r1", "r2", "r3"]
-SETS = "id bigint, num bigint, size int, sketch binary, shingles binary"
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, forgotten when too many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+RECORDS = "id bigint, num bigint, size int, sketch binary, keys binary, counts binary"
+_LETTERS: list = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,20 +58,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list, words: int, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, shingle) of the distinct shingles, sorted by both, and the words of each record.
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base and of its inverse, modulo 2^64, at least n of each."""
+    if len(_LETTERS) < 2:
+        known = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        _LETTERS[:] = [known, _mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(97)), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    if len(_LETTERS[2]) < n:
+        base = 0x9E3779B97F4A7C15
+        for i, b in ((2, base), (3, pow(base, -1, 1 << 64))):
+            _LETTERS[i] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))])
+    return _LETTERS[2], _LETTERS[3]
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in order, words of each text). A word is a run of letters or digits, lower case; a hash of it sums code points times powers of a base."""
+    joined = "\n".join(t.lower() if t else "" for t in texts)
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    up, down = _powers(len(cp) + 1)
+    inside = np.zeros(len(cp) + 2, bool)
+    inside[1:-1] = _LETTERS[0][cp]
+    start = np.flatnonzero(inside[1:] & ~inside[:-1])
+    end = np.flatnonzero(inside[:-1] & ~inside[1:])
+    total = np.zeros(len(cp) + 1, np.uint64)
+    np.cumsum(_LETTERS[1][cp] * up[: len(cp)], out=total[1:])
+    h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    # Letters of a text, counted after lower(), which may lengthen it.
+    ends = np.flatnonzero(cp == 10) if len(texts) == joined.count("\n") + 1 else np.cumsum([len(t.lower()) + 1 if t else 1 for t in texts]) - 1
+    own = np.searchsorted(ends, start) if len(texts) > 1 else np.zeros(len(start), np.int64)
+    return h, np.bincount(own, minlength=len(texts))
+
+
+def shingle_sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, shingle, words of each record): the distinct shingles, sorted by both.
 
     A shingle is a 32-bit hash of ``words`` consecutive words.
     """
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
-    many = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((cache[w] for ws in found for w in ws), np.uint64, int(many.sum()))
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= LETTERS_AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        parts.append(word_hashes(texts[at:end]))
+        at = end
+    flat, many = (np.concatenate(p) for p in zip(*parts))
     if len(flat) < words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32), many
-    h = flat[: len(flat) - words + 1] * np.uint64(0)
+    h = np.zeros(len(flat) - words + 1, np.uint64)
     for i in range(words):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + flat[i : len(flat) - words + 1 + i])
-    own = np.repeat(np.arange(len(found)), many)
+    own = np.repeat(np.arange(len(many)), many)
     whole = own[: len(h)] == own[words - 1 :]
     key = (own[: len(h)][whole].astype(np.uint64) << np.uint64(32)) | (h[whole] >> np.uint64(32))
     key.sort()
@@ -80,6 +115,48 @@ def shingle_sets(texts: list, words: int, cache: dict) -> tuple[np.ndarray, np.n
     return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), many
 
 
+def _sets_of(batches, words: int, min_words: int):
+    """Yields (ids, nums, place of each id's set, record, shingle, size) of bounded pieces of the texts; the sets of a piece are distinct."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            end, letters = at, 0
+            while end < len(texts) and (end == at or letters + len(texts[end]) <= 8 * SHINGLES_AT_ONCE):
+                letters += len(texts[end])
+                end += 1
+            own, sh, many = shingle_sets(texts[at:end], words)
+            begin = np.searchsorted(own, np.arange(end - at + 1))
+            good = np.flatnonzero((many >= min_words) & (np.diff(begin) > 0))
+            raw = sh.tobytes()
+            num = np.fromiter((xxhash.xxh64_intdigest(raw[4 * begin[i] : 4 * begin[i + 1]]) for i in good), np.uint64, len(good)).view(np.int64)
+            nums, first, back = np.unique(num, return_index=True, return_inverse=True)
+            keep = good[first]
+            size = np.diff(begin)[keep]
+            take = np.repeat(begin[keep], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            yield ids[at:end][good], nums, back, np.repeat(np.arange(len(keep)), size), sh[take], size
+            at = end
+
+
+def _grouped(pieces, bound: int):
+    """Pieces of ``_sets_of`` put together until they have about ``bound`` shingles: (nums, record, shingle, size)."""
+    held, total = [], 0
+    for _, nums, _, own, sh, size in pieces:
+        held.append((nums, own, sh, size))
+        total += len(sh)
+        if total >= bound:
+            yield _together(held)
+            held, total = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list) -> tuple[np.ndarray, ...]:
+    shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] + s for h, s in zip(held, shift)]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+
+
 def parity_sketch(own: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
     """256 bits a record: each shingle flips one. Two sketches differ in at most as many bits as their sets differ in shingles."""
     bit = (_mix(shingles.astype(np.uint64) + np.uint64(11)) >> np.uint64(56)).astype(np.int64)
@@ -87,33 +164,22 @@ def parity_sketch(own: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), axis=1)
 
 
-def bands(size: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(band, mask): any two sizes within a factor of two, or less, share a band."""
-    out, band = [], 0
-    while True:
-        low, high = (0 if band == 0 else 128 * 4 ** (band - 1)), 256 * 4**band
-        out.append((band, (size >= low) & (size < high)))
-        if not (size >= high).any():
-            return out
-        band += 1
-
-
-def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """(record, shingle, place, rest) of the postings, from (record, shingle) sorted by record.
 
-    ``count`` is how many records share each shingle's slot. Two sets with the
-    similarity share a shingle among the first ``size - ceil(similarity * size)
-    + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` are
+    ``level`` is how common each shingle is, 0 if only one record has it. Two
+    sets with the similarity share a shingle among the first ``size -
+    ceil(similarity * size) + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` are
     the parities of all after it, of 64 bits and of 192 (three columns). A
-    shingle that is alone in its slot has no partner and is left out.
+    shingle that one record has alone has no partner and is left out. At most
+    2^24 records at a time.
     """
-    rare = np.minimum(np.log2(count) * 2048, 0xFFFF).astype(np.uint64)
-    order = np.argsort((own.astype(np.uint64) << np.uint64(48)) | (rare << np.uint64(32)) | shingles.astype(np.uint64))
-    sh, count = shingles[order], count[order]
+    order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | shingles.astype(np.uint64))
+    sh, level = shingles[order], level[order]
     begin = np.cumsum(size) - size
     place = np.arange(len(sh)) - begin[own]
     many = size[own]
-    use = (place <= many - np.ceil(similarity * many - 1e-9)) & (count > 1)
+    use = (place <= many - np.ceil(similarity * many - 1e-9)) & (level > 0)
     last = (begin + size - 1)[own[use]]
     h = _mix(sh.astype(np.uint64) + np.uint64(47))
     one, wide = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(0xFFFFFFFF)) % np.uint64(192)
@@ -174,118 +240,98 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _sets(chunks: DataFrame, words: int, min_words: int) -> DataFrame:
-    def rows(batches):
-        cache, part, done = _Hashes(), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                piece = b.slice(at, 4096)
-                texts = piece.column(1).to_pylist()
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                own, sh, many = shingle_sets(texts, words, cache)
-                begin = np.searchsorted(own, np.arange(len(texts) + 1))
-                size = np.diff(begin)
-                good = np.flatnonzero((many >= min_words) & (size > 0))
-                if not len(good):
-                    continue
-                first, rep = {}, np.empty(len(good), np.int64)
-                raw = sh.tobytes()
-                for j, i in enumerate(good):
-                    rep[j] = first.setdefault(raw[4 * begin[i] : 4 * begin[i + 1]], j)
-                new = rep == np.arange(len(good))
-                num = np.cumsum(new) - 1 + done
-                num = (num[rep] + (part << 32)).astype(np.int64)
-                done += int(new.sum())
-                sketch = parity_sketch(own, sh, len(texts))[good]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[good]),
-                        pa.array(num),
-                        pa.array(size[good].astype(np.int32)),
-                        pa.array([s.tobytes() if f else None for s, f in zip(sketch, new)], pa.binary()),
-                        pa.array([raw[4 * begin[i] : 4 * begin[i + 1]] if f else None for i, f in zip(good, new)], pa.binary()),
-                    ],
-                    ["id", "num", "size", "sketch", "shingles"],
-                )
-
-    return chunks.mapInArrow(rows, SETS)
-
-
-def _loaded(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, shingle, size) from a binary column of sets."""
-    c = column
-    o = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-    sh = np.frombuffer(c.buffers()[2], np.uint8)[o[0] : o[-1]].view(np.uint32)
-    size = np.diff(o) // 4
-    return np.repeat(np.arange(len(c)), size), sh, size
-
-
-def _slots(shingles: np.ndarray, table_bits: int) -> np.ndarray:
-    return (_mix(shingles.astype(np.uint64) + np.uint64(29)) >> np.uint64(64 - table_bits)).astype(np.int64)
-
-
-def _summed(df: DataFrame, kind: str, table: int, block: int, dtype, merge) -> np.ndarray:
-    """A table of ``table`` entries merged from the blocks (at, part) of all tasks."""
-    out = np.zeros(table, dtype)
-
-    def join(t):
-        x = np.frombuffer(t["part"][0].as_py(), dtype).copy()
-        for p in t["part"].to_pylist()[1:]:
-            x = merge(x, np.frombuffer(p, dtype))
-        return pa.table({"at": t["at"][:1], "part": [x.tobytes()]})
-
-    for r in df.groupBy("at").applyInArrow(join, kind).collect():
-        out[r["at"] : r["at"] + block] = np.frombuffer(r["part"], dtype)
-    return out
-
+def _records(texts: DataFrame, words: int, min_words: int) -> DataFrame:
+    """(id, num) of every usable text, with size and sketch where its set is new to the piece, and beside them rows (keys, counts): the sorted shingles of a task's piece and how many sets of it have each."""
 
-def _rarity(sets: DataFrame, table_bits: int) -> np.ndarray:
-    """How many records have a shingle in each slot of the table, over all records."""
-    block = 1 << 14
+    def rows(batches):
+        def counted(pieces):
+            for ids, nums, back, own, sh, size in pieces:
+                sketch = parity_sketch(own, sh, len(nums))
+                _, first = np.unique(back, return_index=True)
+                fresh = np.zeros(len(ids), bool)
+                fresh[first] = True
+                out.append((ids, nums[back], size[back], [sketch[j].tobytes() if f else None for j, f in zip(back, fresh)]))
+                yield ids, nums, back, own, sh, size
+
+        out: list = []
+        for _, _, sh, _ in _grouped(counted(_sets_of(batches, words, min_words)), SHINGLES_AT_ONCE):
+            for ids, num, size, sketch in out:
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(num, pa.int64()), pa.array(size.astype(np.int32)), pa.array(sketch, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["id", "num", "size", "sketch", "keys", "counts"])
+            out.clear()
+            keys, counts = np.unique(sh, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([_planes(np.diff(keys, prepend=np.uint32(0)))], pa.binary()), pa.array([_planes(counts)], pa.binary())], ["id", "num", "size", "sketch", "keys", "counts"])
+
+    return texts.mapInArrow(rows, RECORDS)
+
+
+def _levels(records: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(table, bits): a level for every slot of shingles, 0 where no shingle of the slot is in two records.
+
+    Slots are ranges of shingles; a slot's level is 8 log2 of the records that
+    have the most common shingle of it, counted exactly by a shuffle. The table
+    grows with the records up to 2^27 bytes. Beyond, slots are shared by
+    more shingles and the order is less exactly rarest first, which costs time
+    and loses nothing: any order that is one for all records will do.
+    """
+    bits = min(MOST_TABLE_BITS, max(LEAST_TABLE_BITS, math.ceil(math.log2(32 * max(n, 1)))))
+    ranges = 1 << min(bits, max(4, math.ceil(math.log2(max(1, n * 100 / COUNTS_A_BUCKET)))))
+    width = 1 << (bits - int(math.log2(ranges)))
 
-    def count(batches):
-        n = np.zeros(1 << table_bits, np.int32)
+    def cut(batches):
         for b in batches:
-            n += np.bincount(_slots(_loaded(b.column(0))[1], table_bits), minlength=len(n)).astype(np.int32)
-        for a in range(0, len(n), block):
-            if n[a : a + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([n[a : a + block].tobytes()])], ["at", "part"])
-
-    kind = "at bigint, part binary"
-    return _summed(sets.select("shingles").mapInArrow(count, kind), kind, 1 << table_bits, block, np.int32, np.add)
-
-
-def _candidates(sets: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of records that may have the similarity; none that has it is missing. Postings travel packed by bucket, a range of shingles."""
-    table_bits = min(24, max(20, math.ceil(math.log2(max(n, 1)) + 4)))
-    known = sets.sparkSession.sparkContext.broadcast(_rarity(sets, table_bits))
+            for k, c in zip(b.column(0), b.column(1)):
+                keys, counts = np.cumsum(_from_planes(k.as_py()), dtype=np.uint32), _from_planes(c.as_py())
+                edge = np.searchsorted(keys, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+                some = np.flatnonzero(np.diff(edge))
+                parts = [(keys[edge[i] : edge[i + 1]], counts[edge[i] : edge[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_planes(np.diff(x, prepend=np.uint32(0))) for x, _ in parts], pa.binary()), pa.array([_planes(y) for _, y in parts], pa.binary())], ["at", "keys", "counts"])
+
+    def merged(t):
+        keys = np.concatenate([np.cumsum(_from_planes(k.as_py()), dtype=np.uint32) for c in t["keys"].chunks for k in c])
+        counts = np.concatenate([_from_planes(k.as_py()) for c in t["counts"].chunks for k in c])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        total = np.add.reduceat(counts, begin)
+        keys, total = keys[begin][total > 1], total[total > 1]
+        level = np.zeros(width, np.uint8)
+        np.maximum.at(level, (keys >> np.uint32(32 - bits)).astype(np.int64) - t["at"][0].as_py() * width, np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
+        return pa.table({"at": t["at"][:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    pieces = records.where("keys is not null").select("keys", "counts").mapInArrow(cut, "at int, keys binary, counts binary").repartition(ranges, "at")
+    table = np.zeros(1 << bits, np.uint8)
+    for r in pieces.groupBy("at").applyInArrow(merged, "at int, level binary").collect():
+        table[r["at"] * width : (r["at"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
+    return table, bits
+
+
+def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of sets that may have the similarity; none that has it is missing. Postings travel packed by bucket, a range of shingles."""
+    level, bits = _levels(records, n)
+    known = texts.sparkSession.sparkContext.broadcast(level)
     buckets = max(12, math.ceil(n * 50 / KEYS_A_BUCKET))
     share = similarity / (1 + similarity)
 
     def postings(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1 << 15):
-                b = batch.slice(a, 1 << 15)
-                own, sh, size = _loaded(b.column(1))
-                num = b.column(0).to_numpy()
-                at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[_slots(sh, table_bits)], similarity)
-                bucket, part = (key.astype(np.int64) * buckets) >> 32, num[at] >> 32
-                order = np.lexsort((key, part, bucket))
-                bucket, part, key, place, rest, at = bucket[order], part[order], key[order], place[order], rest[order], at[order]
-                many = size[at].astype(np.int64)
-                wide = _is_wide(many, place, similarity)
-                idx = (num[at] & 0xFFFFFFFF).astype(np.uint32)
-                begin = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, int)
-                cuts = list(zip(begin, np.r_[begin[1:], len(key)]))
-                packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [idx[x:y].tobytes() for x, y in cuts], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
-                packed += [[rest[x:y, 0].tobytes() for x, y in cuts], [rest[x:y, 1:][wide[x:y]].tobytes() for x, y in cuts]]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(part[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "part", "keys", "idx", "sizes", "places", "rests", "wides"])
+        for num, own, sh, size in _grouped(_sets_of(batches, words, min_words), SHINGLES_AT_ONCE):
+            at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[sh >> np.uint32(32 - bits)], similarity)
+            bucket = (key.astype(np.int64) * buckets) >> 32
+            order = np.argsort(key, kind="stable")
+            bucket, key, place, rest, at = bucket[order], key[order], place[order], rest[order], at[order]
+            many = size[at].astype(np.int64)
+            wide = _is_wide(many, place, similarity)
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, int)
+            cuts = list(zip(begin, np.r_[begin[1:], len(key)]))
+            packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [num[at[x:y]].tobytes() for x, y in cuts], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
+            packed += [[rest[x:y, 0].tobytes() for x, y in cuts], [rest[x:y, 1:][wide[x:y]].tobytes() for x, y in cuts]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "keys", "nums", "sizes", "places", "rests", "wides"])
 
     def pairs(table):
         key, num, size, place, rest = [], [], [], [], []
-        for r in table.select(["part", "keys", "idx", "sizes", "places", "rests", "wides"]).to_pylist():
+        for r in table.select(["keys", "nums", "sizes", "places", "rests", "wides"]).to_pylist():
             key.append(np.cumsum(_from_planes(r["keys"]), dtype=np.uint32))
-            num.append(np.frombuffer(r["idx"], np.uint32).astype(np.int64) | (r["part"] << 32))
+            num.append(np.frombuffer(r["nums"], np.int64))
             size.append(_from_planes(r["sizes"]).astype(np.int64))
             place.append(_from_planes(r["places"]).astype(np.int64))
             full = np.zeros((len(key[-1]), 4), np.uint64)
@@ -293,7 +339,9 @@ def _candidates(sets: DataFrame, n: int, similarity: float) -> DataFrame:
             full[_is_wide(size[-1], place[-1], similarity), 1:] = np.frombuffer(r["wides"], np.uint64).reshape(-1, 3)
             rest.append(full)
         key, num, size, place, rest = (np.concatenate(c) for c in (key, num, size, place, rest))
-        order = np.lexsort((size, key))
+        order = np.lexsort((num, size, key))
+        # Equal sets of several tasks are one posting.
+        order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (num[order][1:] != num[order][:-1])]] if len(order) else order
         key, num, size, place, rest = key[order], num[order], size[order], place[order], rest[order]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         run = np.diff(np.r_[begin, len(key)])
@@ -304,15 +352,16 @@ def _candidates(sets: DataFrame, n: int, similarity: float) -> DataFrame:
         met = [np.zeros((0, 2), np.int64)]
         for x, y in posting_pairs(key[short], many, at, rest[short], similarity):
             met.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-        met = np.unique(np.concatenate(met), axis=0)
-        met = met[met[:, 0] != met[:, 1]]
-        n, none = len(met), pa.nulls(len(met), pa.int64())
+        met = np.concatenate(met)
+        met = met[np.lexsort((met[:, 1], met[:, 0]))]
+        met = met[np.r_[True, (met[1:] != met[:-1]).any(1)]] if len(met) else met
+        none = pa.nulls(len(met), pa.int64())
         long = [num[hot], key[hot].astype(np.int64), size[hot], place[hot], *rest[hot].view(np.int64).T]
         columns = [pa.chunked_array([none, pa.array(np.ascontiguousarray(c))]) for c in long[1:]]
         columns = [pa.chunked_array([pa.array(met[:, 0].copy()), pa.array(long[0])]), pa.chunked_array([pa.array(met[:, 1].copy()), pa.nulls(len(long[0]), pa.int64())]), *columns]
         return pa.Table.from_arrays(columns, ["a", "b", *HOT])
 
-    packed = sets.select("num", "shingles").mapInArrow(postings, "bucket int, part int, keys binary, idx binary, sizes binary, places binary, rests binary, wides binary")
+    packed = texts.mapInArrow(postings, "bucket int, keys binary, nums binary, sizes binary, places binary, rests binary, wides binary").repartition(buckets, "bucket")
     found = stored(packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in HOT)), "candidates")
     short = found.where("b is not null").select("a", "b")
     # The members of a long run are joined by Spark, which sorts, spills and splits them; the conditions are those of posting_pairs.
@@ -328,10 +377,27 @@ def _candidates(sets: DataFrame, n: int, similarity: float) -> DataFrame:
     return short.unionByName(long).distinct()
 
 
-def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
+def _summed(df: DataFrame, kind: str, table: int, block: int) -> np.ndarray:
+    """A table of ``table`` bytes, the union of the blocks (at, part) of all tasks; merged in two steps, so that no task reads one block of every task."""
+    out = np.zeros(table, np.uint8)
+
+    def join(t):
+        x = np.frombuffer(t["part"][0].as_py(), np.uint8).copy()
+        for p in t["part"].to_pylist()[1:]:
+            x |= np.frombuffer(p, np.uint8)
+        return pa.table({"at": t["at"][:1], "part": [x.tobytes()]})
+
+    some = df.withColumn("g", F.spark_partition_id() % 32)
+    first = some.groupBy("at", "g").applyInArrow(lambda t: join(t), kind)
+    for r in first.groupBy("at").applyInArrow(join, kind).collect():
+        out[r["at"] : r["at"] + block] = np.frombuffer(r["part"], np.uint8)
+    return out
+
+
+def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words: int, min_words: int, similarity: float) -> DataFrame:
     """Candidates (a, b) whose sets have at least the similarity, with it."""
     spare = (1 - similarity) / (1 + similarity)
-    narrow = sets.select("num", "size", "sketch")
+    narrow = records.where("sketch is not null").select("num", "size", "sketch").dropDuplicates(["num"])
 
     def near(batches):
         for b in batches:
@@ -345,7 +411,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> Data
     right = narrow.select(F.col("num").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
     close = Stored(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "ka", "sb", "kb").mapInArrow(near, "a bigint, b bigint"), "close")
     pairs = close.df
-    # Only sets that some pair needs are shuffled: the others fail a membership filter of bounded size.
+    # Only sets that some pair needs are shuffled: the others fail a membership filter of at most 16 MB; where it is full, the joins alone drop them.
     nodes = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num")))
     bits = min(27, max(16, math.ceil(math.log2(16 * max(1, pairs.count())))))
     block = 1 << 14
@@ -363,13 +429,15 @@ def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([m[a : a + block].tobytes()])], ["at", "part"])
 
     kind = "at bigint, part binary"
-    member = sets.sparkSession.sparkContext.broadcast(_summed(nodes.mapInArrow(mark, kind), kind, (1 << bits) // 8, block, np.uint8, np.bitwise_or))
+    member = texts.sparkSession.sparkContext.broadcast(_summed(nodes.mapInArrow(mark, kind), kind, (1 << bits) // 8, block))
 
     def needed(batches):
         m = member.value
-        for b in batches:
-            s = slot(b.column(0).to_numpy())
-            yield b.filter(pa.array((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1))
+        for _, nums, _, _, sh, size in _sets_of(batches, words, min_words):
+            s = slot(nums)
+            keep = np.flatnonzero((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1)
+            begin = np.cumsum(size) - size
+            yield pa.RecordBatch.from_arrays([pa.array(nums[keep], pa.int64()), pa.array([sh[begin[i] : begin[i] + size[i]].tobytes() for i in keep], pa.binary())], ["num", "shingles"])
 
     def jaccard(batches):
         for b in batches:
@@ -383,7 +451,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> Data
                     sim.append(j)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    full = sets.select("num", "shingles").mapInArrow(needed, "num bigint, shingles binary")
+    full = texts.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"])
     left, right = full.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double")
 
@@ -393,10 +461,11 @@ def _linked(chunks: DataFrame, id_col: str, text_col: str, stock: DataFrame | No
     texts = chunks.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     if stock is not None:
         texts = texts.join(stock.select(F.col("text").alias("stock_text")).where("stock_text is not null"), F.col("text") == F.col("stock_text"), "left_anti")
-    sets = Stored(_sets(texts, shingle_words, max(min_words, shingle_words)), "sets").df
-    held = sets.where("shingles is not null")
-    links = Stored(_verified(held, _candidates(held, held.count(), similarity), similarity), "links").df
-    return sets.select("id", "num").distinct(), links
+    least = max(min_words, shingle_words)
+    records = Stored(_records(texts, shingle_words, least), "records").df
+    n = records.where("sketch is not null").count()
+    links = Stored(_verified(texts, records, _candidates(texts, records, n, shingle_words, least, similarity), shingle_words, least, similarity), "links").df
+    return records.where("id is not null").select("id", "num").distinct(), links
 
 
 def near_copies(
@@ -415,8 +484,8 @@ def near_copies(
     to a stock text have no pairs. Repeated deliveries of an id count once;
     records with equal sets are pairs, however many there are. Texts of any
     length are used whole. Extra columns are ignored; an empty table gives no
-    rows. The result has a row per pair by definition; use ``near_copy_groups``
-    where a class per record is enough.
+    rows. The result has a row per pair by definition, so m equal texts give m
+    (m - 1) / 2; use ``near_copy_groups`` where a class per record is enough.
     """
     members, links = _linked(chunks, id_col, text_col, stock, shingle_words, similarity, min_words)
     a = members.select(F.col("num").alias("a"), F.col("id").alias("ia"))
@@ -440,8 +509,8 @@ def near_copy_groups(
 ) -> DataFrame:
     """One row per record that has a near copy: (group_id, chunk_id, links).
 
-    ``links`` counts the different texts (distinct shingle sets within a batch)
-    the record's text is linked to; groups are the components of links and of
+    ``links`` counts the different texts (distinct shingle sets) the record's
+    text is linked to; groups are the components of links and of
     equal sets, named by their smallest id. Exact copies are never expanded
     into pairs. Inputs are treated as in ``near_copies``.
     """

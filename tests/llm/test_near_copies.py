@@ -116,17 +116,9 @@ def test_parity_sketch_bounds_the_difference():
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= 55
 
 
-def test_any_two_sizes_within_a_factor_of_two_share_a_band():
-    size = np.arange(1, 5000)
-    masks = [m for _, m in nc.bands(size)]
-    for s in range(1, 2400):
-        for t in (s, s + s // 2, 2 * s):
-            assert any(m[s - 1] and m[t - 1] for m in masks), (s, t)
-
-
 @pytest.mark.parametrize("texts", [[], [None], ["", "a b"], ["a b c", None, "A-b_c"]])
 def test_shingles_of_odd_texts(texts):
-    own, sh, many = nc.shingle_sets(texts, 3, nc._Hashes())
+    own, sh, many = nc.shingle_sets(texts, 3)
     assert len(own) == len(sh) == sum(m >= 3 for m in many)
 
 
@@ -158,3 +150,29 @@ def test_short_pairs_of_shared_words_at_the_threshold(spark):
     t = [f"c{i}" for i in range(20)]
     rows = [(i, " ".join([*t[:-1], f"end{i}"])) for i in range(40)] + [(100 + i, text(60)) for i in range(80)]
     assert pairs(nc.near_copies(frame(spark, rows), shingle_words=3, similarity=0.5)) == brute(rows)
+
+
+@pytest.mark.parametrize("texts", [["Aé-B_c 12", "İstanbul ǅ", None, "", "x\ny"], ["one"], ["a\n\nb", "c"]])
+def test_words_are_those_of_the_pattern(texts):
+    h, many = nc.word_hashes(texts)
+    want = [re.findall(r"[^\W_]+", t.lower()) if t else [] for t in texts]
+    assert many.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    seen = {}
+    assert all(seen.setdefault(w, v) == v for w, v in zip(flat, h.tolist())) and len(set(seen.values())) == len(seen)
+
+
+def test_one_text_in_many_batches_is_one_record(spark):
+    t, other = text(60), text(60)
+    rows = [(i, t) for i in range(400)] + [(1000, edited(t, 1)), (1001, other), (1002, edited(other, 1))]
+    got = nc.near_copy_groups(frame(spark, rows).repartition(16), shingle_words=3, similarity=0.5).collect()
+    links = {r["chunk_id"]: r["links"] for r in got}
+    assert len(got) == 403 and set(links.values()) == {1}
+
+
+@pytest.mark.parametrize("bits", [2, 6, 10])
+def test_a_full_rarity_table_loses_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(nc, "LEAST_TABLE_BITS", bits)
+    monkeypatch.setattr(nc, "MOST_TABLE_BITS", bits)
+    rows = corpus() + [(3000 + i, t) for i, t in common()]
+    assert pairs(nc.near_copies(frame(spark, rows).repartition(3), shingle_words=3, similarity=0.5)) == brute(rows)
