@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,12 @@ from quillspan.core.workspace import stored
 TOKENIZERS = os.environ.get("QUILLSPAN_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the published pre-tokenisation pattern that belongs to byte-level BPE vocabularies of this kind.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONGEST_PIECE = 20_000
+# Text is cut for encoding only before a blank that a letter or digit follows and none precedes: the pattern begins a piece there, so no count changes.
+CUT = re.compile(r"(?<=\S) (?=[^\W_])")
+PIECE_LETTERS = 20_000
 _LOADED: dict = {}
+#: A source is balanced when what it gives is this near its target, as a share of it.
+TOLERANCE = 1e-9
 
 
 def encoding(path: str):
@@ -38,16 +43,19 @@ def encoding(path: str):
 
 
 def token_counts(texts: list, path: str) -> list[int]:
-    """Tokens of each text; special tokens in a text are ordinary text. Very long texts are encoded whole, piece after piece cut at white space."""
+    """Tokens of each text; special tokens in a text are ordinary text.
+
+    Very long texts are encoded piece after piece, cut where the tokenizer's
+    own pattern begins a piece, so the counts are those of the whole text. A
+    run without such a place is encoded in one piece, however long.
+    """
     enc = encoding(path)
     out = []
     for t in texts:
         n, at = 0, 0
         while at < len(t):
-            end = min(len(t), at + LONGEST_PIECE)
-            if end < len(t):
-                blank = t.rfind(" ", at + 1, end)
-                end = blank if blank > at else end
+            cut = CUT.search(t, at + PIECE_LETTERS) if len(t) - at > PIECE_LETTERS else None
+            end = cut.start() if cut else len(t)
             n += len(enc.encode_ordinary(t[at:end]))
             at = end
         out.append(n)
@@ -79,11 +87,12 @@ class Mixture:
     repeated sources the shares add up and the greatest cap holds; sources
     without a target are not drawn. Ties and repeated documents need no care:
     every row is a document of its own. Empty documents or targets give empty
-    results. A source falls short if its target exceeds ``max_repeats`` times
-    its tokens; then all its documents are drawn that often.
+    results. A source falls short if the balanced rates leave it below its
+    target: its multiplier has grown until every document is drawn at the cap
+    and the tokens so drawn are still too few, or it has no tokens to draw.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str | None = None, rounds: int = 40):
+    def __init__(self, documents: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str | None = None, rounds: int = 100):
         self.docs = stored(document_tokens(documents, tokenizer), "tokens")
         goal = targets.select(F.lower(F.trim("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("double").alias("cap"))
         goal = goal.where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
@@ -93,47 +102,57 @@ class Mixture:
             "tokens": F.coalesce("tokens", F.lit(0)),
             "docs": F.coalesce("docs", F.lit(0)),
             "want": F.col("share") * (F.lit(float(budget)) if budget is not None else F.col("total")),
-        }).withColumn("short", F.col("want") > F.col("cap") * F.col("tokens")), "plan")
+        }), "plan")
+        self.sizes = stored(self.docs.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("many")), "sizes")
         self.multipliers = self._solve(rounds)
+        # What the solution draws, before rounding into copies, against the target.
+        drawn = self.sizes.join(F.broadcast(self.multipliers), "source").groupBy("source").agg(F.sum(self._rate() * F.col("tokens") * F.col("many")).alias("reached"))
+        reached = F.coalesce("reached", F.lit(0.0))
+        self.plan = self.plan.join(F.broadcast(drawn), "source", "left").withColumn("short", F.col("want") - reached > TOLERANCE * F.col("want"))
 
     def _rate(self):
         """exp(multiplier * size relative to the source's mean), at most the cap."""
-        return F.when(F.col("m").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.exp(F.least(F.col("m") * F.col("tokens") / F.col("unit"), F.lit(500.0)))))
+        return F.least(F.col("cap"), F.exp(F.least(F.col("m") * F.col("tokens") / F.col("unit"), F.lit(500.0))))
 
     def _solve(self, rounds: int) -> DataFrame:
-        """(source, m, unit, cap): m is NULL where every document is drawn at the cap.
+        """(source, m, unit, cap) of the sources with something to draw.
 
         The dual is separable: one multiplier a source, kept in a table with
-        one row per target source; each round is one aggregate over all
-        documents by source, partial sums first. Newton steps are kept inside
-        a bracket that every round tightens.
+        one row per target source; each round is one aggregate over the sizes
+        of each source, counted first, since documents of equal size have equal
+        rates: what a round reads is bounded by the distinct sizes, and the
+        corpus is read once. Newton steps are kept inside a bracket that every
+        round tightens. A source whose documents are all at the cap cannot give
+        more, and its multiplier stays there.
         """
         spark = self.docs.sparkSession
-        sources = [r for r in self.plan.where("docs > 0 and want > 0 and cap > 0").select("source", "want", "cap", "tokens", "docs", "short").collect()]
-        state = {r["source"]: {"m": None if r["short"] else 0.0, "unit": max(1.0, r["tokens"] / r["docs"]), "cap": r["cap"], "want": r["want"], "lo": None, "hi": None, "done": r["short"]} for r in sources}
+        sizes = self.sizes
+        sources = self.plan.where("tokens > 0 and want > 0 and cap > 0").select("source", "want", "cap", "tokens", "docs").collect()
+        state = {r["source"]: {"m": 0.0, "unit": max(1.0, r["tokens"] / r["docs"]), "cap": r["cap"], "want": r["want"], "lo": None, "hi": None, "done": False} for r in sources}
         kind = "source string, m double, unit double, cap double"
         for _ in range(rounds):
             live = [(s, v["m"], v["unit"], v["cap"]) for s, v in state.items() if not v["done"]]
             if not live:
                 break
             now = F.broadcast(spark.createDataFrame(live, kind))
-            rate = self._rate()
-            got = self.docs.join(now, "source").select("source", "tokens", "unit", "cap", rate.alias("c")).groupBy("source").agg(
-                F.sum(F.col("c") * F.col("tokens")).alias("have"), F.sum(F.when(F.col("c") < F.col("cap"), F.col("c") * F.col("tokens") * F.col("tokens") / F.col("unit")).otherwise(0.0)).alias("slope")
+            got = sizes.join(now, "source").select("source", "tokens", "many", "unit", "cap", self._rate().alias("c")).groupBy("source").agg(
+                F.sum(F.col("c") * F.col("tokens") * F.col("many")).alias("have"),
+                F.sum(F.when(F.col("c") < F.col("cap"), F.col("c") * F.col("tokens") * F.col("tokens") / F.col("unit") * F.col("many")).otherwise(0.0)).alias("slope"),
+                F.min((F.col("c") >= F.col("cap")) | (F.col("tokens") == 0)).alias("full"),
             )
             for r in got.collect():
                 v = state[r["source"]]
                 miss = r["have"] - v["want"]
-                if abs(miss) <= 1e-9 * v["want"]:
+                if abs(miss) <= TOLERANCE * v["want"] or (miss < 0 and r["full"]):
                     v["done"] = True
                     continue
                 v["hi" if miss > 0 else "lo"] = v["m"]
-                step = v["m"] - miss / r["slope"] if r["slope"] > 0 else None
                 lo, hi = v["lo"], v["hi"]
-                inside = step is not None and (lo is None or step > lo) and (hi is None or step < hi)
-                if not inside:
-                    step = (lo + hi) / 2 if lo is not None and hi is not None else (lo * 2 + 1 if lo is not None and lo >= 0 else lo / 2 + 0.5) if hi is None else (hi * 2 - 1 if hi <= 0 else hi / 2 - 0.5)
-                v["m"] = max(-700.0, min(700.0, step))
+                step = v["m"] - miss / r["slope"] if r["slope"] > 0 else None
+                if step is None or (lo is not None and step <= lo) or (hi is not None and step >= hi):
+                    # Outside the bracket: halve it, or look further on its open side.
+                    step = (lo + hi) / 2 if lo is not None and hi is not None else (2 * abs(lo) + 1 + lo if hi is None else hi - 2 * abs(hi) - 1)
+                v["m"] = step
         return spark.createDataFrame([(s, v["m"], v["unit"], v["cap"]) for s, v in state.items()], kind)
 
     def rates(self) -> DataFrame:
@@ -162,5 +181,5 @@ class Mixture:
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Sources that cannot reach their share of all tokens within ``max_repeats``: (source)."""
+    """Sources that the balanced solution leaves below their share of all tokens at ``max_repeats``: (source)."""
     return Mixture(documents, targets, tokenizer=tokenizer).report().where("short").select("source")

@@ -80,3 +80,17 @@ def test_clashing_columns(spark):
     d = docs(spark, [("a", 20, 10)]).withColumns({"tokens": F.lit("x"), "cap": F.lit(1), "share": F.lit(2), "rate": F.lit(3)})
     t = spark.createDataFrame([("a", 1.0, 1)], TARGETS).withColumns({"tokens": F.lit(1), "doc_id": F.lit(2)})
     assert sum(r["copies"] for r in Mixture(d, t).rates().collect()) == 20
+
+
+def test_short_is_read_from_the_solution(spark, monkeypatch):
+    d = docs(spark, [("a", 100, 20), ("b", 100, 20)])
+    t = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 1)], TARGETS)
+    assert mixture.short_sources(d, t).collect() == []
+    solve = Mixture._solve
+    monkeypatch.setattr(Mixture, "_solve", lambda self, rounds: solve(self, rounds).selectExpr("source", "m - 2 as m", "unit", "cap"))
+    assert {r["source"] for r in mixture.short_sources(d, t).collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("text", ["x" * 70_000, "漢字" * 30_000, "ab1_" * 20_000 + " cd", "word  word\n word " * 5000, "a. b'll - 12 " * 6000])
+def test_long_texts_count_as_if_whole(text):
+    assert mixture.token_counts([text], VOCABULARY) == [len(mixture.encoding(VOCABULARY).encode_ordinary(text))]
