@@ -451,7 +451,7 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
                     sim.append(j)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    full = texts.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"])
+    full = stored(texts.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
     left, right = full.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double")
 
