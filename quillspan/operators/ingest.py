@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,43 +58,86 @@ def fixed_windows(units: DataFrame, id_col: str, text_col: str, size: int = 1200
     return d.select("id", "t", starts.alias("start")).where((F.col("start") == 0) | (F.col("start") < F.length("t") - overlap)).select("id", "start", F.substring(F.col("t"), F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def page_route(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, route, broken_spacing): UNREADABLE below 100 characters, else FAST; spacing is broken if over 2 % of the tokens have 30 characters or more."""
+def page_route(pages: DataFrame, id_col: str, text_col: str, gutters: DataFrame | None = None) -> DataFrame:
+    """(id, route, broken_spacing): UNREADABLE below 100 characters, LAYOUT with a gutter, else FAST; spacing is broken if over 2 % of the tokens have 30 characters or more.
+
+    ``gutters`` is the result of ``column_gutters`` for the same ids; without
+    it no page is LAYOUT.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
     tokens = F.filter(F.split(t, "\\s+"), lambda w: w != "")
     long = F.filter(tokens, lambda w: F.length(w) >= 30)
-    return pages.select(F.col(id_col).alias("id"), F.when(F.length(F.trim(t)) < 100, "UNREADABLE").otherwise("FAST").alias("route"), (F.coalesce(F.try_divide(F.size(long), F.size(tokens)), F.lit(0.0)) > 0.02).alias("broken_spacing"))
+    columns = F.lit(0)
+    if gutters is not None:
+        pages = pages.join(gutters.select(F.col("page").alias(id_col), F.size("gutters").alias("_gutters")), id_col, "left")
+        columns = F.coalesce("_gutters", F.lit(0))
+    return pages.select(F.col(id_col).alias("id"), F.when(F.length(F.trim(t)) < 100, "UNREADABLE").when(columns > 0, "LAYOUT").otherwise("FAST").alias("route"), (F.coalesce(F.try_divide(F.size(long), F.size(tokens)), F.lit(0.0)) > 0.02).alias("broken_spacing"))
+
+
+def _spacing(text: Column) -> Column:
+    return F.try_divide(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))), F.length(text))
 
 
 def retry_spacing(text: Column) -> Column:
     """Whether a page's spacing is so thin that it is worth parsing again."""
-    return (F.length(text) >= 200) & ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / F.length(text) < 0.12)
+    return (F.length(text) >= 200) & (_spacing(text) < 0.12)
+
+
+def respaced(text: Column, again: Column) -> Column:
+    """The second parse of a page where its share of blanks is at least 1.25 times that of the first, else the first."""
+    return F.when(F.coalesce(retry_spacing(text) & (_spacing(again) >= 1.25 * _spacing(text)), F.lit(False)), again).otherwise(text)
+
 
+# Bins of a page's width, least words, share of the peak and bins of the text block, its middle, a trough.
+BINS, LEAST_WORDS, BODY_SHARE, LEAST_BODY, MIDDLE, TROUGH = 60, 250, 0.1, 10, (0.3, 0.7), 0.25
 
-def column_gutter(x0: np.ndarray, x1: np.ndarray) -> float | None:
-    """Middle of the gutter of a two-column page from its words' normalised edges, or None.
 
-    Fewer than 250 words have none. Centres are counted in 60 bins; the body
-    are the bins above a tenth of the peak, at least ten; the gutter is the
-    longest run, within the central 30 to 70 %, of bins below a quarter of the
-    body's median.
+def column_gutters(words: DataFrame, page_col: str = "page") -> DataFrame:
+    """(page, gutters array<double>) of words (page, x0, x1) with normalised edges: where the columns of each page are parted, left to right.
+
+    Word centres are counted in 60 bins, summed per page before anything is
+    gathered. The text block reaches from the first to the last bin above a
+    tenth of the peak; a gutter is a run of bins, in the middle 30 to 70 % of
+    the block, below a quarter of the block's median count, and is placed at
+    the middle of the run. Pages of fewer than 250 words, or with fewer than
+    ten bins above a tenth of the peak, have none. Words without an edge are
+    left out.
+    """
+    centre = (F.col("x0").cast("double") + F.col("x1").cast("double")) / 2
+    w = words.select(F.col(page_col).alias("page"), centre.alias("centre")).where("page is not null and centre is not null")
+    bins = w.groupBy("page", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("centre") * BINS))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    per = bins.groupBy("page").agg(F.sum("n").alias("words"), F.max("n").alias("peak"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    per = per.withColumn("count", F.expr(f"transform(sequence(0, {BINS - 1}), i -> coalesce(m[i], 0))"))
+    per = per.withColumn("body", F.expr(f"filter(sequence(0, {BINS - 1}), i -> count[i] > peak * {BODY_SHARE}D)"))
+    per = per.withColumn("first", F.element_at("body", 1)).withColumn("wide", F.element_at("body", -1) - F.col("first") + 1)
+    per = per.withColumn("sorted", F.array_sort(F.slice("count", F.col("first") + 1, F.col("wide"))))
+    per = per.withColumn("typical", F.expr("(sorted[cast(floor((wide - 1) / 2) as int)] + sorted[cast(floor(wide / 2) as int)]) / 2"))
+    low, high = (f"first + cast(floor(wide * {m}D) as int)" for m in MIDDLE)
+    per = per.withColumn("low", F.expr(f"filter(sequence({low}, {high}), i -> count[i] < {TROUGH}D * typical)"))
+    per = per.withColumn("starts", F.expr("filter(low, i -> not array_contains(low, i - 1))")).withColumn("ends", F.expr("filter(low, i -> not array_contains(low, i + 1))"))
+    found = F.zip_with("starts", "ends", lambda a, b: (a + b + 1) / 2 / BINS)
+    some = (F.col("words") >= LEAST_WORDS) & (F.size("body") >= LEAST_BODY) & (F.col("typical") > 0)
+    return per.select("page", F.when(some, found).otherwise(F.array().cast("array<double>")).alias("gutters"))
+
+
+def column_texts(words: DataFrame, gutters: DataFrame, page_col: str = "page") -> DataFrame:
+    """(page, text) of words (page, x0, x1, y0, word): read column by column, each from top to bottom, columns parted by a blank line.
+
+    A word belongs to the column its centre lies in; words of one line (tops
+    equal to three digits) are read from left to right. A page is read whole.
     """
-    if len(x0) < 250:
-        return None
-    count, _ = np.histogram((x0 + x1) / 2, bins=60, range=(0, 1))
-    body = np.flatnonzero(count > 0.1 * count.max())
-    if len(body) < 10:
-        return None
-    low = count < 0.25 * np.median(count[body])
-    best, run = (0, 0), 0
-    for i in range(60):
-        inside = 18 <= i < 42 and body[0] < i < body[-1]
-        run = run + 1 if low[i] and inside else 0
-        if run > best[0]:
-            best = (run, i)
-    if not best[0]:
-        return None
-    return (best[1] - best[0] + 1 + best[1] + 1) / 2 / 60
+    w = words.withColumnRenamed(page_col, "page").join(gutters, "page")
+    column = F.size(F.filter("gutters", lambda g: g < (F.col("x0") + F.col("x1")) / 2))
+    lines = w.select("page", column.alias("column"), F.round("y0", 3).alias("line"), "x0", "word").groupBy("page", "column", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda s: s["word"]), " ").alias("t"))
+    columns = lines.groupBy("page", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n").alias("t"))
+    return columns.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "t"))), lambda s: s["t"]), "\n\n").alias("text"))
+
+
+def page_boxes(boxes: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """Boxes (…, x0, y0, x1, y1, width, height) in points as shares of the page, 0 to 1."""
+    share = lambda c, whole: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c).cast("double") / F.col(whole))).alias(c)
+    kept = [c for c in boxes.columns if c not in ("x0", "y0", "x1", "y1", width, height)]
+    return boxes.select(*kept, share("x0", width), share("y0", height), share("x1", width), share("y1", height))
 
 
 def merged_lines(boxes: DataFrame) -> DataFrame:
@@ -214,31 +254,30 @@ def boxes_in_slice(text: str, words: list[tuple[str, object]], start: int, end:
 
 
 # -- tables -----------------------------------------------------------------
-def table_cell(value: str | None) -> str:
-    return re.sub(r"\s*\n\s*", " ", (value or "").strip()).replace("|", "\\|")
+def table_cell(value: Column) -> Column:
+    """One cell on one line: NULL is empty, a line break is a blank, a pipe is escaped."""
+    return F.regexp_replace(F.replace(F.translate(F.coalesce(value, F.lit("")), "\n", " "), F.lit("|"), F.lit("\\|")), "^\\s+|\\s+$", "")
 
 
-def is_table(rows: list[list[str | None]]) -> bool:
+def is_table(rows: Column) -> Column:
     """At least two rows, all of at least two columns, and something in them."""
-    return len(rows) >= 2 and all(len(r) >= 2 for r in rows) and any((c or "").strip() for r in rows for c in r)
+    some = F.exists(rows, lambda r: F.exists(r, lambda c: table_cell(c) != ""))
+    return (F.size(rows) >= 2) & F.forall(rows, lambda r: F.size(r) >= 2) & some
 
 
-def table_markdown(rows: list[list[str | None]]) -> str:
-    """Rows as a Markdown table: the first is the header, short rows are padded."""
-    wide = max(len(r) for r in rows)
-    lines = ["| " + " | ".join([*(table_cell(c) for c in r), *[""] * (wide - len(r))]) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + " --- |" * wide, *lines[1:]])
+def table_markdown(rows: Column) -> Column:
+    """array<array<string>> as a Markdown table: the first row is the header, short rows are padded; NULL where it is no table."""
+    wide = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    cells = lambda r: F.concat(F.transform(r, table_cell), F.array_repeat(F.lit(""), wide - F.size(r)))
+    lines = F.transform(rows, lambda r: line(cells(r)))
+    rule = F.array(line(F.array_repeat(F.lit("---"), wide)))
+    return F.when(is_table(rows), F.array_join(F.concat(F.slice(lines, 1, 1), rule, F.slice(lines, F.lit(2), F.size(lines))), "\n"))
 
 
 def tables_markdown(df: DataFrame, id_col: str, rows_col: str) -> DataFrame:
     """(id, markdown) of array<array<string>> columns; what is no table has NULL."""
-
-    def run(batches):
-        for b in batches:
-            out = [table_markdown(r) if r and is_table(r) else None for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "markdown"])
-
-    return df.select(F.col(id_col).cast("bigint").alias("id"), rows_col).mapInArrow(run, "id bigint, markdown string")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), table_markdown(F.col(rows_col)).alias("markdown"))
 
 
 def byte_size(size: Column) -> Column:

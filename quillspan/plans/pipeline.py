@@ -27,7 +27,20 @@ def chunks_fixed(x):
     return ingest.fixed_windows(x.raw("documents"), "doc_id", "text")
 
 
-@query(None)
+def _natural_cut(start: str) -> str:
+    """Length of the chunk from ``start``, 0-based: after the last blank line, sentence or line end beyond 720 characters, else 1200."""
+    window = f"substring(text, {start} + 1, 1200)"
+    ends = [("chr(10) || chr(10)", r"\n\n", 2), ("'. '", r"\. ", 2), ("chr(10)", r"\n", 1)]
+    tests = " ".join(f"WHEN contains({window}, {sep}) AND length(regexp_extract({window}, '(?s)^(.*){pattern}', 1)) > 720 THEN length(regexp_extract({window}, '(?s)^(.*){pattern}', 1)) + {n}" for sep, pattern, n in ends)
+    return f"CASE WHEN length(text) - ({start}) <= 1200 THEN length(text) - ({start}) {tests} ELSE 1200 END"
+
+
+@query(
+    rf"""WITH RECURSIVE page AS (SELECT doc_id AS id, text FROM documents WHERE length(regexp_replace(text, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g')) >= 100),
+    piece(id, text, s, e) AS (SELECT id, text, 0, {_natural_cut("0")} FROM page UNION ALL SELECT id, text, s, s + n FROM (SELECT id, text, e - 150 AS s, {_natural_cut("(e - 150)")} AS n FROM piece WHERE e < length(text)))
+    SELECT id, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, regexp_replace(substring(text, s + 1, e - s), '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g') AS text FROM piece
+    WHERE NOT regexp_full_match(substring(text, s + 1, e - s), '[\s\x0b\x1c-\x1f]*')"""
+)
 def chunks_natural(x):
     return ingest.natural_chunks(x.raw("documents"), "doc_id", "text")
 
@@ -110,7 +123,17 @@ def storage_sizes(x):
     return x.documents.groupBy("tenant_id").agg(F.sum("size_bytes").alias("b")).select("tenant_id", ingest.byte_size(F.col("b")).alias("size"))
 
 
-@query(None)
+_CELL = "trim(replace(replace(coalesce(c, ''), chr(10), ' '), '|', chr(92) || '|'), ' ' || chr(9) || chr(13))"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id AS id, list_transform(list_filter(string_split(text, chr(10)), lambda s: starts_with(s, '|') AND NOT regexp_full_match(s, '[|\s-]+')),
+      lambda s: list_transform(string_split(regexp_replace(s, '^\||\|\s*$', '', 'g'), '|'), lambda c: trim(c))) AS grid FROM documents WHERE text LIKE '%|%|%'),
+    k AS (SELECT id, list_max(list_transform(grid, lambda r: len(r))) AS wide, list_transform(grid, lambda r: list_transform(r, lambda c: {_CELL})) AS grid FROM t
+      WHERE len(grid) >= 2 AND len(list_filter(grid, lambda r: len(r) < 2)) = 0 AND len(list_filter(flatten(grid), lambda c: trim(c) <> '')) > 0),
+    l AS (SELECT id, list_transform(grid, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(wide - len(r)), lambda i: '')), ' | ') || ' |') AS l, '| ' || array_to_string(list_transform(range(wide), lambda i: '---'), ' | ') || ' |' AS rule FROM k)
+    SELECT id, array_to_string(list_concat([l[1], rule], l[2:]), chr(10)) AS markdown FROM l"""
+)
 def table_markdown(x):
     """The Markdown tables of the corpus, parsed into cells and rendered again."""
     t = x.raw("documents").where("text like '%|%|%'")
@@ -119,25 +142,34 @@ def table_markdown(x):
 
 
 # -- generation -------------------------------------------------------------
-_ANSWER = "CASE WHEN id % 11 = 0 THEN 'The documents do not answer this question.' ELSE 'It holds [' || (id % 6) || '] and [' || (id % 4) || ', ' || (id % 9) || '] so.' END"
+_ANSWER = """CASE WHEN id % 11 = 0 THEN 'the documents do not answer this question' WHEN id % 13 = 0 THEN 'Nobody knows.' WHEN id % 7 = 0 THEN 'It holds [' || (id % 6) || '] , see [' || (id % 90) || '].'
+  ELSE event_type || ' holds [' || (id % 6) || '] and [' || (id % 4) || ' , ' || (id % 9) || '] so [not] here.' END"""
 
 
 def _answers(x):
-    s = lambda k: (F.col("id") % k).cast("string")
-    a = F.when(F.col("id") % 11 == 0, generation.ABSTENTION).otherwise(F.concat(F.lit("It holds ["), s(6), F.lit("] and ["), s(4), F.lit(", "), s(9), F.lit("] so.")))
-    return x.queries.select("id", a.alias("answer"), F.lit(4).alias("passages"))
+    """Model replies with markers that name passages, or none, or nothing at all."""
+    return x.queries.select("id", F.expr(_ANSWER).alias("answer"), F.lit(4).alias("passages"))
 
 
-@query(
-    f"""WITH a AS (SELECT id, {_ANSWER} AS answer FROM queries), n AS (SELECT id, answer, CASE WHEN id % 11 = 0 THEN [] ELSE [id % 6, id % 4, id % 9] END AS v FROM a)
-    SELECT id, len(list_distinct(list_filter(v, lambda k: k BETWEEN 1 AND 4))) AS valid, len(list_filter(v, lambda k: NOT (k BETWEEN 1 AND 4))) AS fabricated, len(list_filter(v, lambda k: k BETWEEN 1 AND 4)) = 0 AS abstained FROM n""",
-    "queries",
-)
+# The text is taken apart at its markers, and every number read from it.
+_BOUND = f"""WITH a AS (SELECT id, {_ANSWER} AS answer FROM queries),
+    g AS (SELECT id, regexp_split_to_array(answer, '\\[[0-9]+(?:\\s*,\\s*[0-9]+)*\\]') AS parts,
+      list_transform(regexp_extract_all(answer, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1), lambda m: list_transform(string_split(m, ','), lambda n: CAST(trim(n) AS INTEGER))) AS nums FROM a),
+    k AS (SELECT id, parts, flatten(nums) AS every, list_transform(nums, lambda l: list_filter(l, lambda n: n BETWEEN 1 AND 4)) AS kept FROM g),
+    j AS (SELECT id, every, flatten(kept) AS good, array_to_string(list_transform(list_zip(parts, list_transform(kept, lambda l: array_to_string(list_transform(l, lambda n: '[' || n || ']'), ''))), lambda z: z[1] || coalesce(z[2], '')), '') AS t FROM k),
+    o AS (SELECT id, list_sort(list_distinct(good)) AS cited, len(every) - len(good) AS fabricated, len(good) = 0 OR lower(rtrim(trim(t), '.')) = 'the documents do not answer this question' AS abstained,
+      trim(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), ' +([.,;:])', '\\1', 'g')) AS text FROM j)"""
+
+
+@query(f"{_BOUND} SELECT id, CASE WHEN abstained THEN 0 ELSE len(cited) END AS valid, fabricated, abstained FROM o", "queries")
 def citation_validity(x):
     return generation.citation_validity(_answers(x))
 
 
-@query(None)
+@query(
+    f"{_BOUND} SELECT id, CASE WHEN abstained THEN 'The documents do not answer this question.' ELSE text END AS text, CASE WHEN abstained THEN '' ELSE array_to_string(cited, ',') END AS cited, CAST(fabricated AS INTEGER) AS fabricated, abstained FROM o",
+    "queries",
+)
 def citations_bound(x):
     a = _answers(x).withColumn("b", generation.bound("answer", "passages"))
     return a.select("id", "b.text", F.array_join(F.transform("b.cited", lambda v: v.cast("string")), ",").alias("cited"), "b.fabricated", "b.abstained")
@@ -165,10 +197,38 @@ def thread_bounded(x):
     return generation.bounded_threads(t, 6, 30, 6)
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'CHAT' ELSE 'SEARCH' END AS kind, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN question ELSE question END AS query FROM queries", "queries")
+_SAID = "CASE WHEN id % 3 = 0 THEN ' chat.' || chr(10) || 'more' WHEN id % 3 = 1 THEN 'search: ' || question || chr(10) || 'noise' WHEN id % 5 = 0 THEN 'Chatting! ' || question ELSE question END"
+
+
+@query(
+    f"""WITH r AS (SELECT id, trim(split_part(ltrim({_SAID}), chr(10), 1)) AS line FROM queries)
+    SELECT id, CASE WHEN regexp_full_match(upper(line), 'CHAT[.!]*') THEN 'CHAT' ELSE 'SEARCH' END AS kind,
+      CASE WHEN regexp_full_match(upper(line), 'CHAT[.!]*') THEN NULL WHEN starts_with(upper(line), 'SEARCH:') THEN trim(substring(line, 8)) ELSE line END AS query FROM r""",
+    "queries",
+)
 def intent_parsed(x):
-    reply = F.when(F.col("id") % 3 == 0, F.lit("chat.\nmore")).when(F.col("id") % 3 == 1, F.concat(F.lit("search: "), "question", F.lit("\nnoise"))).otherwise(F.col("question"))
-    return x.queries.select("id", generation.intent(reply).alias("i")).select("id", "i.kind", "i.query")
+    return x.queries.select("id", generation.intent(F.expr(_SAID.replace("chr(10)", "char(10)"))).alias("i")).select("id", "i.kind", "i.query")
+
+
+# Pages of one to three columns whose words lie where the order lines put them.
+_WORDS = """SELECT l_orderkey % 12 AS page, ((l_partkey * 7 + l_linenumber) % (1 + l_orderkey % 3) + 0.06 + 0.88 * ((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 997) / 997.0) / (1 + l_orderkey % 3) * 0.86 + 0.05 AS x0 FROM {}"""
+
+
+@query(
+    f"""WITH w AS (SELECT page, CAST(floor((x0 + x0 + 0.01) / 2 * 60) AS INTEGER) AS bin FROM ({_WORDS.format("lineitem")})), b AS (SELECT page, greatest(0, least(59, bin)) AS bin, count(*) AS n FROM w GROUP BY ALL),
+    c AS (SELECT p.page, i.i, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT page FROM b) p CROSS JOIN range(60) i(i) LEFT JOIN b ON b.page = p.page AND b.bin = i.i),
+    k AS (SELECT page, max(n) AS peak, sum(n) AS words FROM c GROUP BY 1),
+    s AS (SELECT page, min(i) AS f, max(i) AS l, count(*) AS body FROM c JOIN k USING (page) WHERE n > 0.1 * peak GROUP BY 1),
+    m AS (SELECT page, f, l, median(n) AS typical FROM c JOIN s USING (page) JOIN k USING (page) WHERE i BETWEEN f AND l AND body >= 10 AND words >= 250 GROUP BY ALL),
+    low AS (SELECT page, i, i - row_number() OVER (PARTITION BY page ORDER BY i) AS run FROM c JOIN m USING (page) WHERE i BETWEEN f + floor((l - f + 1) * 0.3) AND f + floor((l - f + 1) * 0.7) AND n < 0.25 * typical),
+    g AS (SELECT page, (min(i) + max(i) + 1) / 2 / 60 AS at FROM low GROUP BY page, run)
+    SELECT k.page, count(g.at) AS gutters, coalesce(round(sum(g.at), 6), 0) AS total FROM k LEFT JOIN g USING (page) GROUP BY 1"""
+)
+def column_gutters(x):
+    x.raw("lineitem").createOrReplaceTempView("_lineitem")
+    w = x.spark.sql(_WORDS.format("_lineitem")).select("page", F.col("x0").cast("double").alias("x0")).withColumn("x1", F.col("x0") + 0.01)
+    g = ingest.column_gutters(w)
+    return g.select("page", F.size("gutters").cast("bigint").alias("gutters"), F.round(F.aggregate("gutters", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
 # -- streaming --------------------------------------------------------------
