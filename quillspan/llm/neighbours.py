@@ -56,9 +56,8 @@ def vector_neighbours(
     into parts by a hash of the vector, and queries visit all parts, so a
     region that holds a third of all rows makes more tasks, not longer ones.
     """
-    if top > 10:
-        raise ValueError("top is at most 10: compact() lists that many ids with equal vectors")
-    rows, width = compact(embeddings, spaces, stock)
+    more = max(MORE, top)
+    rows, width = compact(embeddings, spaces, stock, more)
     rows = stored(rows, "vectors")
     spark = rows.sparkSession
     n = rows.where("v is not null").count()
@@ -68,7 +67,7 @@ def vector_neighbours(
     fitted = kmeans(rows.where((F.col("v").isNotNull()) & (F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)), width, k, seeding_rounds=2, lloyd_rounds=3)
     if not len(fitted):
         return spark.createDataFrame([], "chunk_id bigint, neighbour_id bigint, cosine double, rank int")
-    parts = np.maximum(1, np.ceil(counts(rows, fitted, width) / (2 * size))).astype(np.int32)
+    parts = np.maximum(1, np.ceil(counts(rows, fitted, width)[:, 0] / (2 * size))).astype(np.int32)
     known = spark.sparkContext.broadcast((fitted, parts))
 
     def send(batches):
@@ -136,8 +135,8 @@ def vector_neighbours(
         keep = nth < top
         return pa.table({"chunk_id": a[keep], "neighbour_id": b[keep], "cosine": w[keep]})
 
-    asked = F.lit(True) if queries is None else queries(F.col("id")) | F.exists("more", queries) | (F.size("more") == MORE)
-    sent = rows.where("v is not null").select("id", "v", "more", asked.alias("asked")).mapInArrow(send, "shard int, part int, home boolean, id bigint, v binary, more array<bigint>, asked boolean")
+    asked = F.lit(True) if queries is None else queries(F.col("id")) | F.exists("more", queries) | (F.size("more") == more)
+    sent = rows.where("v is not null").select("id", "v", "more", asked.alias("asked")).mapInArrow(send, "shard int, part int, home boolean, id bigint, v binary, more array<bigint>, asked boolean").repartition(max(12, int(parts.sum())), "shard", "part")
     found = sent.groupBy("shard", "part").applyInArrow(answer, "chunk_id bigint, neighbour_id bigint, cosine double")
     # A batch's ids beyond those its vector lists have other copies as neighbours: the listed ones.
     spare = rows.where("spare").select("id", "rep")

@@ -9,27 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW = "id bigint, rep bigint, v binary, more array<bigint>, spare boolean"
-MORE = 10
+MORE = 10  # default of compact's ``more``
 NAMES = ["id", "rep", "v", "more", "spare"]
 
 
-def packed(x: np.ndarray) -> pa.Array:
-    """Rows of a float32 matrix as an Arrow binary column."""
-    x = np.ascontiguousarray(x, dtype=np.float32)
-    width = x.shape[1] * 4 if x.ndim == 2 else 0
+def packed(x: np.ndarray, kind=np.float32) -> pa.Array:
+    """Rows of a matrix as an Arrow binary column."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    width = x.shape[1] * x.itemsize if x.ndim == 2 else 0
     offsets = np.arange(len(x) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
 
-def unpacked(column, width: int) -> np.ndarray:
+def unpacked(column, width: int, kind=np.float32) -> np.ndarray:
     """The inverse of ``packed`` (no nulls in the column)."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     parts = []
     for c in chunks:
         if len(c):
             o = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[o[0] : o[-1]].view(np.float32).reshape(-1, width))
-    return np.concatenate(parts) if parts else np.empty((0, width), np.float32)
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[o[0] : o[-1]].view(kind).reshape(-1, width))
+    return np.concatenate(parts) if parts else np.empty((0, width), kind)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ def active_space(spaces: DataFrame) -> tuple[str, str, int]:
     return row[0], row[1], int(row[2])
 
 
-def compact(embeddings: DataFrame, spaces: DataFrame, stock: DataFrame | None = None) -> tuple[DataFrame, int]:
+def compact(embeddings: DataFrame, spaces: DataFrame, stock: DataFrame | None = None, more: int = MORE) -> tuple[DataFrame, int]:
     """Usable vectors as (id, rep, v, more, spare) and their dimension.
 
     A vector is usable if it belongs to the active space, is not NULL, has the
@@ -55,8 +55,9 @@ def compact(embeddings: DataFrame, spaces: DataFrame, stock: DataFrame | None =
     value to a stock vector are left out. Copies of one vector within an Arrow
     batch travel once: the row with ``rep = id`` carries the vector, the other
     ids follow as rows without one, and a repeated delivery of the same id
-    disappears. ``more`` lists the next smallest ids of the batch with that
-    vector, ``MORE`` at most; rows of ids beyond these have ``spare`` set. A
+    disappears. The column ``more`` lists the next smallest ids of the batch
+    with that vector, as many as the argument says; rows of ids beyond these
+    have ``spare`` set. A
     vector that a third of all rows repeat is thus one row per batch wherever
     vectors are compared. Empty input gives no rows.
     """
@@ -83,13 +84,13 @@ def compact(embeddings: DataFrame, spaces: DataFrame, stock: DataFrame | None =
             begin = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
             rep = pairs[begin, 1]
             place = np.arange(len(pairs)) - np.repeat(begin, np.diff(np.r_[begin, len(pairs)]))
-            listed = pairs[(place > 0) & (place <= MORE)]
+            listed = pairs[(place > 0) & (place <= more)]
             offsets = np.r_[0, np.cumsum(np.bincount(listed[:, 0], minlength=len(rep)))].astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(listed[:, 1].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep), packed(x[first]), more, pa.array(np.zeros(len(rep), bool))], NAMES)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(listed[:, 1].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep), packed(x[first]), others, pa.array(np.zeros(len(rep), bool))], NAMES)
             p, at = pairs[place > 0], place[place > 0]
             if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 1].copy()), pa.array(rep[p[:, 0]]), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.list_(pa.int64())), pa.array(at > MORE)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 1].copy()), pa.array(rep[p[:, 0]]), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.list_(pa.int64())), pa.array(at > more)], NAMES)
 
     return e.select("id", "e").mapInArrow(rows, ROW), width
 
@@ -169,6 +170,31 @@ def kmeans(rows: DataFrame, width: int, k: int, seeding_rounds: int = 3, lloyd_r
     return centres
 
 
+MERGED_PARTS = 32
+
+
+def merged_sums(partial: DataFrame, key: str, columns: dict[str, np.dtype]) -> DataFrame:
+    """Sums of packed arrays (key, columns) over all tasks: (key, columns).
+
+    Merged in two steps, tasks modulo 32 first, so a key's last merge reads at
+    most 32 arrays and its first a thirty-second of the tasks' arrays.
+    """
+
+    def add(t):
+        out = {key: t[key][:1]}
+        for c, kind in columns.items():
+            total = np.frombuffer(t[c][0].as_py(), kind).copy()
+            for x in t[c][1:]:
+                total += np.frombuffer(x.as_py(), kind)
+            out[c] = pa.array([total.tobytes()], pa.binary())
+        return pa.table(out)
+
+    kind = f"{key} bigint, " + ", ".join(f"{c} binary" for c in columns)
+    some = partial.withColumn("_part", F.spark_partition_id() % MERGED_PARTS)
+    first = some.groupBy(key, "_part").applyInArrow(lambda t: add(t), kind)
+    return first.groupBy(key).applyInArrow(add, kind)
+
+
 def _moments(data: DataFrame, centres: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Per centre the sum of its rows and their number."""
     known = data.sparkSession.sparkContext.broadcast(centres)
@@ -189,23 +215,31 @@ def _moments(data: DataFrame, centres: np.ndarray, width: int) -> tuple[np.ndarr
             if count[a : a + block].any():
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([sums[a : a + block].tobytes()]), pa.array([count[a : a + block].tobytes()])], ["a", "s", "n"])
 
-    def merged(table):
-        s = sum(np.frombuffer(x, np.float64).reshape(-1, width) for x in table["s"].to_pylist())
-        n = sum(np.frombuffer(x, np.int64) for x in table["n"].to_pylist())
-        return pa.table({"a": table["a"][:1], "s": [s.tobytes()], "n": [n.tobytes()]})
-
-    kind = "a bigint, s binary, n binary"
     sums, count = np.zeros((k, width)), np.zeros(k, np.int64)
-    for g in data.mapInArrow(part, kind).groupBy("a").applyInArrow(merged, kind).collect():
+    for g in merged_sums(data.mapInArrow(part, "a bigint, s binary, n binary"), "a", {"s": np.float64, "n": np.int64}).collect():
         sums[g["a"] : g["a"] + block] = np.frombuffer(g["s"], np.float64).reshape(-1, width)
         count[g["a"] : g["a"] + block] = np.frombuffer(g["n"], np.int64)
     known.unpersist()
     return sums, count
 
 
-def counts(rows: DataFrame, centres: np.ndarray, width: int) -> np.ndarray:
-    """Rows whose nearest centre is each centre."""
-    return _moments(rows.where("v is not null").select("v"), centres, width)[1]
+def counts(rows: DataFrame, centres: np.ndarray, width: int, probes: int = 1) -> np.ndarray:
+    """For each centre and each of the first ``probes`` places, the rows that have the centre there among their nearest: (centres x probes)."""
+    known = rows.sparkSession.sparkContext.broadcast(centres)
+    k = len(centres)
+    m = min(probes, k)
+
+    def part(batches):
+        n = np.zeros((k, m), np.int64)
+        for b in batches:
+            near = nearest(unit(unpacked(b.column(0), width)), known.value, m)
+            for j in range(m):
+                n[:, j] += np.bincount(near[:, j], minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n.tobytes()])], ["a", "n"])
+
+    got = merged_sums(rows.where("v is not null").select("v").mapInArrow(part, "a bigint, n binary"), "a", {"n": np.int64}).collect()
+    known.unpersist()
+    return np.frombuffer(got[0]["n"], np.int64).reshape(k, m) if got else np.zeros((k, m), np.int64)
 
 
 def _reduced(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
