@@ -108,14 +108,15 @@ class FMIndex:
         return self._down(c, pos) - self.start[c] - ((c == 0) & (pos > self.end))
 
     def search(self, patterns: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that start with each pattern; patterns are padded on the right."""
+        """Rows [lo, hi) of the suffixes that start with each pattern; the patterns stand one after the other."""
+        last = np.cumsum(length) - 1
         lo, hi = np.zeros(len(length), np.int64), np.full(len(length), self.n + 1, np.int64)
         live = np.arange(len(length))
         for step in range(int(length.max(initial=0))):
             live = live[(length[live] > step) & (lo[live] < hi[live])]
             if not len(live):
                 break
-            c = patterns[live, length[live] - 1 - step].astype(np.int64)
+            c = patterns[last[live] - step].astype(np.int64)
             base = self.first[c]
             lo[live] = base + self.occ(c, lo[live])
             hi[live] = base + self.occ(c, hi[live])

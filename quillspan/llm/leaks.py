@@ -34,6 +34,8 @@ for _ in range(8):
 LINK = re.compile(rf"""\]\(\s*+(?:<[^<>\n]*+>|{_TARGET}*+)(?:\s++(?:"[^"]*+"|'[^']*+'|\([^()]*+\)))?+\s*+\)""")
 SHARD_LETTERS = 2_000_000
 ITEM_LETTERS = 4_000_000
+BLOCKS_KEPT = 2
+KEY_LETTERS = 64
 
 
 def _classes() -> np.ndarray:
@@ -103,38 +105,46 @@ class Phrases:
         self.items = [sorted(v) for v in found.values()]
         self.cp = [np.frombuffer(k, np.uint32) for k in found]
         self.length = np.array([len(c) for c in self.cp], np.int64)
-        self.table = np.zeros((len(self.cp), int(self.length.max(initial=0))), np.uint8)
-        for i, c in enumerate(self.cp):
-            self.table[i, : len(c)] = symbols(c)
-        self.plain = np.array([bool((self.table[i, :n] < 37).all()) for i, n in enumerate(self.length)], bool)
-
-
-def find_in_shard(docs: list[tuple[np.ndarray, np.ndarray]], phrases: Phrases) -> list[tuple[int, int, int]]:
-    """(document, letter offset, phrase) of every occurrence that starts and ends at word boundaries."""
-    size = np.array([len(c) + 1 for c, _ in docs])
-    base = np.r_[0, np.cumsum(size)]
-    s = np.zeros(int(base[-1]), np.uint8)
-    cp = np.zeros(len(s), np.uint32)
-    start = np.ones(len(s) + 1, bool)
-    for (c, w), b in zip(docs, base):
-        s[b : b + len(c)] = symbols(c)
-        cp[b : b + len(c)] = c
-        start[b : b + len(c)] = w
-    index = FMIndex(s)
-    lo, hi = index.search(phrases.table, phrases.length)
-    many = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(many)), many)
-    rows = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    pos = index.locate(rows)
-    end = pos + phrases.length[which]
-    good = start[pos] & start[end]
-    out = []
-    for p, w in zip(pos[good], which[good]):
-        if not phrases.plain[w] and not np.array_equal(cp[p : p + phrases.length[w]], phrases.cp[w]):
-            continue
-        d = int(np.searchsorted(base, p, side="right")) - 1
-        out.append((d, int(p - base[d]), int(w)))
-    return out
+        # What is searched in the index: the first letters; the rest is compared where they occur.
+        self.searched = np.minimum(self.length, KEY_LETTERS)
+        self.table = symbols(np.concatenate([c[:KEY_LETTERS] for c in self.cp])) if found else np.zeros(0, np.uint8)
+        odd = np.r_[0, np.cumsum(self.table >= 37)]
+        ends = np.cumsum(self.searched)
+        self.plain = (odd[ends] == odd[ends - self.searched]) & (self.length <= KEY_LETTERS)
+
+
+class Shard:
+    """Documents (letters, word starts) one after the other, and their index."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]]):
+        size = np.array([len(c) + 1 for c, _ in docs])
+        self.base = np.r_[0, np.cumsum(size)]
+        s = np.zeros(int(self.base[-1]), np.uint8)
+        self.cp = np.zeros(len(s), np.uint32)
+        self.start = np.ones(len(s) + 1, bool)
+        for (c, w), b in zip(docs, self.base):
+            s[b : b + len(c)] = symbols(c)
+            self.cp[b : b + len(c)] = c
+            self.start[b : b + len(c)] = w
+        self.index = FMIndex(s)
+
+    def find(self, phrases: Phrases) -> list[tuple[int, int, int]]:
+        """(document, letter offset, phrase) of every occurrence that starts and ends at word boundaries."""
+        lo, hi = self.index.search(phrases.table, phrases.searched)
+        many = np.maximum(hi - lo, 0)
+        which = np.repeat(np.arange(len(many)), many)
+        rows = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        pos = self.index.locate(rows)
+        end = pos + phrases.length[which]
+        good = end < len(self.start)
+        good[good] = self.start[pos[good]] & self.start[end[good]]
+        out = []
+        for p, w in zip(pos[good], which[good]):
+            if not phrases.plain[w] and not np.array_equal(self.cp[p : p + phrases.length[w]], phrases.cp[w]):
+                continue
+            d = int(np.searchsorted(self.base, p, side="right")) - 1
+            out.append((d, int(p - self.base[d]), int(w)))
+        return out
 
 
 def _spans(doc: int, hits: list[tuple[int, int]], phrases: Phrases) -> list[tuple[int, int, int, int]]:
@@ -156,47 +166,63 @@ def _spans(doc: int, hits: list[tuple[int, int]], phrases: Phrases) -> list[tupl
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], words: int, shard_letters: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(items)
+def _search(docs: DataFrame, blocks: list, words: int, shard_letters: int) -> DataFrame:
+    """Spans of the items of all blocks: each shard is indexed once, and every block is searched in it."""
 
     def run(batches):
-        phrases = Phrases(known.value, words)
-        held, size = [], 0
-
-        def flush():
-            hits: dict[int, list] = {}
-            for d, at, w in find_in_shard([h[1] for h in held], phrases):
-                hits.setdefault(d, []).append((at, w))
-            return [r for d, h in hits.items() for r in _spans(held[d][0], h, phrases)]
+        kept: dict[int, Phrases] = {}
+
+        def phrases():
+            for i, b in enumerate(blocks):
+                if i in kept:
+                    yield kept[i]
+                    continue
+                p = Phrases(b.value, words)
+                if i < BLOCKS_KEPT:
+                    kept[i] = p
+                yield p
 
         def batch(rows):
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["doc_id", "item_id", "span_start", "span_end"])
 
-        if len(phrases.cp):
-            overlap = int(phrases.length.max())
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    c, w = letters(text)
-                    if len(c) > shard_letters:
-                        # A document longer than a shard is indexed in overlapping pieces.
-                        hits = set()
-                        for a in range(0, len(c), shard_letters):
-                            piece = (c[a : a + shard_letters + overlap], w[a : a + shard_letters + overlap])
-                            last = a + shard_letters + overlap >= len(c)
-                            for _, at, p in find_in_shard([piece], phrases):
-                                e = a + at + int(phrases.length[p])
-                                if last or e >= len(c) or w[e]:
-                                    hits.add((a + at, p))
-                        yield batch(_spans(doc, sorted(hits), phrases))
-                        continue
-                    held.append((doc, (c, w)))
-                    size += len(c) + 1
-                    if size >= shard_letters:
-                        yield batch(flush())
-                        held, size = [], 0
-            if held:
-                yield batch(flush())
+        def flush(held):
+            shard, out = Shard([h[1] for h in held]), []
+            for p in phrases():
+                hits: dict[int, list] = {}
+                for d, at, w in shard.find(p):
+                    hits.setdefault(d, []).append((at, w))
+                out += [r for d, h in hits.items() for r in _spans(held[d][0], h, p)]
+            return batch(out)
+
+        def long(doc, c, w):
+            # A document longer than a shard is indexed in overlapping pieces, each searched for all blocks.
+            overlap = max((int(p.length.max(initial=0)) for p in phrases()), default=0)
+            hits: list[set] = [set() for _ in blocks]
+            for a in range(0, len(c), shard_letters):
+                shard = Shard([(c[a : a + shard_letters + overlap], w[a : a + shard_letters + overlap])])
+                last = a + shard_letters + overlap >= len(c)
+                for i, p in enumerate(phrases()):
+                    for _, at, k in shard.find(p):
+                        e = a + at + int(p.length[k])
+                        if last or e >= len(c) or w[e]:
+                            hits[i].add((a + at, k))
+            return batch([r for p, h in zip(phrases(), hits) for r in _spans(doc, sorted(h), p)])
+
+        held, size = [], 0
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c, w = letters(text)
+                if len(c) > shard_letters:
+                    yield long(doc, c, w)
+                    continue
+                held.append((doc, (c, w)))
+                size += len(c) + 1
+                if size >= shard_letters:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return docs.mapInArrow(run, SPANS)
 
@@ -211,26 +237,23 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     empty passages, texts and ids have no rows; passages that share text are
     all reported; a repeated document is reported under each of its ids. Texts
     of any length are indexed whole. The held-out items go to the tasks in
-    blocks of at most ``ITEM_LETTERS`` characters, one pass over the corpus a
-    block, so no broadcast grows with them. Empty tables give no rows; extra
-    columns are not read.
+    blocks of about ``ITEM_LETTERS`` characters, loaded one after the other, so
+    no broadcast grows with them; the corpus is read and indexed once, whatever
+    their number. Empty tables give no rows; extra columns are not read.
     """
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null and length(text) > 0")
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage_col).alias("p")).where("i is not null and p is not null").distinct()
-    result, block, size = None, [], 0
-
-    def search(block):
-        return _search(docs, block, words, shard_letters)
-
+    spread = documents.sparkSession.sparkContext.broadcast
+    blocks, block, size = [], [], 0
     for r in rows.orderBy("i", "p").toLocalIterator():
-        if block and size + len(r["p"]) > ITEM_LETTERS:
-            part = search(block)
-            result = part if result is None else result.unionByName(part)
+        if block and size + len(r["p"]) > ITEM_LETTERS and r["i"] != block[-1][0]:
+            blocks.append(spread(block))
             block, size = [], 0
         block.append((r["i"], r["p"]))
         size += len(r["p"])
-    part = search(block)
-    return part if result is None else result.unionByName(part)
+    if block:
+        blocks.append(spread(block))
+    return _search(docs if blocks else docs.limit(0), blocks, words, shard_letters)
 
 
 def leaked_documents(documents: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -23,9 +23,9 @@ def test_suffix_order(s):
 @settings(max_examples=80, deadline=None)
 def test_search_and_locate(s, p):
     f = FMIndex(np.array(s, np.uint8), sample=4)
-    lo, hi = f.search(np.array([p], np.uint8), np.array([len(p)]))
+    lo, hi = f.search(np.array([3, *p], np.uint8), np.array([1, len(p)]))
     b = bytes(s)
-    assert sorted(f.locate(np.arange(lo[0], max(lo[0], hi[0])))) == [i for i in range(len(b)) if b.startswith(bytes(p), i)]
+    assert sorted(f.locate(np.arange(lo[1], max(lo[1], hi[1])))) == [i for i in range(len(b)) if b.startswith(bytes(p), i)]
 
 
 def words(n, start=0):
@@ -132,3 +132,14 @@ def test_prose_after_a_less_than_sign_stays():
 def test_unclosed_markup_is_scanned_in_linear_time():
     for t in ("<a b=" * 50_000, '<a b="' * 50_000, "](" * 100_000, "](a " * 50_000, "<a " * 50_000):
         leaks.letters(t)
+
+
+def test_a_passage_with_a_very_long_word_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_LETTERS", 40)
+    giant = "x" * 50_000
+    items = [(i, words(12, i % 3)) for i in range(6)] + [(9, f"{words(12)} {giant} {words(12)}"), (10, words(11))]
+    docs = [(1, words(16)), (2, f"{words(11, 1)} {giant} {words(2)}"), (3, "nothing here")]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_documents(df, spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(1, i) for i in (0, 1, 2, 3, 4, 5, 9)} | {(2, 9)}
+    assert got == {(r["doc_id"], r["item_id"]) for r in leaks.leaked_documents(df, spark.createDataFrame(items, ITEMS), shard_letters=60_000).collect()}
