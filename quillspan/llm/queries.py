@@ -79,9 +79,13 @@ def p8_profile(spark, sf):
     return reading.reading_profile(reading.reading_levels(docs), docs)
 
 
+def p8_quality(spark, sf):
+    return reading.ranker_quality(_t(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_profiles, p1_kmeans, p2_found, p2_cohesion, p3_found, p3_neighbours, p4_found, p4_groups, p6_found, p6_spans, p7_found, p7_report, p7_copies, p8_found, p8_profile)
+    for f in (p1_found, p1_profiles, p1_kmeans, p2_found, p2_cohesion, p3_found, p3_neighbours, p4_found, p4_groups, p6_found, p6_spans, p7_found, p7_report, p7_copies, p8_found, p8_profile, p8_quality)
 }
 
 _VECTORS = """
