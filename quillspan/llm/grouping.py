@@ -24,7 +24,7 @@ from quillspan.core.components import connected_components
 from quillspan.core.workspace import stored
 from quillspan.llm.vectors import compact, counts, kmeans, merged_sums, nearest, packed, uniform, unit, unpacked
 
-TASK_BYTES, TASK_PAIRS = 16 << 20, 4_000_000_000
+TASK_BYTES, TASK_PAIRS = 4 << 20, 4_000_000_000
 HALF = 1.1e-3
 BROADCAST_PAIRS = 500_000
 
