@@ -26,9 +26,10 @@ def tokens(column: str) -> Column:
     return F.expr(f"coalesce(regexp_extract_all(lower(`{column}`), '{TOKEN}', 0), array())")
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def postings(df: DataFrame, id_col: str, text_col: str, analyser: str = "simple") -> DataFrame:
     """(id, token, position) of every token occurrence, positions from 1."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col)).alias("p", "token")).select("id", "token", (F.col("p") + 1).alias("position"))
+    every = df.select(F.col(id_col).alias("id"), F.posexplode(analysed(text_col, analyser)).alias("p", "token")).where("token is not null")
+    return every.select("id", "token", (F.col("p") + 1).alias("position"))
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,9 +45,9 @@ def fold(text: str) -> str:
 _WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 
 
-def english_lexemes(text: str | None) -> list[str]:
-    """English analyser: accents folded, identifiers (with a digit or an inner stop) kept whole, stop words dropped, the rest stemmed."""
-    out = []
+def english_lexemes(text: str | None, gaps: bool = False) -> list[str | None]:
+    """English analyser: accents folded, identifiers (with a digit or an inner stop) kept whole, stop words dropped, the rest stemmed. With ``gaps`` a dropped word leaves None, so positions are those of the text."""
+    out: list[str | None] = []
     for w in _WORD.findall(fold(text or "")):
         if any(c.isdigit() for c in w):
             out.append(w)
@@ -56,6 +57,8 @@ def english_lexemes(text: str | None) -> list[str]:
                 out.append(part)
             elif part not in ENGLISH_STOP:
                 out.append(stem(part))
+            elif gaps:
+                out.append(None)
     return out
 
 
@@ -63,9 +66,20 @@ def _english(texts: pd.Series) -> pd.Series:
     return texts.map(english_lexemes)
 
 
-def english(column: str) -> Column:
+def _english_gaps(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: english_lexemes(t, True))
+
+
+def english(column: str, gaps: bool = False) -> Column:
     """``english_lexemes`` over a column: array<string>."""
-    return F.pandas_udf(_english, "array<string>")(column)
+    return F.pandas_udf(_english_gaps if gaps else _english, "array<string>")(column)
+
+
+def analysed(column: str, analyser: str = "simple") -> Column:
+    """The tokens of a text column in order, NULL where the analyser drops a word: 'simple' or 'english'."""
+    if analyser not in ("simple", "english"):
+        raise ValueError(f"unknown analyser {analyser!r}")
+    return english(column, True) if analyser == "english" else tokens(column)
 
 
 def is_identifier(token: Column) -> Column:

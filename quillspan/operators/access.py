@@ -161,3 +161,48 @@ def ensured_labels(tenants: DataFrame, labels: DataFrame, flag: str, name: str)
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is absent added to ``old``; of several with one key any one is added."""
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+
+
+def reserved_labels(labels: DataFrame, ids=None) -> DataFrame:
+    """(tenant_id, label_id): the reserved (quarantine) labels, of those in ``ids`` (a DataFrame with label_id) if given."""
+    found = labels.where("is_quarantine").select("tenant_id", F.col("id").alias("label_id"))
+    return found if ids is None else found.join(ids.select("label_id").distinct(), "label_id", "left_semi")
+
+
+def label_deletion(labels: DataFrame, document_labels: DataFrame) -> DataFrame:
+    """(label_id, documents, deletable): a label that a document carries, or a reserved one, is not deleted, since a document that loses its last label is open to all."""
+    used = document_labels.groupBy("label_id").agg(F.countDistinct("document_id").alias("documents"))
+    l = labels.select(F.col("id").alias("label_id"), "is_quarantine").join(used, "label_id", "left")  # noqa: E741
+    return l.select("label_id", F.coalesce("documents", F.lit(0)).alias("documents"), (F.col("documents").isNull() & ~F.coalesce("is_quarantine", F.lit(False))).alias("deletable"))
+
+
+def without_label(labels: DataFrame, document_labels: DataFrame, label_id: int) -> DataFrame:
+    """The labels without one; an error if it is reserved, in use or unknown."""
+    row = label_deletion(labels.where(F.col("id") == label_id), document_labels.where(F.col("label_id") == label_id)).first()
+    if row is None:
+        raise KeyError(label_id)
+    if not row["deletable"]:
+        raise ValueError(f"label {label_id} is " + (f"carried by {row['documents']} documents" if row["documents"] else "reserved"))
+    return labels.where(F.col("id") != label_id)
+
+
+def renamed_label(labels: DataFrame, label_id: int, name: str) -> DataFrame:
+    """The labels with one renamed; names are unique in a tenant up to case and outer blanks, and reserved labels keep theirs."""
+    name = name.strip()
+    if not name:
+        raise ValueError("a label needs a name")
+    row = labels.where(F.col("id") == label_id).select("tenant_id", "is_quarantine").first()
+    if row is None:
+        raise KeyError(label_id)
+    if row["is_quarantine"]:
+        raise ValueError(f"label {label_id} is reserved")
+    if labels.where((F.col("tenant_id") == row["tenant_id"]) & (F.col("id") != label_id) & (F.lower(F.trim("name")) == name.lower())).limit(1).count():
+        raise ValueError(f"there is a label {name!r}")
+    return labels.withColumn("name", F.when(F.col("id") == label_id, F.lit(name)).otherwise(F.col("name")))
+
+
+def with_default(labels: DataFrame, label_id: int) -> DataFrame:
+    """The labels with one as the only default of its tenant."""
+    tenant = labels.where(F.col("id") == label_id).select(F.col("tenant_id").alias("_tenant"))
+    j = labels.join(F.broadcast(tenant), F.col("tenant_id") == F.col("_tenant"), "left")
+    return j.withColumn("is_default", F.when(F.col("_tenant").isNull(), F.col("is_default")).otherwise(F.col("id") == label_id)).drop("_tenant")

@@ -191,3 +191,40 @@ def census_ladder(census: list[tuple[int, int]], step: float = 0.5) -> list[tupl
         if not kept or size <= kept[-1][1] * step:
             kept.append((label, size))
     return kept
+
+
+def content_counts(tables) -> DataFrame:
+    """(table, rows) of named tables, in the order of their names."""
+    out = None
+    for name in sorted(tables):
+        one = tables[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def unscheduled(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(tenant_id, documents): records on their way that no open job names."""
+    todo = jobs.where("status <> 'done'").select(F.get_json_object("args", "$.document_id").cast("bigint").alias("id")).distinct()
+    waiting = documents.where(~F.col("status").isin("ready", "failed"))
+    return waiting.join(todo, "id", "left_anti").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def missing_files(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, tenant_id, sha256) of records whose bytes are not among the stored files (sha256)."""
+    return documents.join(files.select("sha256").distinct(), "sha256", "left_anti").select("id", "tenant_id", "sha256")
+
+
+def partition_tree(parts: DataFrame) -> DataFrame:
+    """(name, root, depth, rows) of a catalogue of partitions (name, parent, rows), a root having no parent.
+
+    A catalogue has as many rows as there are partitions; the walk goes down
+    one level a round and ends with the deepest.
+    """
+    tree = parts.where("parent is null").select("name", F.col("name").alias("root"), F.lit(0).alias("depth"), "rows")
+    level, whole = tree, tree
+    for depth in range(1, 33):
+        level = parts.join(level.select(F.col("name").alias("parent"), "root"), "parent").select("name", "root", F.lit(depth).alias("depth"), "rows")
+        if not level.limit(1).count():
+            return whole
+        whole = whole.unionByName(level)
+    raise ValueError("the partitions are nested more than 32 deep, or in a circle")

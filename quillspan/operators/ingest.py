@@ -180,6 +180,37 @@ def without_documents(df: DataFrame, deleted: DataFrame, key: str = "document_id
     return df.join(deleted.select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
 
+def cascaded(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """The tables after documents (id) were deleted, with all that hangs on them.
+
+    ``tables`` may hold documents, document_labels, chunks, chunk_embeddings
+    and query_citations; rows that name no document or chunk stay. Each table
+    is one anti-join; the chunks that go are found once.
+    """
+    ids = deleted.select(F.col("id").cast("bigint").alias("_id")).where("_id is not null").distinct()
+    gone = tables["chunks"].join(ids, F.col("document_id") == F.col("_id"), "left_semi").select(F.col("id").alias("_id")).distinct() if "chunks" in tables else None
+    keys = {"documents": ("id", ids), "document_labels": ("document_id", ids), "chunks": ("document_id", ids), "chunk_embeddings": ("chunk_id", gone), "query_citations": ("chunk_id", gone)}
+    return {n: t.join(keys[n][1], F.col(keys[n][0]) == F.col("_id"), "left_anti") if n in keys and keys[n][1] is not None else t for n, t in tables.items()}
+
+
+def uploaded_again(existing: DataFrame, uploads: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """(upload_id, document_id, label_ids, deduplicated): where the bytes of each upload end up.
+
+    An upload (id, tenant_id, sha256, label_ids) whose bytes its tenant already
+    holds becomes the oldest such document (id, tenant_id, sha256, label_ids)
+    with the labels of both; the quarantine label (tenant_id, label_id) stays
+    only alone. Other uploads are documents of their own.
+    """
+    first = existing.where("sha256 is not null").groupBy("tenant_id", "sha256").agg(F.min_by(F.struct("id", "label_ids"), "id").alias("d"))
+    q = quarantine.groupBy("tenant_id").agg(F.min("label_id").alias("q"))
+    u = uploads.select(F.col("id").alias("upload_id"), "tenant_id", "sha256", F.coalesce("label_ids", F.array().cast("array<bigint>")).alias("own"))
+    j = u.join(first, ["tenant_id", "sha256"], "left").join(q, "tenant_id", "left")
+    union = F.array_union("own", F.coalesce("d.label_ids", F.array().cast("array<bigint>")))
+    j = j.withColumn("union", F.array_sort(F.array_distinct(union)))
+    labels = F.when(F.col("d").isNotNull() & (F.size("union") > 1), F.filter("union", lambda v: ~F.coalesce(v == F.col("q"), F.lit(False)))).otherwise(F.col("union"))
+    return j.select("upload_id", F.coalesce("d.id", "upload_id").alias("document_id"), labels.alias("label_ids"), F.col("d").isNotNull().alias("deduplicated"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_if_null: list[str]) -> DataFrame:
     """Rows of ``new`` over those of ``old``; NULLs in the named columns keep the old value."""
     o = old.select(key, *[F.col(c).alias(f"_old_{c}") for c in old.columns if c != key], F.lit(True).alias("_o"))

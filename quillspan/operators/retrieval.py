@@ -8,11 +8,12 @@ only after ``bounded`` has checked their size; beyond it the joins shuffle.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import is_identifier, postings, tokens
+from quillspan.functions.text import analysed, is_identifier, postings
 
 CANDIDATES, RRF_K, EXACT, DEFAULT_LIMIT, MAX_LIMIT = 50, 60, 10, 8, 50
 OCCURRENCE_WEIGHT = 0.1
@@ -31,30 +32,49 @@ def ranked(df: DataFrame, score: str, k: int, by: str = "query_id", tie: str = "
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def question_lexemes(questions: DataFrame, id_col: str, text_col: str, stop: frozenset[str] = frozenset()) -> DataFrame:
+def question_lexemes(questions: DataFrame, id_col: str, text_col: str, stop: frozenset[str] = frozenset(), analyser: str = "simple") -> DataFrame:
     """(query_id, token), distinct; stop words left out. A question without lexemes has no rows."""
-    q = questions.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(text_col))).alias("token"))
+    q = questions.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(analysed(text_col, analyser))).alias("token")).where("token is not null")
     return q.where(~F.col("token").isin(sorted(stop))) if stop else q
 
 
-def _matches(lexemes: DataFrame, chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(query_id, chunk_id, token, tf) of the lexemes found. Only the tokens of some question leave the scan."""
-    return postings(chunks, id_col, text_col).join(bounded(lexemes), "token").groupBy("query_id", F.col("id").alias("chunk_id"), "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lexical_or(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = CANDIDATES) -> DataFrame:
-    """(query_id, chunk_id, score, rank): every occurrence of a lexeme counts alike, as cover density ranks an OR question."""
-    hits = postings(chunks, id_col, text_col).join(bounded(lexemes), "token").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+def lexical_or(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = CANDIDATES, analyser: str = "simple") -> DataFrame:
+    """(query_id, chunk_id, score, rank) of an OR question: every occurrence of a lexeme is a cover of its own, so the cover density is their number times the weight. Only the tokens of some question leave the scan."""
+    hits = postings(chunks, id_col, text_col, analyser).join(bounded(lexemes), "token").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
     return ranked(hits.select("query_id", "chunk_id", (F.col("n") * OCCURRENCE_WEIGHT).alias("score")), "score", k)
 
 
-def exact_identifiers(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = EXACT) -> DataFrame:
-    """Chunks that hold all identifiers of a question, ranked by how often they occur; questions without identifiers have no rows."""
+def exact_identifiers(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = EXACT, analyser: str = "simple") -> DataFrame:
+    """Chunks that hold all identifiers of a question, ranked by cover density (AND); questions without identifiers have no rows.
+
+    With one identifier that is its occurrences times the weight. With more,
+    the positions of the identifiers in a chunk, and no other words, are
+    gathered per question and chunk: at most the identifiers the chunk holds.
+    """
     wanted = lexemes.where(is_identifier(F.col("token")))
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    m = _matches(wanted, chunks, id_col, text_col).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("n"))
-    full = m.join(bounded(need), "query_id").where("have = need")
-    return ranked(full.select("query_id", "chunk_id", (F.col("n") * OCCURRENCE_WEIGHT).alias("score")), "score", k)
+    hits = postings(chunks, id_col, text_col, analyser).join(bounded(wanted), "token").select("query_id", F.col("id").alias("chunk_id"), "token", "position")
+    per = hits.groupBy("query_id", "chunk_id").agg(F.countDistinct("token").alias("have"), F.count(F.lit(1)).alias("n"))
+    full = per.join(bounded(need), "query_id").where("have = need")
+    one = full.where("need = 1").select("query_id", "chunk_id", (F.col("n") * OCCURRENCE_WEIGHT).alias("score"))
+    many = hits.join(full.where("need > 1").select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("at"))
+    scored = many.select("query_id", "chunk_id", covers(F.col("at.position"), F.col("at.token")).alias("score"))
+    return ranked(one.unionByName(scored), "score", k)
+
+
+def _covers(positions: pd.Series, tokens: pd.Series) -> pd.Series:
+    out = []
+    for p, t in zip(positions, tokens):
+        lists: dict[str, list[int]] = {}
+        for at, token in zip(p, t):
+            lists.setdefault(token, []).append(int(at))
+        out.append(cover_density(list(lists.values())))
+    return pd.Series(out, dtype="float64")
+
+
+def covers(positions: Column, tokens: Column) -> Column:
+    """``cover_density`` over two array columns, the positions ascending and the token at each."""
+    return F.round(F.pandas_udf(_covers, "double")(positions, tokens), 9)
 
 
 def cover_density(positions: list[list[int]], weight: float = OCCURRENCE_WEIGHT) -> float:
@@ -77,11 +97,11 @@ def cover_density(positions: list[list[int]], weight: float = OCCURRENCE_WEIGHT)
     return score
 
 
-def bm25(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25; counts cover all chunks given, so filter them by policy first."""
-    sizes = chunks.select(F.col(id_col).alias("chunk_id"), F.size(tokens(text_col)).alias("len"))
+def bm25(lexemes: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text", k: int = CANDIDATES, k1: float = 1.2, b: float = 0.75, analyser: str = "simple") -> DataFrame:
+    """(query_id, chunk_id, score, rank) by BM25; counts cover all chunks given, so filter them by policy first. A chunk's length is the tokens its analyser keeps."""
+    sizes = chunks.select(F.col(id_col).alias("chunk_id"), F.size(F.filter(analysed(text_col, analyser), lambda t: t.isNotNull())).alias("len"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    hits = postings(chunks, id_col, text_col).join(bounded(lexemes.select("token").distinct()), "token", "left_semi")
+    hits = postings(chunks, id_col, text_col, analyser).join(bounded(lexemes.select("token").distinct()), "token", "left_semi")
     tf = hits.groupBy(F.col("id").alias("chunk_id"), "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -230,29 +250,54 @@ def leader_floor(rankings: list[DataFrame], limit: int, k: int = RRF_K) -> DataF
     return rows if added is None else rows.unionByName(added)
 
 
-def hydrate(fused: DataFrame, lexical: DataFrame, vector: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fused rows with the chunk's document and page and the rank and score of each half, in fused order by ``rank``."""
+#: Columns of a hit from its chunk and from its document.
+OF_CHUNK, OF_DOCUMENT = ("document_id", "page_num", "char_start", "char_end", "text", "bboxes"), ("filename", "media_type", "label_ids")
+
+
+def hydrate(fused: DataFrame, lexical: DataFrame, vector: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Fused rows with where they stand and the rank and score of each half, in fused order by ``rank``.
+
+    The chunk gives document, page, offsets, text and boxes; ``documents``, if
+    given, the file name, media type and labels of the document itself. Columns
+    that a table lacks are left out.
+    """
     lex = lexical.select("query_id", "chunk_id", F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
     den = vector.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
-    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_num")
-    return fused.join(lex, ["query_id", "chunk_id"], "left").join(den, ["query_id", "chunk_id"], "left").join(c, "chunk_id")
+    c = chunks.select(F.col("id").alias("chunk_id"), *[n for n in OF_CHUNK if n in chunks.columns])
+    hits = fused.join(lex, ["query_id", "chunk_id"], "left").join(den, ["query_id", "chunk_id"], "left").join(c, "chunk_id")
+    if documents is not None:
+        hits = hits.join(documents.select(F.col("id").alias("document_id"), *[n for n in OF_DOCUMENT if n in documents.columns]), "document_id", "left")
+    return hits
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = DEFAULT_LIMIT, stop: frozenset[str] = frozenset(), engine: str = "occurrences") -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = DEFAULT_LIMIT, stop: frozenset[str] = frozenset(), engine: str = "occurrences", analyser: str = "simple", documents: DataFrame | None = None, scores: DataFrame | None = None, reranks: bool = False) -> DataFrame:
     """Search of many questions (query_id, text, embedding) over visible chunks and vectors.
 
-    A question without an embedding is answered by its lexical half alone
-    (``degraded``). ``engine`` chooses the lexical rank, 'occurrences' or 'bm25'.
+    ``engine`` chooses the lexical rank, 'occurrences' or 'bm25', ``analyser``
+    the tokens. The first of the lexical, dense and exact ranking has a seat
+    (``leader_floor``). With ``reranks`` the hits are put in the order of
+    ``scores`` (query_id, chunk_id, rerank); a question without a full set of
+    them keeps its fused order. ``reasons`` says what a question had to do
+    without: 'embedding' (answered by words alone) and 'reranker';
+    ``degraded`` whether there is any. A search that is not to rerank is not
+    degraded by it.
     """
     if engine not in ("occurrences", "bm25"):
         raise ValueError(f"unknown engine {engine!r}")
-    lexemes = question_lexemes(questions, "query_id", "text", stop)
-    lexical = (lexical_or if engine == "occurrences" else bm25)(lexemes, chunks)
+    lexemes = question_lexemes(questions, "query_id", "text", stop, analyser)
+    lexical = (lexical_or if engine == "occurrences" else bm25)(lexemes, chunks, analyser=analyser)
     vector = dense(questions, vectors)
-    exact = exact_identifiers(lexemes, chunks)
-    fused = fuse([lexical, vector, exact], limit)
-    degraded = questions.select("query_id", F.col("embedding").isNull().alias("degraded"))
-    return hydrate(fused, lexical, vector, chunks).join(bounded(degraded), "query_id")
+    exact = exact_identifiers(lexemes, chunks, analyser=analyser)
+    fused = leader_floor([lexical, vector, exact], limit).withColumnRenamed("position", "rank")
+    hits = hydrate(fused, lexical, vector, chunks, documents)
+    blind = questions.select("query_id", F.when(F.col("embedding").isNull(), F.array(F.lit("embedding"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    hits = hits.join(bounded(blind), "query_id")
+    if reranks:
+        if scores is None:
+            scores = questions.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, rerank double")
+        hits = rerank(hits, scores).drop("rank").withColumnRenamed("position", "rank")
+        hits = hits.withColumn("reasons", F.when(F.col("rerank").isNull(), F.array_append("reasons", F.lit("reranker"))).otherwise(F.col("reasons")))
+    return hits.withColumn("degraded", F.size("reasons") > 0)
 
 
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators import access, analytics, pagination, security
+from quillspan.operators import access, analytics, ingest, pagination, security
 from quillspan.plans.fixtures import AS_OF, Fixtures, sql
+from quillspan.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -261,14 +262,24 @@ def tenants_missing_quarantine(x):
     return analytics.tenants_missing(x.tenants, x.labels, "is_quarantine")
 
 
-@query("SELECT id AS tenant_id FROM tenants t WHERE NOT EXISTS (SELECT 1 FROM access_labels l WHERE l.tenant_id = t.id AND l.is_default)")
+@query(
+    """SELECT t.id AS tenant_id FROM tenants t WHERE NOT EXISTS (SELECT 1 FROM access_labels l WHERE l.tenant_id = t.id AND l.is_default AND l.created_at < TIMESTAMP '2025-04-01 00:00:00')"""
+)
 def tenants_missing_default(x):
-    return analytics.tenants_missing(x.tenants, x.labels, "is_default")
+    """As of a day on which some tenants had no default label yet."""
+    return analytics.tenants_missing(x.tenants, x.labels.where("created_at < timestamp_ntz '2025-04-01 00:00:00'"), "is_default").select(F.col("tenant_id"))
 
 
-@query("SELECT sha256, count(DISTINCT tenant_id) AS tenants, count(*) AS records FROM docs GROUP BY 1 HAVING count(DISTINCT tenant_id) > 1", "docs")
+# Markdown files filed by a second tenant as well.
+@query(
+    """WITH f AS (SELECT id, tenant_id, sha256 FROM docs UNION ALL SELECT id + 1000000000, tenant_id % 164 + 1, sha256 FROM docs WHERE media_type = 'markdown')
+    SELECT sha256, count(DISTINCT tenant_id) AS tenants, count(*) AS records FROM f GROUP BY 1 HAVING count(DISTINCT tenant_id) > 1""",
+    "docs",
+)
 def shared_files(x):
-    return analytics.shared_files(x.documents)
+    d = x.documents.select("id", "tenant_id", "sha256", "media_type")
+    again = d.where("media_type = 'markdown'").select((F.col("id") + 1_000_000_000).alias("id"), (F.col("tenant_id") % 164 + 1).alias("tenant_id"), "sha256", "media_type")
+    return analytics.shared_files(d.unionByName(again))
 
 
 @query(
@@ -443,3 +454,91 @@ def purged_chunks(x):
 @query("SELECT tenant_id, name FROM access_labels WHERE is_quarantine UNION ALL SELECT t.id, 'quarantine' FROM tenants t WHERE NOT EXISTS (SELECT 1 FROM access_labels l WHERE l.tenant_id = t.id AND l.is_quarantine)")
 def ensured_quarantine(x):
     return access.ensured_labels(x.tenants, x.labels, "is_quarantine", "quarantine")
+
+
+# -- labels, uploads and diagnostics ------------------------------------------
+@query("SELECT tenant_id, id AS label_id FROM access_labels WHERE is_quarantine AND id IN (SELECT label_id FROM doc_labels)", "doc_labels")
+def reserved_labels(x):
+    return access.reserved_labels(x.labels, x.document_labels)
+
+
+@query(
+    """SELECT l.id AS label_id, count(DISTINCT b.document_id) AS documents, count(b.document_id) = 0 AND NOT l.is_quarantine AS deletable
+    FROM access_labels l LEFT JOIN doc_labels b ON b.label_id = l.id GROUP BY l.id, l.is_quarantine""",
+    "doc_labels",
+)
+def label_deletion(x):
+    return access.label_deletion(x.labels, x.document_labels)
+
+
+@query("SELECT id AS label_id, CASE WHEN split_part(trim(name), '/', 1) = 'people' THEN true ELSE false END AS inside FROM (SELECT id, lower(trim(name)) || CASE WHEN is_default THEN '/inbox' WHEN is_quarantine THEN '-hold' ELSE '' END AS name FROM access_labels)")
+def namespace_descendants(x):
+    n = F.concat(F.lower(F.trim("name")), F.when(F.col("is_default"), "/inbox").when(F.col("is_quarantine"), "-hold").otherwise(""))
+    return x.labels.withColumn("name", n).select(F.col("id").alias("label_id"), access.in_namespace("name", "people").alias("inside"))
+
+
+_CASCADE = {"documents": "docs WHERE status <> 'failed'", "document_labels": "doc_labels WHERE document_id NOT IN (SELECT id FROM gone)", "chunks": "chk WHERE document_id NOT IN (SELECT id FROM gone)",
+            "chunk_embeddings": "vecs WHERE chunk_id NOT IN (SELECT c.id FROM chk c JOIN gone ON gone.id = c.document_id)", "query_citations": "citations WHERE chunk_id NOT IN (SELECT c.id FROM chk c JOIN gone ON gone.id = c.document_id)"}
+
+
+@query("WITH gone AS (SELECT id FROM docs WHERE status = 'failed') " + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows FROM {b}" for n, b in _CASCADE.items()), "docs", "doc_labels", "chk", "vecs", "citations")
+def delete_cascade(x):
+    """Rows that each table keeps after the failed records are deleted."""
+    t = x.tables()
+    return analytics.content_counts(ingest.cascaded({n: t[n] for n in _CASCADE}, x.documents.where("status = 'failed'")))
+
+
+@query(
+    """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, sha256 ORDER BY id) AS nth FROM docs), u AS (SELECT * FROM ranked WHERE nth > 1 OR media_type = 'markdown'),
+    e AS (SELECT * FROM docs WHERE id NOT IN (SELECT id FROM u)), f AS (SELECT tenant_id, sha256, min(id) AS id FROM e GROUP BY ALL), q AS (SELECT tenant_id, min(id) AS q FROM access_labels WHERE is_quarantine GROUP BY 1),
+    j AS (SELECT u.id AS upload_id, e.id AS document_id, q.q, list_sort(list_distinct(list_concat(u.label_ids, coalesce(e.label_ids, [])))) AS l FROM u LEFT JOIN f ON f.tenant_id = u.tenant_id AND f.sha256 = u.sha256 LEFT JOIN e ON e.id = f.id LEFT JOIN q ON q.tenant_id = u.tenant_id)
+    SELECT upload_id, coalesce(document_id, upload_id) AS document_id, array_to_string(CASE WHEN document_id IS NOT NULL AND len(l) > 1 THEN list_filter(l, lambda v: q IS NULL OR v <> q) ELSE l END, ',') AS labels, document_id IS NOT NULL AS deduplicated FROM j""",
+    "docs",
+)
+def uploads_merged(x):
+    """Markdown files and second records of the same bytes as uploads to a library that holds the rest."""
+    nth = F.row_number().over(Window.partitionBy("tenant_id", "sha256").orderBy("id"))
+    d = x.documents.withColumn("late", (nth > 1) | (F.col("media_type") == "markdown"))
+    q = x.labels.where("is_quarantine").select("tenant_id", F.col("id").alias("label_id"))
+    m = ingest.uploaded_again(d.where("not late"), d.where("late"), q)
+    return m.select("upload_id", "document_id", F.array_join(F.transform("label_ids", lambda v: v.cast("string")), ",").alias("labels"), "deduplicated")
+
+
+@query("SELECT t.name AS \"table\", t.n AS rows FROM (SELECT 'chunks' AS name, count(*) AS n FROM chk UNION ALL SELECT 'documents', count(*) FROM docs UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'query_citations', count(*) FROM citations) t", "chk", "docs", "queries", "citations")
+def content_counts(x):
+    t = x.tables()
+    return analytics.content_counts({n: t[n] for n in ("documents", "chunks", "queries", "query_citations")})
+
+
+@query("SELECT tenant_id, count(*) AS documents FROM docs WHERE status NOT IN ('ready', 'failed') AND NOT (id % 3 = 0 AND id % 2 <> 0) GROUP BY 1", "docs")
+def in_flight(x):
+    return analytics.unscheduled(x.documents, x.jobs)
+
+
+@query("SELECT id, tenant_id, sha256 FROM docs WHERE sha256 NOT IN (SELECT sha256 FROM docs WHERE status = 'ready')", "docs")
+def missing_files(x):
+    """Records whose bytes no ready record has, as if only those were stored."""
+    return analytics.missing_files(x.documents, x.documents.where("status = 'ready'"))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT 'r' || r_regionkey AS name, NULL AS parent, 0 AS n FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0 FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier),
+    t AS (SELECT name, name AS root, 0 AS depth, n FROM p WHERE parent IS NULL UNION ALL SELECT p.name, t.root, t.depth + 1, p.n FROM p JOIN t ON p.parent = t.name) SELECT root, depth, count(*) AS parts, CAST(sum(n) AS BIGINT) AS rows FROM t GROUP BY 1, 2"""
+)
+def partition_tree(x):
+    part = lambda t, k, up, n: x.raw(t).select(k.alias("name"), up.alias("parent"), F.lit(n).alias("rows"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    parts = part("region", key("r", "r_regionkey"), F.lit(None).cast("string"), 0).unionByName(part("nation", key("n", "n_nationkey"), key("r", "n_regionkey"), 0)).unionByName(part("supplier", key("s", "s_suppkey"), key("n", "s_nationkey"), 1))
+    return analytics.partition_tree(parts).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"))
+
+
+@query(
+    f"""SELECT event_id AS id, ts AS created_at, 'query.' || event_type AS action, user_id AS actor_user_id, '{{"value":' || CAST(floor(value) AS BIGINT) || '}}' AS details FROM events
+    WHERE ts < TIMESTAMP '2024-01-20 12:00:00' OR (ts = TIMESTAMP '2024-01-20 12:00:00' AND event_id < 5000) ORDER BY ts DESC, event_id DESC LIMIT 21"""
+)
+def audit_page(x):
+    """The second page of the audit events, twenty and the one that tells of more."""
+    e = x.raw("events")
+    columns = tables.audit_event(F.concat(F.lit("query."), "event_type"), F.col("user_id"), F.lit("query"), F.col("event_id"), value=F.floor("value").cast("bigint"))
+    audit = e.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), *columns)
+    return pagination.newest_first(audit, 20, (_PAGE, 5000)).select("id", "created_at", "action", "actor_user_id", "details")

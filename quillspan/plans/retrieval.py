@@ -47,14 +47,22 @@ post AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\
 lexical AS (SELECT query_id, chunk_id, count(*) * 0.1::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, chunk_id) AS rank
   FROM post JOIN lexemes USING (token) GROUP BY 1, 2 QUALIFY rank <= 50),
 need AS (SELECT query_id, count(*) AS need FROM lexemes WHERE regexp_matches(token, '\\p{Nd}') GROUP BY 1),
-exact AS (SELECT m.query_id, m.chunk_id, m.n * 0.1::DOUBLE AS score, row_number() OVER (PARTITION BY m.query_id ORDER BY m.n DESC, m.chunk_id) AS rank FROM
-  (SELECT query_id, chunk_id, count(DISTINCT token) AS have, count(*) AS n FROM post JOIN (SELECT * FROM lexemes WHERE regexp_matches(token, '\\p{Nd}')) USING (token) GROUP BY 1, 2) m
-  JOIN need USING (query_id) WHERE m.have = need.need QUALIFY rank <= 10),
+ident AS (SELECT l.query_id, c.id AS chunk_id, l.token, c.position FROM (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS position FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM chk WHERE text IS NOT NULL)) c
+  JOIN (SELECT * FROM lexemes WHERE regexp_matches(token, '\\p{Nd}')) l USING (token)),
+held AS (SELECT i.*, n.need FROM ident i JOIN need n USING (query_id) JOIN (SELECT query_id, chunk_id FROM ident JOIN need USING (query_id) GROUP BY query_id, chunk_id, need HAVING count(DISTINCT token) = need) USING (query_id, chunk_id)),
+lasts AS (SELECT e.query_id, e.chunk_id, e.need, e.position AS pos, f.token, max(f.position) AS p FROM held e JOIN held f ON f.query_id = e.query_id AND f.chunk_id = e.chunk_id AND f.position <= e.position GROUP BY ALL),
+cover AS (SELECT query_id, chunk_id, need, low, min(pos) AS high FROM (SELECT query_id, chunk_id, need, pos, min(p) AS low FROM lasts GROUP BY query_id, chunk_id, need, pos HAVING count(*) = need) GROUP BY ALL),
+exact AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + high - low + 1 - need)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.1::DOUBLE / (1 + high - low + 1 - need)), 9) DESC, chunk_id) AS rank FROM cover GROUP BY 1, 2 QUALIFY rank <= 10),
 densed AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
   (SELECT q.query_id, v.chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM qs q, vecs v WHERE q.embedding IS NOT NULL) QUALIFY rank <= 50),
 halves3 AS (SELECT query_id, chunk_id, rank FROM lexical UNION ALL SELECT query_id, chunk_id, rank FROM densed UNION ALL SELECT query_id, chunk_id, rank FROM exact),
 fusedall AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM halves3 GROUP BY 1, 2),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fusedall QUALIFY rank <= 8)"""
+_SEATS = """leads AS (SELECT query_id, chunk_id, 0 AS half FROM lexical WHERE rank = 1 UNION ALL SELECT query_id, chunk_id, 1 FROM densed WHERE rank = 1 UNION ALL SELECT query_id, chunk_id, 2 FROM exact WHERE rank = 1),
+    absent AS (SELECT * FROM leads l WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = l.query_id AND f.chunk_id = l.chunk_id)),
+    kept AS (SELECT f.* FROM fused f LEFT JOIN (SELECT query_id, count(*) AS missing FROM absent GROUP BY 1) m USING (query_id) WHERE rank <= greatest(1, 8 - coalesce(missing, 0))),
+    seated AS (SELECT query_id, chunk_id, score, rank FROM kept UNION ALL
+      SELECT a.query_id, a.chunk_id, k.score, k.at + row_number() OVER (PARTITION BY a.query_id ORDER BY half) FROM absent a JOIN (SELECT query_id, max(rank) AS at, min(score) AS score FROM kept GROUP BY 1) k USING (query_id))"""
 _NEED = ("vecs", "chk")
 
 
@@ -102,14 +110,7 @@ def rrf_fusion(x):
     return f.select("query_id", "chunk_id", F.col("rank").cast("bigint"))
 
 
-@query(
-    f"""WITH {_Q}, leads AS (SELECT query_id, chunk_id, 0 AS half FROM lexical WHERE rank = 1 UNION ALL SELECT query_id, chunk_id, 1 FROM densed WHERE rank = 1 UNION ALL SELECT query_id, chunk_id, 2 FROM exact WHERE rank = 1),
-    absent AS (SELECT * FROM leads l WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = l.query_id AND f.chunk_id = l.chunk_id)),
-    kept AS (SELECT f.* FROM fused f LEFT JOIN (SELECT query_id, count(*) AS missing FROM absent GROUP BY 1) m USING (query_id) WHERE rank <= greatest(1, 8 - coalesce(missing, 0)))
-    SELECT query_id, chunk_id, rank AS position FROM kept UNION ALL
-    SELECT a.query_id, a.chunk_id, k.at + row_number() OVER (PARTITION BY a.query_id ORDER BY half) FROM absent a JOIN (SELECT query_id, max(rank) AS at FROM kept GROUP BY 1) k USING (query_id)""",
-    *_NEED,
-)
+@query(f"WITH {_Q}, {_SEATS} SELECT query_id, chunk_id, rank AS position FROM seated", *_NEED)
 def leader_floor(x):
     lex = _lexemes(x)
     f = retrieval.leader_floor([retrieval.lexical_or(lex, x.chunks), retrieval.dense(questions(x), x.embeddings), retrieval.exact_identifiers(lex, x.chunks)], 8)
@@ -117,19 +118,22 @@ def leader_floor(x):
 
 
 @query(
-    f"""WITH {_Q} SELECT f.query_id, f.rank, f.chunk_id, c.document_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(f.score, 6) AS score, q.embedding IS NULL AS degraded
-    FROM fused f JOIN chk c ON c.id = f.chunk_id JOIN qs q USING (query_id) LEFT JOIN lexical l USING (query_id, chunk_id) LEFT JOIN densed d USING (query_id, chunk_id)""",
-    *_NEED,
+    f"""WITH {_Q}, {_SEATS} SELECT f.query_id, f.rank, f.chunk_id, c.document_id, d.filename, d.media_type, c.page_num, c.char_start, c.char_end, c.text, array_to_string(list_sort(d.label_ids), ',') AS labels,
+      l.rank AS lexical_rank, v.rank AS dense_rank, round(f.score, 6) AS score, round(l.score, 6) AS lexical_score, round(v.score, 6) AS dense_score, q.embedding IS NULL AS degraded
+    FROM seated f JOIN chk c ON c.id = f.chunk_id JOIN qs q USING (query_id) LEFT JOIN docs d ON d.id = c.document_id LEFT JOIN lexical l USING (query_id, chunk_id) LEFT JOIN densed v USING (query_id, chunk_id)""",
+    *_NEED, "docs",
 )
 def hybrid_search(x):
-    h = retrieval.hybrid_search(questions(x), x.chunks, x.embeddings, stop=STOP)
+    h = retrieval.hybrid_search(questions(x), x.chunks, x.embeddings, stop=STOP, documents=x.documents)
     big = lambda c: F.col(c).cast("bigint").alias(c)
-    return h.select("query_id", big("rank"), "chunk_id", "document_id", big("lexical_rank"), big("dense_rank"), F.round("score", 6).alias("score"), "degraded")
+    six = lambda c: F.round(c, 6).alias(c)
+    labels = F.array_join(F.transform(F.sort_array("label_ids"), lambda v: v.cast("string")), ",").alias("labels")
+    return h.select("query_id", big("rank"), "chunk_id", "document_id", "filename", "media_type", "page_num", "char_start", "char_end", "text", labels, big("lexical_rank"), big("dense_rank"), six("score"), six("lexical_score"), six("dense_score"), "degraded")
 
 
 @query(
-    f"""WITH {_Q}, r AS (SELECT f.query_id, avg(CASE WHEN l.rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS share, max(coalesce(d.score, 0)) AS best
-      FROM fused f LEFT JOIN lexical l USING (query_id, chunk_id) LEFT JOIN densed d USING (query_id, chunk_id) GROUP BY 1)
+    f"""WITH {_Q}, {_SEATS}, r AS (SELECT f.query_id, avg(CASE WHEN l.rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS share, max(coalesce(d.score, 0)) AS best
+      FROM seated f LEFT JOIN lexical l USING (query_id, chunk_id) LEFT JOIN densed d USING (query_id, chunk_id) GROUP BY 1)
     SELECT query_id, CASE WHEN share < 1.0::DOUBLE / 3 THEN 'NONE' WHEN best < 0.02 THEN 'NONE' WHEN best < 0.15 THEN 'WEAK' ELSE 'CONFIDENT' END AS relevance FROM r""",
     *_NEED,
 )
@@ -138,6 +142,13 @@ def relevance_bands(x):
     return retrieval.relevance(h.withColumn("rerank", F.coalesce("dense_score", F.lit(0.0))))
 
 
+@query(None)
+def lexical_or_topk(x):
+    """The lexical half on the English analyser."""
+    lex = retrieval.question_lexemes(questions(x), "query_id", "text", analyser="english")
+    return retrieval.lexical_or(lex, x.chunks, analyser="english").select("query_id", "chunk_id", F.col("rank").cast("bigint"), F.round("score", 6).alias("score"))
+
+
 # -- dense ------------------------------------------------------------------
 def _knn(condition: str = "true", k: int = 10) -> str:
     return f"""knn AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
@@ -159,9 +170,13 @@ def knn_secured(x):
     return _out(retrieval.dense(probes(x), secure(x).embeddings(), 10, exclude_self=True))
 
 
-@query(f"WITH {_knn('v.chunk_id IN (SELECT id FROM chk WHERE document_id % 7 = 0)')} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM knn", "vecs", "chk")
+_PDF = "v.chunk_id IN (SELECT c.id FROM chk c JOIN docs d ON d.id = c.document_id WHERE d.media_type = 'pdf')"
+
+
+@query(f"WITH {_knn(_PDF)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM knn", "vecs", "chk", "docs")
 def knn_scoped(x):
-    scope = x.chunks.where(F.col("document_id") % 7 == 0).select(F.col("id").alias("chunk_id"))
+    pdf = x.documents.where("media_type = 'pdf'").select(F.col("id").alias("document_id"))
+    scope = x.chunks.join(pdf, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
     return _out(retrieval.dense(probes(x), x.embeddings.join(scope, "chunk_id", "left_semi"), 10, exclude_self=True))
 
 
