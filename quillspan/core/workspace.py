@@ -35,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[key]}"
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    """Whether a folder or file of that name is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 class Stored:
     """A written table: ``df`` reads it, ``drop()`` deletes it."""
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.retrieval import unit_rows
+from quillspan.operators.retrieval import pair_cosines, unit_rows
 
 
 def recall_mrr(results: DataFrame, truth: DataFrame, kinds: DataFrame, k: int = 8) -> DataFrame:
@@ -90,32 +90,58 @@ def ranking_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def label_shortlist(documents: DataFrame, labels: DataFrame, truth: DataFrame, most: int = 20_000) -> DataFrame:
+def label_shortlist(documents: DataFrame, labels: DataFrame, truth: DataFrame, block: int = 20_000) -> DataFrame:
     """(document_id, rank): the best position of a true label among all labels, by cosine with the document's mean vector.
 
     ``documents`` (document_id, embedding), ``labels`` (label_id, embedding),
-    ``truth`` (document_id, label_id). Labels go to the tasks whole, so there
-    may be at most ``most``; equal cosines, to nine digits, rank by label_id.
-    Documents without a true label among the labels have no row.
+    ``truth`` (document_id, label_id). Each document's best true label is found
+    first; then the labels that come before it are counted, the labels going to
+    the tasks in blocks of ``block`` that are loaded one after the other.
+    Equal cosines, to nine digits, rank by label_id. Documents without a true
+    label among the labels have no row.
     """
-    rows = labels.where(F.col("embedding").isNotNull()).orderBy("label_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} labels")
-    known = documents.sparkSession.sparkContext.broadcast((np.array([r["label_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
-    own = truth.groupBy("document_id").agg(F.collect_set("label_id").alias("true"))
-    d = documents.join(own, "document_id").select(F.col("document_id").cast("bigint"), F.col("embedding").cast("array<double>"), F.col("true").cast("array<bigint>"))
+    lab = labels.where(F.col("embedding").isNotNull() & F.col("label_id").isNotNull()).select(F.col("label_id").cast("bigint").alias("label_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    doc = documents.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("embedding").cast("array<double>").alias("x"))
+    pairs = truth.select("document_id", "label_id").distinct().join(lab, "label_id").join(doc, "document_id")
+    own = pair_cosines(pairs.select(F.col("document_id").alias("query_id"), F.col("label_id").alias("chunk_id"), F.col("x").alias("q"), "embedding"))
+    best = own.groupBy(F.col("query_id").alias("document_id")).agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("minus"))).alias("b"))
+    d = doc.join(best, "document_id").select("document_id", "x", F.col("b.score").alias("score"), (-F.col("b.minus")).alias("label_id"))
+    spread = documents.sparkSession.sparkContext.broadcast
+    blocks, ids, vs = [], [], []
+    for r in lab.orderBy("label_id").toLocalIterator():
+        ids.append(r["label_id"])
+        vs.append(r["embedding"])
+        if len(ids) == block:
+            blocks.append(spread((np.array(ids, np.int64), np.array(vs, np.float64))))
+            ids, vs = [], []
+    if ids:
+        blocks.append(spread((np.array(ids, np.int64), np.array(vs, np.float64))))
 
     def run(batches):
-        ids, lab = known.value
         for b in batches:
-            if not b.num_rows or not len(ids):
+            if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s = np.round(unit_rows(x) @ unit_rows(lab).T, 9)
-            place = np.empty(s.shape, np.int64)
-            np.put_along_axis(place, np.argsort(-s, axis=1, kind="stable"), np.broadcast_to(np.arange(1, s.shape[1] + 1), s.shape), 1)
-            got = [(doc, place[i, np.isin(ids, t)]) for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))]
-            got = [(doc, int(p.min())) for doc, p in got if len(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32())], ["document_id", "rank"])
+            x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            score, mine = b.column(2).to_numpy()[:, None], b.column(3).to_numpy()[:, None]
+            before = np.zeros(b.num_rows, np.int64)
+            for known in blocks:
+                other, e = known.value
+                s = np.round(x @ unit_rows(e).T, 9)
+                before += (((s > score) | ((s == score) & (other < mine))) & (other != mine)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((before + 1).astype(np.int32), pa.int32())], ["document_id", "rank"])
 
     return d.mapInArrow(run, "document_id bigint, rank int")
+
+
+def shortlist_recall(ranks: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, documents, found): how many documents have a true label among the first k, for each k."""
+    each = ranks.select("document_id", "rank", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return each.groupBy("k").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("rank") <= F.col("k")).alias("found"))
+
+
+def shortlist_length(ranks: DataFrame, share: float = 0.95) -> DataFrame:
+    """(k): the shortest list that has a true label for at least ``share`` of the documents."""
+    per = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    # One row per rank, thus at most as many as there are labels.
+    run = per.select("rank", F.sum("n").over(Window.orderBy("rank")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    return run.where(F.col("upto") >= share * F.col("all")).agg(F.min("rank").alias("k"))

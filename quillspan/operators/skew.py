@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.vector import usable
 
 SALTS = 32
+MOST_COUNTERS = 1 << 19
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
@@ -24,9 +25,13 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
 
     A mergeable frequent-items sketch with 16 / share counters misses no key
     above the share; keys whose estimate is below half the share are dropped.
-    NULL keys are not reported. No rows give no keys.
+    NULL keys are not reported. No rows give no keys. A share so small that the
+    sketch would need more than 2^19 counters is refused, since it could not
+    keep that promise.
     """
-    most, counters = math.ceil(4 / share), min(1_000_000, 1 << math.ceil(math.log2(16 / share)))
+    most, counters = math.ceil(4 / share), 1 << math.ceil(math.log2(16 / share))
+    if counters > MOST_COUNTERS:
+        raise ValueError(f"a share below {16 / MOST_COUNTERS:.2g} needs more counters than the sketch has")
     named = df.where(F.col(key).isNotNull())
     top = named.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {most}, {counters})").alias("top"))
     return top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.col("n") * share / 2).select(F.col("t.item").alias(key))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.retrieval import bounded, dense, pair_cosines, ranked, scan_topk
+from quillspan.operators.retrieval import bounded, dense, pair_cosines, ranked, scan_topk, width_guard
 
 
 def second_moment(vectors: DataFrame, column: str = "embedding", centred: bool = False) -> tuple[np.ndarray, int]:
@@ -25,11 +25,18 @@ def second_moment(vectors: DataFrame, column: str = "embedding", centred: bool =
             yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([m.tobytes()]), pa.array([s.tobytes()]), pa.array([n])], ["g", "m", "s", "n"])
 
     def join(t):
-        add = lambda c: sum(np.frombuffer(v, np.float64) for v in t[c].to_pylist()).tobytes()
-        return pa.table({"g": [1], "m": [add("m")], "s": [add("s")], "n": [sum(t["n"].to_pylist())]})
+        out = {"g": [1], "n": [sum(t["n"].to_pylist())]}
+        for c in ("m", "s"):
+            total = np.frombuffer(t[c][0].as_py(), np.float64).copy()
+            for v in t[c][1:]:
+                total += np.frombuffer(v.as_py(), np.float64)
+            out[c] = [total.tobytes()]
+        return pa.table({c: out[c] for c in ("g", "m", "s", "n")})
 
     kind = "g bigint, m binary, s binary, n bigint"
-    row = vectors.select(F.col(column).cast("array<double>")).mapInArrow(part, kind).groupBy("g").applyInArrow(join, kind).first()
+    # In two steps: 32 workers merge the tasks' sums, one merges theirs.
+    first = vectors.select(F.col(column).cast("array<double>")).where(F.col(column).isNotNull()).mapInArrow(part, kind).withColumn("h", F.spark_partition_id() % 32).groupBy("h").applyInArrow(lambda t: join(t), kind)
+    row = first.groupBy("g").applyInArrow(join, kind).first()
     if row is None:
         return np.zeros((0, 0)), 0
     n = row["n"]
@@ -58,8 +65,11 @@ def random_basis(width: int, k: int, seed: int = 0) -> np.ndarray:
 
 
 def project(vectors: DataFrame, axes: np.ndarray, id_col: str = "chunk_id", column: str = "embedding") -> DataFrame:
-    """(id, embedding) in the space of the axes; queries and passages go through the same map."""
+    """(id, embedding) in the space of the axes; queries and passages go through the same map. NULL vectors have no row; a vector of another width than the axes fails the query, and so do no axes."""
+    if not axes.size:
+        raise ValueError("the space has no axes")
     known = vectors.sparkSession.sparkContext.broadcast(axes)
+    vectors = width_guard(vectors.where(F.col(column).isNotNull()), column, len(axes))
 
     def run(batches):
         for b in batches:
@@ -183,6 +193,11 @@ def bucket_widening(chunks: DataFrame, buckets: int, key: str = "tenant_id") ->
     return per.join(b, "bucket").select(key, "owned", "in_bucket", "sharing")
 
 
+def widening(share: float, buckets: int) -> float:
+    """The share of all rows that a tenant with ``share`` of them is expected to read from its bucket of ``buckets``."""
+    return share + (1 - share) / buckets
+
+
 def required_modulus(share: float, epsilon: float) -> int:
     """Hash buckets so that others add at most ``epsilon`` times what a tenant with that share of the rows owns."""
     return int(np.ceil((1 - share) / (epsilon * share)))

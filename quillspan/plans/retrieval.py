@@ -429,43 +429,61 @@ def document_shares(x):
     return vectors.shares(per, "tenant_id", "document_id", "chunks")
 
 
-@query(
-    """WITH lab AS (SELECT id AS label_id, arg_min(e, cid) AS l FROM (SELECT l.id, v.embedding::DOUBLE[] AS e, v.chunk_id AS cid FROM access_labels l JOIN chk c ON list_contains(c.label_ids, l.id) JOIN vecs v ON v.chunk_id = c.id) GROUP BY 1),
+_SHORT = """lab AS (SELECT id AS label_id, arg_min(e, cid) AS l FROM (SELECT l.id, v.embedding::DOUBLE[] AS e, v.chunk_id AS cid FROM access_labels l JOIN chk c ON list_contains(c.label_ids, l.id) JOIN vecs v ON v.chunk_id = c.id) GROUP BY 1),
     comp AS (SELECT document_id, i, avg(v) AS v FROM (SELECT c.document_id, unnest(e.embedding)::DOUBLE AS v, generate_subscripts(e.embedding, 1) AS i FROM vecs e JOIN chk c ON c.id = e.chunk_id) GROUP BY 1, 2), d AS (SELECT document_id, list(v ORDER BY i) AS d FROM comp GROUP BY 1),
-    r AS (SELECT document_id, label_id, row_number() OVER (PARTITION BY document_id ORDER BY round(list_cosine_similarity(d, l), 9) DESC, label_id) AS rank FROM d, lab)
-    SELECT r.document_id, min(rank) AS rank FROM r JOIN doc_labels b ON b.document_id = r.document_id AND b.label_id = r.label_id GROUP BY 1""",
-    "vecs", "chk", "doc_labels",
-)
-def label_shortlist(x):
+    r AS (SELECT document_id, label_id, row_number() OVER (PARTITION BY document_id ORDER BY round(list_cosine_similarity(d, l), 9) DESC, label_id) AS rank FROM d, lab),
+    short AS (SELECT r.document_id, min(rank) AS rank FROM r JOIN doc_labels b ON b.document_id = r.document_id AND b.label_id = r.label_id GROUP BY 1)"""
+
+
+def _shortlist(x):
     e = x.chunks.select(F.col("id").alias("chunk_id"), F.explode(F.array_distinct("label_ids")).alias("label_id")).join(x.embeddings, "chunk_id").join(x.labels.select(F.col("id").alias("label_id")), "label_id", "left_semi")
     labels = e.groupBy("label_id").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     docs = vectors.as_vectors(vectors.pooled(_by_document(x), ["document_id"]), ["document_id"])
     return evaluate.label_shortlist(docs, labels, x.document_labels).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(f"WITH {_SHORT} SELECT document_id, rank FROM short", "vecs", "chk", "doc_labels")
+def label_shortlist(x):
+    return _shortlist(x)
+
+
+@query(f"WITH {_SHORT} SELECT k, count(*) AS documents, count(*) FILTER (WHERE rank <= k) AS found FROM short, (VALUES (1), (3), (10), (30)) t(k) GROUP BY 1", "vecs", "chk", "doc_labels")
+def label_shortlist_recall(x):
+    return evaluate.shortlist_recall(_shortlist(x), [1, 3, 10, 30])
+
+
+@query(f"WITH {_SHORT} SELECT min(k) AS k FROM (SELECT rank AS k, sum(count(*)) OVER (ORDER BY rank) AS upto FROM short GROUP BY rank) WHERE upto >= 0.95 * (SELECT count(*) FROM short)", "vecs", "chk", "doc_labels")
+def label_shortlist_length(x):
+    return evaluate.shortlist_length(_shortlist(x))
+
+
 @query(
-    f"""WITH {_EXACT.replace("ex AS", "full10 AS")}, part AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
-      (SELECT p.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vecs p, vecs v
-       WHERE p.chunk_id % 20 = 0 AND CAST('0x' || substr(md5(CAST(v.chunk_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.2) QUALIFY rank <= 10)
-    SELECT f.query_id, round(count(p.rank) / count(*), 9) AS recall, count(*) FILTER (WHERE f.rank = 1 AND p.rank = 1) > 0 AS top1 FROM full10 f LEFT JOIN part p USING (query_id, chunk_id) GROUP BY 1""",
+    f"""WITH {_EXACT}, shares(reach) AS (VALUES (1.0::DOUBLE), (0.2::DOUBLE), (0.05::DOUBLE)), part AS (SELECT reach, query_id, chunk_id, row_number() OVER (PARTITION BY reach, query_id ORDER BY score DESC, chunk_id) AS rank FROM
+      (SELECT r.reach, p.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vecs p, vecs v, shares r
+       WHERE p.chunk_id % 20 = 0 AND CAST('0x' || substr(md5(CAST(v.chunk_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < r.reach) QUALIFY rank <= 10)
+    SELECT r.reach, f.query_id, round(count(p.rank) / count(*), 9) AS recall, count(*) FILTER (WHERE f.rank = 1 AND p.rank = 1) > 0 AS top1 FROM ex f CROSS JOIN shares r LEFT JOIN part p ON p.reach = r.reach AND p.query_id = f.query_id AND p.chunk_id = f.chunk_id GROUP BY 1, 2""",
     "vecs",
 )
 def recall_partial_reach(x):
-    q = probes(x)
-    reach = x.embeddings.where(vectors.md5_uniform(F.col("chunk_id")) < 0.2)
-    return evaluate.overlap(_exact(x), retrieval.dense(q, reach, 10), 10)
+    """What a searcher who reaches all, a fifth or a twentieth of the vectors finds of the exact top ten."""
+    exact, out = _exact(x), None
+    for share in (1.0, 0.2, 0.05):
+        reach = x.embeddings.where(vectors.md5_uniform(F.col("chunk_id")) < share)
+        one = evaluate.overlap(exact, retrieval.dense(probes(x), reach, 10), 10).select(F.lit(share).alias("reach"), "query_id", "recall", "top1")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
     f"""WITH {_EXACT} SELECT e.query_id AS a, e.chunk_id AS b, w.weight, round(list_sum(list_transform(list_zip(p.embedding, v.embedding), lambda z: z[1]::DOUBLE * (1 - w.weight) + z[2]::DOUBLE * w.weight)), 6) AS total
-    FROM ex e JOIN vecs p ON p.chunk_id = e.query_id JOIN vecs v ON v.chunk_id = e.chunk_id, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) w(weight) WHERE e.rank = 2""",
+    FROM ex e JOIN vecs p ON p.chunk_id = e.query_id JOIN vecs v ON v.chunk_id = e.chunk_id, (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) w(weight) WHERE e.rank BETWEEN 2 AND 4""",
     "vecs",
 )
 def interpolated_corpus(x):
-    near = _exact(x).where("rank = 2").select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"))
+    near = _exact(x).where("rank between 2 and 4").select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"))
     e = lambda i, v: x.embeddings.select(F.col("chunk_id").alias(i), F.col("embedding").alias(v))
     pairs = near.join(e("a", "va"), "a").join(e("b", "vb"), "b")
-    return vectors.interpolated(pairs, [0.25, 0.5], scaled=False).select("a", "b", "weight", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+    return vectors.interpolated(pairs, [0.1, 0.25, 0.5, 0.75, 0.9], scaled=False).select("a", "b", "weight", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
 @query(None)

@@ -25,12 +25,29 @@ def read_tenant(spark: SparkSession, path: str, tenant_id: int, buckets: int = B
     return spark.read.parquet(path).where((F.col("tenant_bucket") == value) & (F.col("tenant_id") == tenant_id)).drop("tenant_bucket")
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Adds rows to an append-only log (queries, citations, audit events)."""
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, batch: str | int) -> None:
+    """Adds rows to an append-only log (queries, citations, audit events) as the batch of that name; the same batch written again replaces itself and nothing else, so a repeated write adds no row twice."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def answered(answers: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, citations) to log of answers (query_id, tenant_id, user_id, question, cited array<int>) and the hits (query_id, rank, chunk_id, scores) they were given.
+
+    Only cited passages are logged, each with its place in the answer's
+    passages and its four scores, NULL where a half did not find it.
+    """
+    queries = answers.select(F.col("query_id").alias("id"), "tenant_id", "user_id", "question")
+    seats = answers.select("query_id", "tenant_id", F.explode("cited").alias("rank"))
+    score = lambda c: (F.col(c) if c in hits.columns else F.lit(None)).cast("double").alias(c)
+    scores = hits.select("query_id", "rank", "chunk_id", *map(score, ("score", "lexical_score", "dense_score", "rerank")))
+    return queries, seats.join(scores, ["query_id", "rank"]).select("query_id", "tenant_id", "chunk_id", "rank", "score", "lexical_score", "dense_score", F.col("rerank").alias("rerank_score"))
 
 
 def audit_event(action, actor, target_type, target_id, **details):
-    """Columns of one audit event: (action, actor_user_id, target_type, target_id, details as JSON)."""
+    """Columns of one audit event: (action, actor_user_id, target_type, target_id, details as JSON).
+
+    An event that a rule caused has a NULL actor, and one of the system itself
+    a NULL target too; pass a NULL literal of the column's type for either.
+    """
     body = F.to_json(F.struct(*[v.alias(k) for k, v in details.items()])) if details else F.lit("{}")
     return [action.alias("action"), actor.alias("actor_user_id"), target_type.alias("target_type"), target_id.alias("target_id"), body.alias("details")]

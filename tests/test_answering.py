@@ -188,6 +188,9 @@ def test_label_shortlist(spark):
     labels = spark.createDataFrame([(10, [1.0, 0.1]), (11, [0.1, 1.0])], "label_id bigint, embedding array<double>")
     truth = spark.createDataFrame([(1, 10), (2, 10), (2, 11)], "document_id bigint, label_id bigint")
     assert dict(rows(evaluate.label_shortlist(d, labels, truth))) == {1: 1, 2: 1}
+    assert dict(rows(evaluate.label_shortlist(d, labels, truth.where("label_id = 10"), block=1))) == {1: 1, 2: 2}
+    assert evaluate.label_shortlist(d, labels.where("false"), truth).collect() == []
+    assert rows(evaluate.shortlist_length(spark.createDataFrame([(i, 1 + i // 10) for i in range(40)], "document_id bigint, rank bigint"), 0.7)) == [(3,)]
 
 
 # -- ingestion --------------------------------------------------------------------
@@ -384,6 +387,35 @@ def test_streamed_limiter(spark, hits, tmp_path):
     assert got == brute_limit(hits, 5, 60)
 
 
+def test_streamed_two_levels(spark, hits, tmp_path):
+    every = [(i, t, u, 1 + u % 2) for i, t, u in hits]
+    df = spark.createDataFrame(every, "event_id bigint, ts timestamp, user_id bigint, tenant_id bigint").orderBy("ts")
+    start = dt.datetime(2025, 1, 1)
+    for i, (lo, hi) in enumerate(((0, 200), (200, 10_000))):
+        df.where((F.col("ts") >= start + dt.timedelta(seconds=lo)) & (F.col("ts") < start + dt.timedelta(seconds=hi))).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+        q = limiter.limited_two_levels_stream(src, user_limit=3, tenant_limit=5, window=60.0).writeStream.format("memory").queryName("two").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = dict(rows(spark.table("two")))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert got == dict(rows(limiter.limited_two_levels(df, user_limit=3, tenant_limit=5, window=60.0)))
+
+
+def test_logs_are_written_once_a_batch(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a")], "id bigint, q string")
+    for batch in ("b1", "b1", "b2"):
+        tables.append_log(one, str(tmp_path / "log"), batch)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    answers = spark.createDataFrame([(7, 1, 2, "why", [1, 3]), (8, 1, 2, "none", [])], "query_id bigint, tenant_id bigint, user_id bigint, question string, cited array<int>")
+    hits = spark.createDataFrame([(7, r, 100 + r, 0.5 / r) for r in (1, 2, 3)], "query_id bigint, rank int, chunk_id bigint, score double")
+    q, c = tables.answered(answers, hits)
+    assert q.count() == 2 and sorted((r["chunk_id"], r["rank"], r["dense_score"]) for r in c.collect()) == [(101, 1, None), (103, 3, None)]
+
+
 def test_ingest_stream_writes_once(spark, tmp_path):
     schema = "doc_id bigint, text string"
     body = "A sentence of some length. " * 60
@@ -393,7 +425,9 @@ def test_ingest_stream_writes_once(spark, tmp_path):
     spark.createDataFrame([(3, body)], schema).write.parquet(str(tmp_path / "in" / "b"))
     run()
     run()
-    got = rows(spark.read.parquet(str(tmp_path / "out")).groupBy("id").count().orderBy("id"))
+    spark.createDataFrame([(1, body), (4, body), (None, body)], schema).write.parquet(str(tmp_path / "in" / "again"))
+    run()
+    got = rows(spark.read.parquet(str(tmp_path / "out" / "chunks")).where("id < 4").groupBy("id").count().orderBy("id"))
     assert got == [(1, len(chunking.chunk_text(body))), (3, len(chunking.chunk_text(body)))]
 
 
@@ -424,8 +458,8 @@ def test_tenant_layout_prunes(spark, tmp_path):
     one = tables.read_tenant(spark, path, 3, 16)
     assert {r["t"] for r in one.collect()} == {"new"} and one.count() == 10
     assert "PartitionFilters: [isnotnull(tenant_bucket" in one._jdf.queryExecution().executedPlan().toString()
-    tables.append_log(df.limit(1), str(tmp_path / "log"))
-    tables.append_log(df.limit(1), str(tmp_path / "log"))
+    tables.append_log(df.limit(1), str(tmp_path / "log"), 1)
+    tables.append_log(df.limit(1), str(tmp_path / "log"), 2)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
