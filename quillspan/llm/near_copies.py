@@ -169,8 +169,9 @@ def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.
 
     ``level`` is how common each shingle is, 0 if only one record has it. Two
     sets with the similarity share a shingle among the first ``size -
-    ceil(similarity * size) + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` are
-    the parities of all after it, of 64 bits and of 192 (three columns). A
+    ceil(similarity * size) + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` is
+    the parity sketch of all after it, 256 bits in four columns, whose
+    exclusive or is a sketch of 64 bits. A
     shingle that one record has alone has no partner and is left out. At most
     2^24 records at a time.
     """
@@ -182,17 +183,16 @@ def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.
     use = (place <= many - np.ceil(similarity * many - 1e-9)) & (level > 0)
     last = (begin + size - 1)[own[use]]
     h = _mix(sh.astype(np.uint64) + np.uint64(47))
-    one, wide = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(0xFFFFFFFF)) % np.uint64(192)
+    bit, word = np.uint64(1) << (h >> np.uint64(58)), h & np.uint64(3)
     rest = np.zeros((int(use.sum()), 4), np.uint64)
     for i in range(4 if len(sh) else 0):
-        flip = one if i == 0 else np.where(wide >> np.uint64(6) == i - 1, np.uint64(1) << (wide & np.uint64(63)), np.uint64(0))
-        parity = np.bitwise_xor.accumulate(flip)
+        parity = np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))
         rest[:, i] = parity[last] ^ parity[use]
     return own[use], sh[use], place[use], rest
 
 
 def _is_wide(size, place, similarity: float):
-    """Whether a posting carries the wide rest too: partners like it may differ in more than 64 bits can tell."""
+    """Whether a posting carries all 256 bits: partners like it may differ in more shingles than 64 bits can tell."""
     return 2 * (size - place) - 4 * similarity / (1 + similarity) * size > WIDE_SPARE
 
 
@@ -207,6 +207,7 @@ def posting_pairs(shingle: np.ndarray, size: np.ndarray, place: np.ndarray, rest
     limit = np.floor((size - place) / share + 1e-6).astype(np.int64) - size
     most = np.minimum(limit, np.floor(size / similarity + 1e-6).astype(np.int64))
     wide = _is_wide(size, place, similarity)
+    narrow = np.where(wide, np.bitwise_xor.reduce(rest, axis=1), rest[:, 0])
     at = (shingle.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
     first = np.flatnonzero(most >= size)
     many = np.searchsorted(at, (shingle[first].astype(np.uint64) << np.uint64(32)) | most[first].astype(np.uint64), side="right") - first - 1
@@ -222,11 +223,11 @@ def posting_pairs(shingle: np.ndarray, size: np.ndarray, place: np.ndarray, rest
         x, y = x[ok], y[ok]
         both = size[x] + size[y]
         spare = both - place[x] - place[y] - 2 * np.ceil(share * both - 1e-9).astype(np.int64)
-        ok = np.bitwise_count(rest[x, 0] ^ rest[y, 0]) <= spare
+        ok = np.bitwise_count(narrow[x] ^ narrow[y]) <= spare
         x, y, spare = x[ok], y[ok], spare[ok]
         ok = ~(wide[x] & wide[y])
         test = np.flatnonzero(~ok)
-        ok[test] = np.bitwise_count(rest[x[test], 1:] ^ rest[y[test], 1:]).sum(1) <= spare[test]
+        ok[test] = np.bitwise_count(rest[x[test]] ^ rest[y[test]]).sum(1) <= spare[test]
         yield x[ok], y[ok]
         a = b
 
@@ -324,7 +325,8 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, int)
             cuts = list(zip(begin, np.r_[begin[1:], len(key)]))
             packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [num[at[x:y]].tobytes() for x, y in cuts], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
-            packed += [[rest[x:y, 0].tobytes() for x, y in cuts], [rest[x:y, 1:][wide[x:y]].tobytes() for x, y in cuts]]
+            short = np.bitwise_xor.reduce(rest, axis=1)
+            packed += [[short[x:y][~wide[x:y]].tobytes() for x, y in cuts], [rest[x:y][wide[x:y]].tobytes() for x, y in cuts]]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "keys", "nums", "sizes", "places", "rests", "wides"])
 
     def pairs(table):
@@ -335,8 +337,9 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
             size.append(_from_planes(r["sizes"]).astype(np.int64))
             place.append(_from_planes(r["places"]).astype(np.int64))
             full = np.zeros((len(key[-1]), 4), np.uint64)
-            full[:, 0] = np.frombuffer(r["rests"], np.uint64)
-            full[_is_wide(size[-1], place[-1], similarity), 1:] = np.frombuffer(r["wides"], np.uint64).reshape(-1, 3)
+            wide = _is_wide(size[-1], place[-1], similarity)
+            full[~wide, 0] = np.frombuffer(r["rests"], np.uint64)
+            full[wide] = np.frombuffer(r["wides"], np.uint64).reshape(-1, 4)
             rest.append(full)
         key, num, size, place, rest = (np.concatenate(c) for c in (key, num, size, place, rest))
         order = np.lexsort((num, size, key))
@@ -370,10 +373,12 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
     both = F.col("size_x") + F.col("size_y")
     need = F.ceil(both * share - 1e-9)
     spare = both - F.col("place_x") - F.col("place_y") - 2 * need
-    apart = [F.bit_count(F.col(f"r{i}_x").bitwiseXOR(F.col(f"r{i}_y"))) for i in range(4)]
-    wide = _is_wide(F.col("size_x"), F.col("place_x"), similarity) & _is_wide(F.col("size_y"), F.col("place_y"), similarity)
+    wide = {e: _is_wide(F.col(f"size_{e}"), F.col(f"place_{e}"), similarity) for e in "xy"}
+    words = {e: [F.col(f"r{i}_{e}") for i in range(4)] for e in "xy"}
+    narrow = {e: F.when(wide[e], words[e][0].bitwiseXOR(words[e][1]).bitwiseXOR(words[e][2]).bitwiseXOR(words[e][3])).otherwise(words[e][0]) for e in "xy"}
+    apart = [F.bit_count(u.bitwiseXOR(v)) for u, v in zip(words["x"], words["y"])]
     fit = (F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= need) & (F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * similarity - 1e-6)
-    long = x.join(y, "key").where("a_x < a_y").where(fit & (apart[0] <= spare) & (~wide | (apart[1] + apart[2] + apart[3] <= spare))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
+    long = x.join(y, "key").where("a_x < a_y").where(fit & (F.bit_count(narrow["x"].bitwiseXOR(narrow["y"])) <= spare) & (~(wide["x"] & wide["y"]) | (apart[0] + apart[1] + apart[2] + apart[3] <= spare))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
     return short.unionByName(long).distinct()
 
 
