@@ -327,9 +327,14 @@ def svd_projected(x):
     return vectors.project(x.embeddings, axes)
 
 
-@query(None)
+# Rounding to eleven significant bits, ties to even; below 2^-14 the steps stay those of 2^-24.
+_HALF = "(CASE WHEN v = 0 THEN 0::DOUBLE ELSE round_even(v / pow(2, greatest(floor(log2(abs(v))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(v))), -14) - 10) END)"
+
+
+@query(f"SELECT chunk_id, count(*) AS width, round(sum({_HALF}), 6) AS total, round(max({_HALF}), 9) AS most FROM (SELECT chunk_id, unnest(embedding)::DOUBLE AS v FROM vecs) GROUP BY 1", "vecs")
 def half_precision(x):
-    return vectors.half_precision(x.embeddings)
+    h = vectors.half_precision(x.embeddings).select("chunk_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    return h.select("chunk_id", F.size("e").cast("bigint").alias("width"), F.round(F.aggregate("e", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.round(F.array_max("e"), 9).alias("most"))
 
 
 # -- evaluation -------------------------------------------------------------
@@ -498,7 +503,29 @@ SQL["bm25_secured"] = SQL["bm25_topk"].replace(CTES["chk"][1], f"{CTES['chk'][1]
 @query(None)
 def ivf_search(x):
     lists = vectors.inverted_lists(x.embeddings, 16)
-    return _out(vectors.coarse_to_fine(probes(x), lists, 4, 10))
+    return _out(vectors.coarse_to_fine(probes(x), lists, 8, 10))
+
+
+@query(None)
+def ivf_recall(x):
+    """What the inverted lists find of the exact top ten, for one to all sixteen lists opened."""
+    lists, exact, out = vectors.inverted_lists(x.embeddings, 16), _exact(x), None
+    for n in (1, 2, 4, 8, 16):
+        one = evaluate.overlap_summary(evaluate.overlap(exact, vectors.coarse_to_fine(probes(x), lists, n, 10), 10)).withColumn("opened", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(None)
+def projection_recall(x):
+    """What the exact search in the first 16, 32 and 48 axes finds of the exact top ten in all."""
+    axes, _ = vectors.basis(x.embeddings, 48)
+    exact, out = _exact(x), None
+    for n in (16, 32, 48):
+        q = vectors.project(probes(x).withColumnRenamed("query_id", "chunk_id"), axes[:, :n]).withColumnRenamed("chunk_id", "query_id")
+        one = evaluate.overlap_summary(evaluate.overlap(exact, retrieval.dense(q, vectors.project(x.embeddings, axes[:, :n]), 10), 10)).withColumn("axes", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(None)
