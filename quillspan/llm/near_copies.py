@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillspan.core.components import connected_components
 from quillspan.core.workspace import Stored, stored
 
-KEYS_A_BUCKET = 500_000
+KEYS_A_BUCKET = 1_000_000
 COUNTS_A_BUCKET = 8_000_000
 LEAST_TABLE_BITS, MOST_TABLE_BITS = 16, 27
 LONG_RUN = 20_000
@@ -44,6 +44,7 @@ PAIRS_AT_ONCE = 2_000_000
 LETTERS_AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 4_000_000
 WIDE_SPARE = 16
+FINE_BITS = 1024
 HOT = ["key", "size", "place", "r0", "r1", "r2", "r3"]
 RECORDS = "id bigint, num bigint, size int, sketch binary, keys binary, counts binary"
 _LETTERS: list = []
@@ -157,10 +158,10 @@ def _together(held: list) -> tuple[np.ndarray, ...]:
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] + s for h, s in zip(held, shift)]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
 
 
-def parity_sketch(own: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
-    """256 bits a record: each shingle flips one. Two sketches differ in at most as many bits as their sets differ in shingles."""
-    bit = (_mix(shingles.astype(np.uint64) + np.uint64(11)) >> np.uint64(56)).astype(np.int64)
-    flips = np.bincount(own * 256 + bit, minlength=n * 256).reshape(n, 256) & 1
+def parity_sketch(own: np.ndarray, shingles: np.ndarray, n: int, bits: int = 256) -> np.ndarray:
+    """``bits`` (a power of two) a record: each shingle flips one. Two sketches differ in at most as many bits as their sets differ in shingles."""
+    bit = (_mix(shingles.astype(np.uint64) + np.uint64(11)) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+    flips = np.bincount(own * bits + bit, minlength=n * bits).reshape(n, bits) & 1
     return np.packbits(flips.astype(np.uint8), axis=1)
 
 
@@ -241,6 +242,14 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _loaded(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, shingle, size) from a binary column of sets."""
+    o = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    sh = np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]].view(np.uint32)
+    size = np.diff(o) // 4
+    return np.repeat(np.arange(len(column)), size), sh, size
+
+
 def _records(texts: DataFrame, words: int, min_words: int) -> DataFrame:
     """(id, num) of every usable text, with size and sketch where its set is new to the piece, and beside them rows (keys, counts): the sorted shingles of a task's piece and how many sets of it have each."""
 
@@ -324,16 +333,18 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
             wide = _is_wide(many, place, similarity)
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, int)
             cuts = list(zip(begin, np.r_[begin[1:], len(key)]))
-            packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [num[at[x:y]].tobytes() for x, y in cuts], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
+            # A set's number travels once a bucket, and each posting says which it is.
+            own = [np.unique(at[x:y], return_inverse=True) for x, y in cuts]
+            packed = [[_planes(np.diff(key[x:y], prepend=np.uint32(0))) for x, y in cuts], [num[u].tobytes() for u, _ in own], [_planes(i) for _, i in own], [_planes(many[x:y]) for x, y in cuts], [_planes(place[x:y]) for x, y in cuts]]
             short = np.bitwise_xor.reduce(rest, axis=1)
             packed += [[short[x:y][~wide[x:y]].tobytes() for x, y in cuts], [rest[x:y][wide[x:y]].tobytes() for x, y in cuts]]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "keys", "nums", "sizes", "places", "rests", "wides"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "keys", "nums", "which", "sizes", "places", "rests", "wides"])
 
     def pairs(table):
         key, num, size, place, rest = [], [], [], [], []
-        for r in table.select(["keys", "nums", "sizes", "places", "rests", "wides"]).to_pylist():
+        for r in table.select(["keys", "nums", "which", "sizes", "places", "rests", "wides"]).to_pylist():
             key.append(np.cumsum(_from_planes(r["keys"]), dtype=np.uint32))
-            num.append(np.frombuffer(r["nums"], np.int64))
+            num.append(np.frombuffer(r["nums"], np.int64)[_from_planes(r["which"])])
             size.append(_from_planes(r["sizes"]).astype(np.int64))
             place.append(_from_planes(r["places"]).astype(np.int64))
             full = np.zeros((len(key[-1]), 4), np.uint64)
@@ -364,7 +375,7 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
         columns = [pa.chunked_array([pa.array(met[:, 0].copy()), pa.array(long[0])]), pa.chunked_array([pa.array(met[:, 1].copy()), pa.nulls(len(long[0]), pa.int64())]), *columns]
         return pa.Table.from_arrays(columns, ["a", "b", *HOT])
 
-    packed = texts.mapInArrow(postings, "bucket int, keys binary, nums binary, sizes binary, places binary, rests binary, wides binary").repartition(buckets, "bucket")
+    packed = texts.mapInArrow(postings, "bucket int, keys binary, nums binary, which binary, sizes binary, places binary, rests binary, wides binary").repartition(buckets, "bucket")
     found = stored(packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in HOT)), "candidates")
     short = found.where("b is not null").select("a", "b")
     # The members of a long run are joined by Spark, which sorts, spills and splits them; the conditions are those of posting_pairs.
@@ -406,15 +417,26 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
 
     def near(batches):
         for b in batches:
-            x, y = (np.frombuffer(b.column(i).buffers()[2], np.uint8)[b.column(i).offset * 32 :][: 32 * b.num_rows].reshape(-1, 32) for i in (3, 5))
+            x, y = (np.stack([np.frombuffer(v, np.uint8) for v in b.column(i).to_pylist()]) if b.num_rows else np.zeros((0, 1), np.uint8) for i in (3, 5))
             sa, sb = b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
-            apart = np.bitwise_count(x ^ y).sum(1)
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             ok = (apart <= spare * (sa + sb) + 1e-9) & (np.minimum(sa, sb) >= similarity * np.maximum(sa, sb) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    left = narrow.select(F.col("num").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-    right = narrow.select(F.col("num").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-    close = Stored(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "ka", "sb", "kb").mapInArrow(near, "a bigint, b bigint"), "close")
+    def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sketches (num, size, sketch) allow the similarity."""
+        left = sets.select(F.col("num").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
+        right = sets.select(F.col("num").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ka", "sb", "kb").mapInArrow(near, "a bigint, b bigint")
+
+    def finer(batches):
+        for b in batches:
+            if b.num_rows:
+                own, sh, size = _loaded(b.column(1))
+                k = parity_sketch(own, sh, len(size), FINE_BITS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.array([r.tobytes() for r in k], pa.binary())], ["num", "size", "sketch"])
+
+    close = Stored(sketched(candidates, narrow), "close")
     pairs = close.df
     # Only sets that some pair needs are shuffled: the others fail a membership filter of at most 16 MB; where it is full, the joins alone drop them.
     nodes = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num")))
@@ -457,6 +479,8 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
     full = stored(texts.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
+    # Few of the sets have many such pairs: a finer sketch of them goes before the sets themselves.
+    pairs = stored(sketched(pairs, full.mapInArrow(finer, "num bigint, size int, sketch binary")), "closer")
     left, right = full.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double")
 
