@@ -25,6 +25,7 @@ the same ones.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -43,9 +44,10 @@ LONG_RUN = 20_000
 PAIRS_AT_ONCE = 2_000_000
 LETTERS_AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 4_000_000
-WIDE_SPARE = 16
+WIDE_SPARE = 20
 FINE_BITS = 1024
-HOT = ["key", "size", "place", "r0", "r1", "r2", "r3"]
+WORDS = 3
+HOT = ["key", "size", "place", *(f"r{i}" for i in range(WORDS))]
 RECORDS = "id bigint, num bigint, size int, sketch binary, keys binary, counts binary"
 _LETTERS: list = []
 
@@ -171,7 +173,7 @@ def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.
     ``level`` is how common each shingle is, 0 if only one record has it. Two
     sets with the similarity share a shingle among the first ``size -
     ceil(similarity * size) + 1`` of each. ``place`` is the shingle's place in the order; ``rest`` is
-    the parity sketch of all after it, 256 bits in four columns, whose
+    the parity sketch of all after it, ``WORDS`` columns of 64 bits, whose
     exclusive or is a sketch of 64 bits. A
     shingle that one record has alone has no partner and is left out. At most
     2^24 records at a time.
@@ -184,16 +186,16 @@ def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.
     use = (place <= many - np.ceil(similarity * many - 1e-9)) & (level > 0)
     last = (begin + size - 1)[own[use]]
     h = _mix(sh.astype(np.uint64) + np.uint64(47))
-    bit, word = np.uint64(1) << (h >> np.uint64(58)), h & np.uint64(3)
-    rest = np.zeros((int(use.sum()), 4), np.uint64)
-    for i in range(4 if len(sh) else 0):
+    bit, word = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(0xFFFFFFFF)) % np.uint64(WORDS)
+    rest = np.zeros((int(use.sum()), WORDS), np.uint64)
+    for i in range(WORDS if len(sh) else 0):
         parity = np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))
         rest[:, i] = parity[last] ^ parity[use]
     return own[use], sh[use], place[use], rest
 
 
 def _is_wide(size, place, similarity: float):
-    """Whether a posting carries all 256 bits: partners like it may differ in more shingles than 64 bits can tell."""
+    """Whether a posting carries all words of the sketch: partners like it may differ in more shingles than 64 bits can tell."""
     return 2 * (size - place) - 4 * similarity / (1 + similarity) * size > WIDE_SPARE
 
 
@@ -347,10 +349,10 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
             num.append(np.frombuffer(r["nums"], np.int64)[_from_planes(r["which"])])
             size.append(_from_planes(r["sizes"]).astype(np.int64))
             place.append(_from_planes(r["places"]).astype(np.int64))
-            full = np.zeros((len(key[-1]), 4), np.uint64)
+            full = np.zeros((len(key[-1]), WORDS), np.uint64)
             wide = _is_wide(size[-1], place[-1], similarity)
             full[~wide, 0] = np.frombuffer(r["rests"], np.uint64)
-            full[wide] = np.frombuffer(r["wides"], np.uint64).reshape(-1, 4)
+            full[wide] = np.frombuffer(r["wides"], np.uint64).reshape(-1, WORDS)
             rest.append(full)
         key, num, size, place, rest = (np.concatenate(c) for c in (key, num, size, place, rest))
         order = np.lexsort((num, size, key))
@@ -385,12 +387,13 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
     need = F.ceil(both * share - 1e-9)
     spare = both - F.col("place_x") - F.col("place_y") - 2 * need
     wide = {e: _is_wide(F.col(f"size_{e}"), F.col(f"place_{e}"), similarity) for e in "xy"}
-    words = {e: [F.col(f"r{i}_{e}") for i in range(4)] for e in "xy"}
-    narrow = {e: F.when(wide[e], words[e][0].bitwiseXOR(words[e][1]).bitwiseXOR(words[e][2]).bitwiseXOR(words[e][3])).otherwise(words[e][0]) for e in "xy"}
+    words = {e: [F.col(f"r{i}_{e}") for i in range(WORDS)] for e in "xy"}
+    narrow = {e: F.when(wide[e], functools.reduce(lambda u, v: u.bitwiseXOR(v), words[e])).otherwise(words[e][0]) for e in "xy"}
     apart = [F.bit_count(u.bitwiseXOR(v)) for u, v in zip(words["x"], words["y"])]
     fit = (F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= need) & (F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * similarity - 1e-6)
-    long = x.join(y, "key").where("a_x < a_y").where(fit & (F.bit_count(narrow["x"].bitwiseXOR(narrow["y"])) <= spare) & (~(wide["x"] & wide["y"]) | (apart[0] + apart[1] + apart[2] + apart[3] <= spare))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
-    return short.unionByName(long).distinct()
+    long = x.join(y, "key").where("a_x < a_y").where(fit & (F.bit_count(narrow["x"].bitwiseXOR(narrow["y"])) <= spare) & (~(wide["x"] & wide["y"]) | (functools.reduce(lambda u, v: u + v, apart) <= spare))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
+    # By one end, as the next join wants them, and each pair once.
+    return short.unionByName(long).repartition("a").dropDuplicates(["a", "b"])
 
 
 def _summed(df: DataFrame, kind: str, table: int, block: int) -> np.ndarray:
