@@ -19,6 +19,8 @@ Embedder = Callable[[DataFrame], DataFrame]
 """(query_id, text) to (query_id, embedding); rows may be missing, and their questions are then answered by words alone."""
 Model = Callable[[DataFrame], DataFrame]
 """(query_id, prompt) to (query_id, answer)."""
+Judge = Callable[[DataFrame], DataFrame]
+"""(query_id, question, chunk_id, text) to (query_id, chunk_id, rerank); a question with rows missing keeps its fused order."""
 LABEL_SORTS = {"name": pagination.Sort("name"), "usage": pagination.Sort("documents", True), "created": pagination.Sort("created_at", True), "last_used": pagination.Sort("last_used", True)}
 
 
@@ -29,6 +31,8 @@ class Library:
     embedder: Embedder | None = None
     model: Model | None = None
     stop: frozenset[str] = frozenset()
+    judge: Judge | None = None
+    analyser: str = "simple"
 
     @property
     def secure(self) -> SecureTables:
@@ -50,16 +54,18 @@ class Library:
         embedded = self.embedder(questions) if self.embedder else None
         empty = F.lit(None).cast("array<double>").alias("embedding")
         q = questions.select("query_id", "text", empty) if embedded is None else questions.select("query_id", "text").join(embedded.select("query_id", F.col("embedding").cast("array<double>")), "query_id", "left")
-        return retrieval.hybrid_search(q, chunks, vectors, pagination.clamp(limit, retrieval.DEFAULT_LIMIT, retrieval.MAX_LIMIT), self.stop, engine)
+        hits = retrieval.hybrid_search(q, chunks, vectors, pagination.clamp(limit, retrieval.DEFAULT_LIMIT, retrieval.MAX_LIMIT), self.stop, engine, self.analyser, self.secure.table("documents"))
+        if self.judge is None:
+            return hits
+        asked = hits.select("query_id", "chunk_id", "text").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+        return retrieval.reranked(hits, self.judge(asked.select("query_id", "question", "chunk_id", "text")))
 
     def answer(self, questions: DataFrame, **options) -> DataFrame:
         """(query_id, text, cited chunk ids, fabricated, abstained); questions without hits abstain and never reach the model."""
         if self.model is None:
             raise ValueError("no model")
         hits = self.search(questions, **options)
-        docs = self.secure.table("documents").select(F.col("id").alias("document_id"), "filename")
-        text = self.secure.table("chunks").select(F.col("id").alias("chunk_id"), "text")
-        p = hits.select("query_id", "rank", "chunk_id", "document_id", "page_num").join(text, "chunk_id").join(docs, "document_id", "left")
+        p = hits.select("query_id", "rank", "chunk_id", "document_id", "page_num", "text", "filename")
         prompts = generation.prompts(questions.select("query_id", "text"), p.withColumn("filename", F.coalesce("filename", F.lit("document"))))
         seats = p.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "chunk_id"))).alias("seat"), F.max(F.col("rank").cast("int")).alias("passages"))
         said = self.model(prompts).join(seats, "query_id").withColumn("b", generation.bound("answer", "passages"))
@@ -114,6 +120,42 @@ class Library:
         sets = sets.select("role_id", F.coalesce("l", F.array().cast("array<bigint>")).alias("label_ids"))
         return access.merge_preview(s.table("documents"), sets, sources, target), access.merge_apply(s.table("document_labels"), "document_id", sources, target)
 
+    def delete_label(self, label_id: int) -> DataFrame:
+        """The labels without one; refused beyond reach, if reserved, and while a document carries it."""
+        self._reaches(label_id)
+        return access.without_label(self.secure.table("access_labels"), self.tables["document_labels"], label_id)
+
+    def rename_label(self, label_id: int, name: str) -> DataFrame:
+        self._reaches(label_id)
+        return access.renamed_label(self.secure.table("access_labels"), label_id, name)
+
+    def default_label(self, label_id: int) -> DataFrame:
+        self._reaches(label_id)
+        return access.with_default(self.secure.table("access_labels"), label_id)
+
+    def _reaches(self, label_id: int) -> None:
+        if label_id not in self.ctx.label_ids:
+            raise AccessDenied([label_id])
+
+    def delete_documents(self, ids: DataFrame) -> dict[str, DataFrame]:
+        """The tables after documents (id) were deleted with all that hangs on them; an error if any is beyond reach."""
+        beyond = self.secure.beyond(ids).limit(20).collect()
+        if beyond:
+            raise AccessDenied(r["id"] for r in beyond)
+        names = ("documents", "document_labels", "chunks", "chunk_embeddings", "query_citations")
+        return ingest.cascaded({n: self.tables[n] for n in names}, ids)
+
+    def uploads(self, files: DataFrame) -> DataFrame:
+        """Where uploads (id, sha256, label_ids) end up: documents of their own, or those whose bytes the tenant already holds."""
+        own = self.tables["documents"].where(F.col("tenant_id") == self.ctx.tenant_id)
+        q = access.reserved_labels(self.tables["access_labels"])
+        return ingest.uploaded_again(own, files.withColumn("tenant_id", F.lit(self.ctx.tenant_id).cast("bigint")), q)
+
+    def audit(self, events: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
+        """A page of the tenant's audit events (id, tenant_id, created_at, ...), newest first."""
+        own = events.where(F.col("tenant_id") == self.ctx.tenant_id)
+        return pagination.newest_first(own, pagination.clamp(limit, 20), cursor and pagination.decode_time_cursor(cursor))
+
     # -- accounts -------------------------------------------------------------------
     def roles(self) -> DataFrame:
         s = self.secure

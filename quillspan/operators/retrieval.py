@@ -292,12 +292,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, l
     hits = hydrate(fused, lexical, vector, chunks, documents)
     blind = questions.select("query_id", F.when(F.col("embedding").isNull(), F.array(F.lit("embedding"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
     hits = hits.join(bounded(blind), "query_id")
+    hits = hits.withColumn("degraded", F.size("reasons") > 0)
     if reranks:
-        if scores is None:
-            scores = questions.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, rerank double")
-        hits = rerank(hits, scores).drop("rank").withColumnRenamed("position", "rank")
-        hits = hits.withColumn("reasons", F.when(F.col("rerank").isNull(), F.array_append("reasons", F.lit("reranker"))).otherwise(F.col("reasons")))
-    return hits.withColumn("degraded", F.size("reasons") > 0)
+        hits = reranked(hits, questions.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, rerank double") if scores is None else scores)
+    return hits
+
+
+def reranked(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """The hits of ``hybrid_search`` in the order of (query_id, chunk_id, rerank), with 'reranker' among the reasons of a question whose scores are not complete."""
+    ordered = rerank(hits, scores).drop("rank").withColumnRenamed("position", "rank")
+    reasons = F.when(F.col("rerank").isNull(), F.array_append("reasons", F.lit("reranker"))).otherwise(F.col("reasons"))
+    return ordered.withColumn("reasons", reasons).withColumn("degraded", F.size("reasons") > 0)
 
 
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:

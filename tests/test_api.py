@@ -115,3 +115,50 @@ def test_new_space_beside_the_old(spark):
     assert [(r["embedding_version"], r["embedding"]) for r in rows] == [("2", [3.0]), ("2", [7.0])]
     lists = vectors.inverted_lists(e, 2)
     assert sorted(r["chunk_id"] for r in lists.collect()) == [1, 2]
+
+
+def test_a_judge_reorders_or_is_missed(spark, lib, questions):
+    score = lambda h: h.select("query_id", "chunk_id", (F.col("chunk_id") % 1000 / 1000.0).alias("rerank"))
+    judged = Library(lib.tables, lib.ctx, judge=score).search(questions).collect()
+    order = sorted(judged, key=lambda r: r["rank"])
+    assert judged and [r["rerank"] for r in order] == sorted((r["rerank"] for r in judged), reverse=True) and all(r["reasons"] == ["embedding"] for r in judged)
+    part = lambda h: score(h).where("rerank > 2")
+    missed = Library(lib.tables, lib.ctx, judge=part).search(questions).collect()
+    assert all(r["reasons"] == ["embedding", "reranker"] and r["degraded"] for r in missed)
+    plain = Library(lib.tables, lib.ctx).search(questions).collect()
+    assert {(r["chunk_id"], r["rank"]) for r in missed} == {(r["chunk_id"], r["rank"]) for r in plain}
+    assert {"filename", "media_type", "char_start", "char_end", "text", "bboxes", "label_ids", "lexical_score", "dense_score"} <= set(plain[0].asDict())
+
+
+def test_labels_in_use_are_kept(spark, lib):
+    mine = set(lib.ctx.label_ids)
+    used = {r["label_id"] for r in lib.tables["document_labels"].select("label_id").distinct().collect()} & mine
+    reserved = {r["label_id"] for r in access.reserved_labels(lib.tables["access_labels"]).collect()} & mine
+    for bad in (*sorted(used)[:1], *sorted(reserved)[:1]):
+        with pytest.raises(ValueError):
+            lib.delete_label(bad)
+    with pytest.raises(AccessDenied):
+        lib.delete_label(-1)
+    labels = spark.createDataFrame([(1, 4, "a", True, False), (2, 4, "B ", False, False), (3, 4, "q", False, True), (4, 5, "c", True, False)], "id bigint, tenant_id bigint, name string, is_default boolean, is_quarantine boolean")
+    bridge = spark.createDataFrame([(9, 2), (8, 2)], "document_id bigint, label_id bigint")
+    assert {r["id"] for r in access.without_label(labels, bridge, 1).collect()} == {2, 3, 4}
+    for bad, error in ((2, ValueError), (3, ValueError), (7, KeyError)):
+        with pytest.raises(error):
+            access.without_label(labels, bridge, bad)
+    with pytest.raises(ValueError):
+        access.renamed_label(labels, 1, " b")
+    assert {r["id"]: r["name"] for r in access.renamed_label(labels, 1, " new ").collect()}[1] == "new"
+    assert {r["id"] for r in access.with_default(labels, 2).where("is_default").collect()} == {2, 4}
+
+
+def test_deletes_and_uploads(spark, lib):
+    one = lib.secure.table("documents").orderBy("id").select("id").limit(1)
+    left = lib.delete_documents(one)
+    gone = one.first()["id"]
+    assert left["chunks"].where(F.col("document_id") == gone).count() == 0 and left["documents"].count() == lib.tables["documents"].count() - 1
+    with pytest.raises(AccessDenied):
+        lib.delete_documents(spark.createDataFrame([(-3,)], "id bigint"))
+    known = lib.tables["documents"].where("tenant_id = 4").orderBy("id").first()
+    up = spark.createDataFrame([(10**9, known["sha256"], []), (10**9 + 1, "new", None)], "id bigint, sha256 string, label_ids array<bigint>")
+    got = {r["upload_id"]: r for r in lib.uploads(up).collect()}
+    assert got[10**9]["document_id"] == known["id"] and got[10**9]["deduplicated"] and not got[10**9 + 1]["deduplicated"]
