@@ -44,9 +44,9 @@ LONG_RUN = 20_000
 PAIRS_AT_ONCE = 2_000_000
 LETTERS_AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 4_000_000
-WIDE_SPARE = 20
+WIDE_SPARE = 16
 FINE_BITS = 1024
-WORDS = 3
+WORDS = 4
 HOT = ["key", "size", "place", *(f"r{i}" for i in range(WORDS))]
 RECORDS = "id bigint, num bigint, size int, sketch binary, keys binary, counts binary"
 _LETTERS: list = []
