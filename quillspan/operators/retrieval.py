@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.core.workspace import stored
 from quillspan.functions.text import analysed, is_identifier, postings
 
 CANDIDATES, RRF_K, EXACT, DEFAULT_LIMIT, MAX_LIMIT = 50, 60, 10, 8, 50
@@ -285,9 +286,10 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, l
     if engine not in ("occurrences", "bm25"):
         raise ValueError(f"unknown engine {engine!r}")
     lexemes = question_lexemes(questions, "query_id", "text", stop, analyser)
-    lexical = (lexical_or if engine == "occurrences" else bm25)(lexemes, chunks, analyser=analyser)
-    vector = dense(questions, vectors)
-    exact = exact_identifiers(lexemes, chunks, analyser=analyser)
+    # Each ranking, k rows a question, is read several times below and written once: its scan of the corpus is not repeated.
+    lexical = stored((lexical_or if engine == "occurrences" else bm25)(lexemes, chunks, analyser=analyser), "lexical")
+    vector = stored(dense(questions, vectors), "dense")
+    exact = stored(exact_identifiers(lexemes, chunks, analyser=analyser), "exact")
     fused = leader_floor([lexical, vector, exact], limit).withColumnRenamed("position", "rank")
     hits = hydrate(fused, lexical, vector, chunks, documents)
     blind = questions.select("query_id", F.when(F.col("embedding").isNull(), F.array(F.lit("embedding"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
