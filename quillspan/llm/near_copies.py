@@ -15,8 +15,10 @@ full shingle sets.
 
 A record travels as the 64-bit hash of its shingle set, so equal sets are one
 record wherever they stand, and a text that a third of all rows repeat is
-compared once. Shingles are never stored: a pass over the texts makes them anew
-where they are needed, which is cheaper than writing them.
+compared once. The sets are written once, four bytes a shingle, and read again where
+they are needed. Postings are made, joined and checked in rounds, each for a
+range of shingles, and what a round shuffled is freed before the next begins,
+so that the disk holds the postings and candidates of one round only.
 
 The work grows with the pairs of records that share a shingle of their
 prefixes, so with the square of the records where a fixed share of them holds
@@ -26,6 +28,7 @@ the same ones.
 from __future__ import annotations
 
 import functools
+import gc
 import math
 
 import numpy as np
@@ -38,6 +41,7 @@ from quillspan.core.components import connected_components
 from quillspan.core.workspace import Stored, stored
 
 KEYS_A_BUCKET = 1_000_000
+MOST_ROUNDS, RECORDS_A_ROUND = 4, 5_000
 COUNTS_A_BUCKET = 8_000_000
 LEAST_TABLE_BITS, MOST_TABLE_BITS = 16, 27
 LONG_RUN = 20_000
@@ -48,7 +52,7 @@ WIDE_SPARE = 16
 FINE_BITS = 1024
 WORDS = 4
 HOT = ["key", "size", "place", *(f"r{i}" for i in range(WORDS))]
-RECORDS = "id bigint, num bigint, size int, sketch binary, keys binary, counts binary"
+RECORDS = "id bigint, num bigint, size int, sketch binary, shingles binary"
 _LETTERS: list = []
 
 
@@ -253,31 +257,39 @@ def _loaded(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _records(texts: DataFrame, words: int, min_words: int) -> DataFrame:
-    """(id, num) of every usable text, with size and sketch where its set is new to the piece, and beside them rows (keys, counts): the sorted shingles of a task's piece and how many sets of it have each."""
+    """(id, num) of every usable text, with size, sketch and sorted shingles where its set is new to the piece."""
 
     def rows(batches):
-        def counted(pieces):
-            for ids, nums, back, own, sh, size in pieces:
-                sketch = parity_sketch(own, sh, len(nums))
-                _, first = np.unique(back, return_index=True)
-                fresh = np.zeros(len(ids), bool)
-                fresh[first] = True
-                out.append((ids, nums[back], size[back], [sketch[j].tobytes() if f else None for j, f in zip(back, fresh)]))
-                yield ids, nums, back, own, sh, size
-
-        out: list = []
-        for _, _, sh, _ in _grouped(counted(_sets_of(batches, words, min_words)), SHINGLES_AT_ONCE):
-            for ids, num, size, sketch in out:
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(num, pa.int64()), pa.array(size.astype(np.int32)), pa.array(sketch, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["id", "num", "size", "sketch", "keys", "counts"])
-            out.clear()
-            keys, counts = np.unique(sh, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([_planes(np.diff(keys, prepend=np.uint32(0)))], pa.binary()), pa.array([_planes(counts)], pa.binary())], ["id", "num", "size", "sketch", "keys", "counts"])
+        for ids, nums, back, own, sh, size in _sets_of(batches, words, min_words):
+            sketch = parity_sketch(own, sh, len(nums))
+            _, first = np.unique(back, return_index=True)
+            fresh = np.zeros(len(ids), bool)
+            fresh[first] = True
+            end = np.cumsum(size)
+            columns = [[f(j) if new else None for j, new in zip(back, fresh)] for f in (lambda j: sketch[j].tobytes(), lambda j: sh[end[j] - size[j] : end[j]].tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nums[back], pa.int64()), pa.array(size[back].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["id", "num", "size", "sketch", "shingles"])
 
     return texts.mapInArrow(rows, RECORDS)
 
 
-def _levels(records: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def _kept(batches):
+    """Pieces as of ``_sets_of``, of bounded size, from batches (num, shingles)."""
+    for b in batches:
+        nums, at = b.column(0).to_numpy(), 0
+        ends = np.cumsum(np.diff(np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset :][: b.num_rows + 1]) // 4) if b.num_rows else []
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHINGLES_AT_ONCE, side="right")))
+            yield None, nums[at:end], None, *_loaded(b.column(1).slice(at, end - at))
+            at = end
+
+
+def _freed(spark) -> None:
+    """Has Spark delete the shuffles that nothing refers to any more; it does so only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _levels(sets: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """(table, bits): a level for every slot of shingles, 0 where no shingle of the slot is in two records.
 
     Slots are ranges of shingles; a slot's level is 8 log2 of the records that
@@ -291,13 +303,12 @@ def _levels(records: DataFrame, n: int) -> tuple[np.ndarray, int]:
     width = 1 << (bits - int(math.log2(ranges)))
 
     def cut(batches):
-        for b in batches:
-            for k, c in zip(b.column(0), b.column(1)):
-                keys, counts = np.cumsum(_from_planes(k.as_py()), dtype=np.uint32), _from_planes(c.as_py())
-                edge = np.searchsorted(keys, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-                some = np.flatnonzero(np.diff(edge))
-                parts = [(keys[edge[i] : edge[i + 1]], counts[edge[i] : edge[i + 1]]) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_planes(np.diff(x, prepend=np.uint32(0))) for x, _ in parts], pa.binary()), pa.array([_planes(y) for _, y in parts], pa.binary())], ["at", "keys", "counts"])
+        for _, _, sh, _ in _grouped(_kept(batches), SHINGLES_AT_ONCE):
+            keys, counts = np.unique(sh, return_counts=True)
+            edge = np.searchsorted(keys, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+            some = np.flatnonzero(np.diff(edge))
+            parts = [(keys[edge[i] : edge[i + 1]], counts[edge[i] : edge[i + 1]]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_planes(np.diff(x, prepend=np.uint32(0))) for x, _ in parts], pa.binary()), pa.array([_planes(y) for _, y in parts], pa.binary())], ["at", "keys", "counts"])
 
     def merged(t):
         keys = np.concatenate([np.cumsum(_from_planes(k.as_py()), dtype=np.uint32) for c in t["keys"].chunks for k in c])
@@ -311,25 +322,37 @@ def _levels(records: DataFrame, n: int) -> tuple[np.ndarray, int]:
         np.maximum.at(level, (keys >> np.uint32(32 - bits)).astype(np.int64) - t["at"][0].as_py() * width, np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
         return pa.table({"at": t["at"][:1], "level": pa.array([level.tobytes()], pa.binary())})
 
-    pieces = records.where("keys is not null").select("keys", "counts").mapInArrow(cut, "at int, keys binary, counts binary").repartition(ranges, "at")
+    pieces = sets.mapInArrow(cut, "at int, keys binary, counts binary").repartition(ranges, "at")
     table = np.zeros(1 << bits, np.uint8)
     for r in pieces.groupBy("at").applyInArrow(merged, "at int, level binary").collect():
         table[r["at"] * width : (r["at"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     return table, bits
 
 
-def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of sets that may have the similarity; none that has it is missing. Postings travel packed by bucket, a range of shingles."""
-    level, bits = _levels(records, n)
-    known = texts.sparkSession.sparkContext.broadcast(level)
-    buckets = max(12, math.ceil(n * 50 / KEYS_A_BUCKET))
-    share = similarity / (1 + similarity)
+def _candidates(sets: DataFrame, n: int, rounds: int, similarity: float):
+    """Yields, round by round, pairs (a, b) of sets that may have the similarity; none that has it is missing from all. Postings travel packed by bucket, a range of shingles; what a round wrote is gone when the next begins."""
+    spark = sets.sparkSession
+    level, bits = _levels(sets, n)
+    known = spark.sparkContext.broadcast(level)
+    each = max(12, math.ceil(n * 50 / KEYS_A_BUCKET / rounds))  # buckets
+    for i in range(rounds):
+        _freed(spark)
+        found = Stored(_met(sets, known, bits, i * each, (i + 1) * each, rounds * each, similarity), "candidates")
+        _freed(spark)
+        yield _paired(found.df, similarity)
+        found.drop()
+    known.unpersist()
+
+
+def _met(sets: DataFrame, known, bits: int, low: int, high: int, buckets: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) that meet at a shingle of the buckets from ``low`` to below ``high``, and beside them the members (a, key and so on) of long runs."""
 
     def postings(batches):
-        for num, own, sh, size in _grouped(_sets_of(batches, words, min_words), SHINGLES_AT_ONCE):
+        for num, own, sh, size in _grouped(_kept(batches), SHINGLES_AT_ONCE):
             at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[sh >> np.uint32(32 - bits)], similarity)
             bucket = (key.astype(np.int64) * buckets) >> 32
-            order = np.argsort(key, kind="stable")
+            order = np.flatnonzero((bucket >= low) & (bucket < high))
+            order = order[np.argsort(key[order], kind="stable")]
             bucket, key, place, rest, at = bucket[order], key[order], place[order], rest[order], at[order]
             many = size[at].astype(np.int64)
             wide = _is_wide(many, place, similarity)
@@ -377,8 +400,13 @@ def _candidates(texts: DataFrame, records: DataFrame, n: int, words: int, min_wo
         columns = [pa.chunked_array([pa.array(met[:, 0].copy()), pa.array(long[0])]), pa.chunked_array([pa.array(met[:, 1].copy()), pa.nulls(len(long[0]), pa.int64())]), *columns]
         return pa.Table.from_arrays(columns, ["a", "b", *HOT])
 
-    packed = texts.mapInArrow(postings, "bucket int, keys binary, nums binary, which binary, sizes binary, places binary, rests binary, wides binary").repartition(buckets, "bucket")
-    found = stored(packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in HOT)), "candidates")
+    packed = sets.mapInArrow(postings, "bucket int, keys binary, nums binary, which binary, sizes binary, places binary, rests binary, wides binary").repartition(high - low, "bucket")
+    return packed.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in HOT))
+
+
+def _paired(found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``_met``, those of long runs included."""
+    share = similarity / (1 + similarity)
     short = found.where("b is not null").select("a", "b")
     # The members of a long run are joined by Spark, which sorts, spills and splits them; the conditions are those of posting_pairs.
     hot = found.where("b is null").select("a", *HOT)
@@ -413,8 +441,9 @@ def _summed(df: DataFrame, kind: str, table: int, block: int) -> np.ndarray:
     return out
 
 
-def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words: int, min_words: int, similarity: float) -> DataFrame:
-    """Candidates (a, b) whose sets have at least the similarity, with it."""
+def _verified(records: DataFrame, sets: DataFrame, candidates, rounds: int, similarity: float) -> DataFrame:
+    """Candidates (a, b), several tables of them, whose sets have at least the similarity, with it."""
+    spark = records.sparkSession
     spare = (1 - similarity) / (1 + similarity)
     narrow = records.where("sketch is not null").select("num", "size", "sketch").dropDuplicates(["num"])
 
@@ -426,9 +455,9 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
             ok = (apart <= spare * (sa + sb) + 1e-9) & (np.minimum(sa, sb) >= similarity * np.maximum(sa, sb) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sketches (num, size, sketch) allow the similarity."""
-        left = sets.select(F.col("num").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
+    def sketched(pairs: DataFrame, sets: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+        """The pairs whose sketches (num, size, sketch) allow the similarity; ``firsts`` has those of ``a``, if not ``sets``."""
+        left = (sets if firsts is None else firsts).select(F.col("num").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
         right = sets.select(F.col("num").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ka", "sb", "kb").mapInArrow(near, "a bigint, b bigint")
 
@@ -439,8 +468,11 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
                 k = parity_sketch(own, sh, len(size), FINE_BITS)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.array([r.tobytes() for r in k], pa.binary())], ["num", "size", "sketch"])
 
-    close = Stored(sketched(candidates, narrow), "close")
-    pairs = close.df
+    met = [Stored(sketched(some, narrow), "close") for some in candidates]
+    pairs = stored(functools.reduce(DataFrame.unionByName, (m.df for m in met)).dropDuplicates(["a", "b"]), "close")
+    for m in met:
+        m.drop()
+    _freed(spark)
     # Only sets that some pair needs are shuffled: the others fail a membership filter of at most 16 MB; where it is full, the joins alone drop them.
     nodes = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num")))
     bits = min(27, max(16, math.ceil(math.log2(16 * max(1, pairs.count())))))
@@ -458,16 +490,14 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
             if m[a : a + block].any():
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([m[a : a + block].tobytes()])], ["at", "part"])
 
-    kind = "at bigint, part binary"
-    member = texts.sparkSession.sparkContext.broadcast(_summed(nodes.mapInArrow(mark, kind), kind, (1 << bits) // 8, block))
+    kind, fine = "at bigint, part binary", "num bigint, size int, sketch binary"
+    member = spark.sparkContext.broadcast(_summed(nodes.mapInArrow(mark, kind), kind, (1 << bits) // 8, block))
 
     def needed(batches):
         m = member.value
-        for _, nums, _, _, sh, size in _sets_of(batches, words, min_words):
-            s = slot(nums)
-            keep = np.flatnonzero((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1)
-            begin = np.cumsum(size) - size
-            yield pa.RecordBatch.from_arrays([pa.array(nums[keep], pa.int64()), pa.array([sh[begin[i] : begin[i] + size[i]].tobytes() for i in keep], pa.binary())], ["num", "shingles"])
+        for b in batches:
+            s = slot(b.column(0).to_numpy())
+            yield b.filter(pa.array(((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)))
 
     def jaccard(batches):
         for b in batches:
@@ -481,11 +511,19 @@ def _verified(texts: DataFrame, records: DataFrame, candidates: DataFrame, words
                     sim.append(j)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    full = stored(texts.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
-    # Few of the sets have many such pairs: a finer sketch of them goes before the sets themselves.
-    pairs = stored(sketched(pairs, full.mapInArrow(finer, "num bigint, size int, sketch binary")), "closer")
-    left, right = full.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double")
+    full = stored(sets.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
+    # Few of the sets have many such pairs: a finer sketch of them goes before the sets themselves, and the pairs of one part of the sets before those of the next.
+    out = []
+    for i in range(rounds):
+        _freed(spark)
+        own = F.pmod(F.xxhash64("num"), F.lit(rounds)) == i
+        some, mine = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i), full.where(own)
+        closer = Stored(sketched(some, full.mapInArrow(finer, fine), mine.mapInArrow(finer, fine)), "closer")
+        _freed(spark)
+        left, right = mine.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
+        out.append(stored(closer.df.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double"), "links"))
+        closer.drop()
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def _linked(chunks: DataFrame, id_col: str, text_col: str, stock: DataFrame | None, shingle_words: int, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -495,8 +533,11 @@ def _linked(chunks: DataFrame, id_col: str, text_col: str, stock: DataFrame | No
         texts = texts.join(stock.select(F.col("text").alias("stock_text")).where("stock_text is not null"), F.col("text") == F.col("stock_text"), "left_anti")
     least = max(min_words, shingle_words)
     records = Stored(_records(texts, shingle_words, least), "records").df
-    n = records.where("sketch is not null").count()
-    links = Stored(_verified(texts, records, _candidates(texts, records, n, shingle_words, least, similarity), shingle_words, least, similarity), "links").df
+    sets = records.where("shingles is not null").select("num", "shingles")
+    n = sets.count()
+    rounds = min(MOST_ROUNDS, max(1, math.ceil(n / RECORDS_A_ROUND)))
+    links = _verified(records, sets, _candidates(sets, n, rounds, similarity), rounds, similarity)
+    _freed(links.sparkSession)
     return records.where("id is not null").select("id", "num").distinct(), links
 
 

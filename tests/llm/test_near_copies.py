@@ -176,3 +176,28 @@ def test_a_full_rarity_table_loses_nothing(spark, monkeypatch, bits):
     monkeypatch.setattr(nc, "MOST_TABLE_BITS", bits)
     rows = corpus() + [(3000 + i, t) for i, t in common()]
     assert pairs(nc.near_copies(frame(spark, rows).repartition(3), shingle_words=3, similarity=0.5)) == brute(rows)
+
+
+def test_rounds_find_all_and_leave_no_candidates(spark, monkeypatch):
+    from pathlib import Path
+
+    from quillspan.core import workspace
+
+    monkeypatch.setattr(nc, "RECORDS_A_ROUND", 40)
+    folder = Path(workspace.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = corpus() + [(3000 + i, t) for i, t in common()]
+    assert pairs(nc.near_copies(frame(spark, rows).repartition(3), shingle_words=3, similarity=0.5)) == brute(rows)
+    made = [p.name.rsplit("-", 1)[1] for p in set(folder.iterdir()) - before]
+    assert made.count("links") == nc.MOST_ROUNDS and "candidates" not in made and "closer" not in made and made.count("close") == 1
+
+
+def test_sets_are_read_again_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nc, "SHINGLES_AT_ONCE", 6)
+    sets = [np.arange(n, dtype=np.uint32) for n in (1, 4, 2, 9, 1, 1)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["num", "shingles"])
+    got = list(nc._kept([b.slice(1), b.slice(6)]))
+    assert [n.tolist() for _, n, *_ in got] == [[1, 2], [3], [4, 5]]
+    assert all(np.array_equal(sh, np.concatenate([sets[i] for i in n])) and np.array_equal(own, np.repeat(np.arange(len(n)), size)) for _, n, _, own, sh, size in got)
