@@ -191,6 +191,102 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def near_rows(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, skip: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine to nine digits) of all pairs that may be among the k best of a row of ``q``.
+
+    ``q`` and ``x`` have unit rows, ``floor`` the k-th best score of each
+    question so far, ``skip`` pairs that do not count. Products in single
+    precision, with the largest error they can have, say which pairs are
+    computed in double precision, so none is lost.
+    """
+    rough = q.astype(np.float32) @ x.astype(np.float32).T
+    if skip is not None:
+        rough[skip] = -np.inf
+    slack = (q.shape[1] + 8) * 1.2e-7
+    low = floor - slack
+    new = np.flatnonzero(floor == -np.inf)
+    if len(x) > k and len(new):
+        low[new] = np.partition(rough[new], len(x) - k, axis=1)[:, len(x) - k] - 2 * slack
+    r, c = np.divmod(np.flatnonzero((rough >= low.astype(np.float32)[:, None]) & (rough > -np.inf)), max(1, len(x)))
+    s = np.round((q[r] * x[c]).sum(1), 9)
+    ok = s >= floor[r]
+    return r[ok], c[ok], s[ok]
+
+
+def near_topk(questions: DataFrame, vectors: DataFrame, k: int, block: int = 50_000, exclude_self: bool = False, opened: list[int] | None = None, means: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(query_id, opened, chunk_id, score): what may be among each question's k best by cosine, by one scan as of ``scan_topk``.
+
+    Without ``means`` all vectors count. With the ids and means of the lists
+    that ``vectors`` names in ``gid``, those of a question's nearest lists
+    count, and it has k rows a task for each step of ``opened``: for those
+    beyond the last step, up to so many lists. All-zero vectors never count.
+    """
+    steps = [1] if opened is None else sorted(opened)
+    rows = questions.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("e")).where("e is not null and query_id is not null").orderBy("query_id")
+    gid = F.lit(0).cast("bigint") if means is None else F.col("gid").cast("bigint")
+    source = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), gid.alias("gid")).where("embedding is not null and chunk_id is not null and gid is not null")
+    kind, at_once = "query_id bigint, opened int, chunk_id bigint, score double", 1024
+
+    def part(ids, vs):
+        known = questions.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), unit_rows(np.array(vs, np.float64).reshape(len(ids), -1))))
+
+        def score(batches):
+            qid, q = known.value
+            many = len(steps)
+            if means is None:
+                names, step = np.zeros(1, np.int64), np.zeros((len(qid), 1), np.int64)
+            else:
+                names = means[0]
+                place = np.argsort(np.argsort(-np.round(q @ unit_rows(means[1]).T, 9), axis=1, kind="stable"), axis=1)  # equal ones by the smaller id
+                step = np.searchsorted(steps, place, side="right")
+            # The lists of a question and what it holds of them are by step; held rows are numbered question * many + step.
+            blocks = range(0, len(qid), at_once)
+            held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in blocks]
+            floor = np.full(len(qid) * many, -np.inf)
+            for b in batches:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, q.shape[1]))
+                cid, of = b.column(0).to_numpy(), b.column(2).to_numpy()
+                for g in np.unique(of):
+                    mine = np.flatnonzero((of == g) & x.any(1))
+                    at = int(np.searchsorted(names, g))
+                    y, ids = unit_rows(x[mine]), cid[mine]
+                    for i, a in enumerate(blocks):
+                        n = min(at_once, len(qid) - a)
+                        asked = np.flatnonzero(step[a : a + n, at] < many)
+                        if not len(asked) or not len(mine):
+                            continue
+                        number = asked * many + step[a + asked, at]
+                        skip = None
+                        if exclude_self:
+                            first, last = np.searchsorted(qid[a + asked], ids), np.searchsorted(qid[a + asked], ids, side="right")
+                            own = last - first
+                            skip = (np.repeat(first, own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own), np.repeat(np.arange(len(ids)), own))
+                        r, c, s = near_rows(q[a + asked], y, floor[a * many + number], k, skip)
+                        if not len(r):
+                            continue
+                        held[i] = r, v, _ = _best(*(np.concatenate(p) for p in zip(held[i], (number[r], s, ids[c]))), k)
+                        full = np.flatnonzero(np.bincount(r, minlength=n * many) == k)
+                        floor[a * many + full] = v[np.searchsorted(r, full, side="right") - 1]
+            for (r, v, ids), a in zip(held, blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[a + r // many], pa.int64()), pa.array(np.array(steps)[r % many], pa.int32()), pa.array(ids, pa.int64()), pa.array(v, pa.float64())], ["query_id", "opened", "chunk_id", "score"])
+
+        return width_guard(source, "embedding", len(vs[0])).mapInArrow(score, kind)
+
+    result, ids, vs = None, [], []
+    for r in rows.toLocalIterator():
+        if vs and len(r["e"]) != len(vs[0]):
+            raise ValueError(f"question {r['query_id']} has width {len(r['e'])}, others {len(vs[0])}")
+        ids.append(r["query_id"])
+        vs.append(r["e"])
+        if len(ids) == block:
+            p = part(ids, vs)
+            result, ids, vs = p if result is None else result.unionByName(p), [], []
+    if ids:
+        p = part(ids, vs)
+        result = p if result is None else result.unionByName(p)
+    return vectors.sparkSession.createDataFrame([], kind) if result is None else result
+
+
 def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 50_000) -> DataFrame:
     """Exact cosine top k of each question: (query_id, chunk_id, score, rank). All-zero vectors are never found; equal scores, to nine digits, go to the smaller id."""
 

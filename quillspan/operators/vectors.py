@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.retrieval import bounded, dense, pair_cosines, ranked, scan_topk, width_guard
+from quillspan.core.workspace import stored
+from quillspan.operators.retrieval import bounded, dense, near_topk, pair_cosines, ranked, scan_topk, width_guard
 
 
 def second_moment(vectors: DataFrame, column: str = "embedding", centred: bool = False) -> tuple[np.ndarray, int]:
@@ -213,6 +214,44 @@ def inverted_lists(vectors: DataFrame, lists: int, seed: int = 1, column: str =
     return model.transform(v).select("gid", "chunk_id", "embedding")
 
 
+def list_means(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, means) of the lists of (gid, embedding), by id; summed per task, so one row a list and task travels."""
+
+    def part(batches):
+        total: dict[int, tuple] = {}
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                of = b.column(0).to_numpy()
+                for g in np.unique(of):
+                    s, n = total.get(g, (0.0, 0))
+                    total[g] = s + x[of == g].sum(0), n + int((of == g).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s, _ in total.values()], pa.binary()), pa.array([n for _, n in total.values()], pa.int64())], ["gid", "s", "n"])
+
+    def join(t):
+        s = np.sum([np.frombuffer(v.as_py(), np.float64) for v in t["s"]], axis=0)
+        return pa.table({"gid": t["gid"][:1], "s": pa.array([s.tobytes()], pa.binary()), "n": [sum(t["n"].to_pylist())]})
+
+    kind = "gid bigint, s binary, n bigint"
+    # In two steps, as in ``second_moment``.
+    first = members.select(F.col("gid").cast("bigint"), F.col("embedding").cast("array<double>")).where("gid is not null and embedding is not null").mapInArrow(part, kind).withColumn("h", F.spark_partition_id() % 32)
+    first = first.groupBy("gid", "h").applyInArrow(lambda t: join(t), kind)
+    rows = sorted(first.groupBy("gid").applyInArrow(join, kind).collect(), key=lambda r: r["gid"])
+    return np.array([r["gid"] for r in rows], np.int64), np.array([np.frombuffer(r["s"], np.float64) / r["n"] for r in rows])
+
+
+def list_search(questions: DataFrame, members: DataFrame, opened: list[int], k: int) -> dict[int, DataFrame]:
+    """Top k of the members of each number of nearest lists in ``opened``: (query_id, chunk_id, score, rank), as of ``coarse_to_fine``.
+
+    For few lists of any length: the members are scanned once, by products of
+    blocks, where ``coarse_to_fine`` joins each question with each member.
+    """
+    members = stored(members.select("gid", "chunk_id", "embedding"), "lists")
+    means = list_means(members)
+    near = stored(near_topk(questions, members, k, opened=opened, means=means), "near")
+    return {n: ranked(near.where(F.col("opened") <= n).drop("opened"), "score", k) for n in opened}
+
+
 def reprojected(embeddings: DataFrame, axes: np.ndarray, model: str, version: str) -> DataFrame:
     """Rows of a new space beside the old one: (chunk_id, embedding_model, embedding_version, embedding)."""
     return project(embeddings, axes).select("chunk_id", F.lit(model).alias("embedding_model"), F.lit(version).alias("embedding_version"), "embedding")

@@ -503,7 +503,7 @@ SQL["bm25_secured"] = SQL["bm25_topk"].replace(CTES["chk"][1], f"{CTES['chk'][1]
 @query(None)
 def ivf_search(x):
     lists = vectors.inverted_lists(x.embeddings, 16)
-    return _out(vectors.coarse_to_fine(probes(x), lists, 8, 10))
+    return _out(vectors.list_search(probes(x), lists, [8], 10)[8])
 
 
 @query(None)

@@ -463,3 +463,26 @@ def test_tenant_layout_prunes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+
+
+def test_lists_are_scanned_as_coarse_to_fine_joins_them(spark):
+    x = np.random.default_rng(6).normal(size=(400, 12))
+    x[7] = 0
+    x[11:15] = x[10]  # ties go to the smaller id
+    members = spark.createDataFrame([(i % 5, i, [float(e) for e in r]) for i, r in enumerate(x)], "gid int, chunk_id bigint, embedding array<double>").repartition(3)
+    q = members.where("chunk_id % 40 = 0 or chunk_id = 10").select(F.col("chunk_id").alias("query_id"), "embedding")
+    got = vectors.list_search(q, members, [1, 2, 5], 6)
+    order = ["query_id", "rank"]
+    for n in (1, 2, 5):
+        want = vectors.coarse_to_fine(q, members.where("chunk_id <> 7"), n, 6).orderBy(order).collect()
+        assert [tuple(r[c] for c in ("query_id", "chunk_id", "score", "rank")) for r in got[n].orderBy(order).collect()] == [tuple(r[c] for c in ("query_id", "chunk_id", "score", "rank")) for r in want]
+
+
+def test_single_precision_loses_no_near_row():
+    rng = np.random.default_rng(8)
+    y = retrieval.unit_rows(rng.normal(size=(1, 16)) + 1e-5 * rng.normal(size=(3000, 16)))  # apart by less than single precision tells
+    s = np.round(y[:40] @ y.T, 9)
+    r, c, v = retrieval.near_rows(y[:40], y, np.full(40, -np.inf), 5)
+    for i in range(40):
+        best = set(np.flatnonzero(s[i] >= np.partition(s[i], -5)[-5]))
+        assert best <= set(c[r == i]) and np.allclose(v[r == i], s[i][c[r == i]], atol=2e-9)
