@@ -289,15 +289,7 @@ def near_topk(questions: DataFrame, vectors: DataFrame, k: int, block: int = 50_
 
 def dense(questions: DataFrame, vectors: DataFrame, k: int = CANDIDATES, exclude_self: bool = False, block: int = 50_000) -> DataFrame:
     """Exact cosine top k of each question: (query_id, chunk_id, score, rank). All-zero vectors are never found; equal scores, to nine digits, go to the smaller id."""
-
-    def scores(q, x, qid, cid):
-        s = unit_rows(q) @ unit_rows(x).T
-        s[:, ~x.any(1)] = -np.inf
-        if exclude_self:
-            s[qid[:, None] == cid[None, :]] = -np.inf
-        return s
-
-    return ranked(scan_topk(questions, vectors, k, scores, block), "score", k)
+    return ranked(near_topk(questions, vectors, k, block, exclude_self).drop("opened"), "score", k)
 
 
 def pair_cosines(df: DataFrame, left: str = "q", right: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.core.workspace import stored
 from quillspan.functions import text, vector
 from quillspan.operators import evaluate, retrieval, vectors
 from quillspan.plans.accounts import TENANT, secure
@@ -509,9 +510,9 @@ def ivf_search(x):
 @query(None)
 def ivf_recall(x):
     """What the inverted lists find of the exact top ten, for one to all sixteen lists opened."""
-    lists, exact, out = vectors.inverted_lists(x.embeddings, 16), _exact(x), None
-    for n in (1, 2, 4, 8, 16):
-        one = evaluate.overlap_summary(evaluate.overlap(exact, vectors.coarse_to_fine(probes(x), lists, n, 10), 10)).withColumn("opened", F.lit(n))
+    exact, out = stored(_exact(x), "exact"), None
+    for n, found in vectors.list_search(probes(x), vectors.inverted_lists(x.embeddings, 16), [1, 2, 4, 8, 16], 10).items():
+        one = evaluate.overlap_summary(evaluate.overlap(exact, found, 10)).withColumn("opened", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return out
 
