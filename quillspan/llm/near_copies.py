@@ -46,11 +46,13 @@ COUNTS_A_BUCKET = 8_000_000
 LEAST_TABLE_BITS, MOST_TABLE_BITS = 16, 27
 LONG_RUN = 20_000
 PAIRS_AT_ONCE = 2_000_000
-LETTERS_AT_ONCE = 2_000_000
+LETTERS_AT_ONCE = 200_000
 SHINGLES_AT_ONCE = 4_000_000
+SHINGLES_A_SORT = 1 << 17
+CANDIDATES_A_SET = 12
 WIDE_SPARE = 16
 FINE_BITS = 1024
-WORDS = 4
+WORDS = 4  # a power of two
 HOT = ["key", "size", "place", *(f"r{i}" for i in range(WORDS))]
 RECORDS = "id bigint, num bigint, size int, sketch binary, shingles binary"
 _LETTERS: list = []
@@ -79,7 +81,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word in order, words of each text). A word is a run of letters or digits, lower case; a hash of it sums code points times powers of a base."""
-    joined = "\n".join(t.lower() if t else "" for t in texts)
+    lower = [t.lower() if t else "" for t in texts]
+    joined = "\n".join(lower)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     up, down = _powers(len(cp) + 1)
     inside = np.zeros(len(cp) + 2, bool)
@@ -90,9 +93,8 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_LETTERS[1][cp] * up[: len(cp)], out=total[1:])
     h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     # Letters of a text, counted after lower(), which may lengthen it.
-    ends = np.flatnonzero(cp == 10) if len(texts) == joined.count("\n") + 1 else np.cumsum([len(t.lower()) + 1 if t else 1 for t in texts]) - 1
-    own = np.searchsorted(ends, start) if len(texts) > 1 else np.zeros(len(start), np.int64)
-    return h, np.bincount(own, minlength=len(texts))
+    ends = np.cumsum([len(t) + 1 for t in lower], dtype=np.int64) - 1
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def shingle_sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +102,21 @@ def shingle_sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
     A shingle is a 32-bit hash of ``words`` consecutive words.
     """
-    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))], 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end] or "") <= LETTERS_AT_ONCE):
             size += len(texts[end] or "")
             end += 1
-        parts.append(word_hashes(texts[at:end]))
+        own, sh, many = _shingles(*word_hashes(texts[at:end]), words)
+        parts.append((own + at, sh, many))
         at = end
-    flat, many = (np.concatenate(p) for p in zip(*parts))
+    own, sh, many = (np.concatenate(p) for p in zip(*parts))
+    return own, sh, many
+
+
+def _shingles(flat: np.ndarray, many: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_sets`` of the words ``flat``, ``many`` of each text."""
     if len(flat) < words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32), many
     h = np.zeros(len(flat) - words + 1, np.uint64)
@@ -165,14 +173,19 @@ def _together(held: list) -> tuple[np.ndarray, ...]:
 
 
 def parity_sketch(own: np.ndarray, shingles: np.ndarray, n: int, bits: int = 256) -> np.ndarray:
-    """``bits`` (a power of two) a record: each shingle flips one. Two sketches differ in at most as many bits as their sets differ in shingles."""
+    """``bits`` (a power of two, 8 at least) a record, from (record, shingle) sorted by record: each shingle flips one. Two sketches differ in at most as many bits as their sets differ in shingles."""
     bit = (_mix(shingles.astype(np.uint64) + np.uint64(11)) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
-    flips = np.bincount(own * bits + bit, minlength=n * bits).reshape(n, bits) & 1
-    return np.packbits(flips.astype(np.uint8), axis=1)
+    out, step = np.zeros((n, bits // 8), np.uint8), max(1, SHINGLES_A_SORT // bits)
+    begin = np.searchsorted(own, np.arange(0, n + step, step))
+    for a, x, y in zip(range(0, n, step), begin, begin[1:]):
+        some = min(step, n - a)
+        flips = np.bincount((own[x:y] - a) * bits + bit[x:y], minlength=some * bits).reshape(some, bits) & 1
+        out[a : a + some] = np.packbits(flips.astype(np.uint8), axis=1)
+    return out
 
 
-def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(record, shingle, place, rest) of the postings, from (record, shingle) sorted by record.
+def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.ndarray, similarity: float, low: int = 0, high: int = 1 << 32) -> tuple[np.ndarray, ...]:
+    """(record, shingle, place, rest) of the postings of shingles from ``low`` to below ``high``, from (record, shingle) sorted by record.
 
     ``level`` is how common each shingle is, 0 if only one record has it. Two
     sets with the similarity share a shingle among the first ``size -
@@ -180,22 +193,39 @@ def prefixes(own: np.ndarray, shingles: np.ndarray, size: np.ndarray, level: np.
     the parity sketch of all after it, ``WORDS`` columns of 64 bits, whose
     exclusive or is a sketch of 64 bits. A
     shingle that one record has alone has no partner and is left out. At most
-    2^24 records at a time.
+    2^24 records at a time. Records are sorted in pieces of about
+    ``SHINGLES_A_SORT`` shingles, which stay in a processor's cache.
     """
-    order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | shingles.astype(np.uint64))
-    sh, level = shingles[order], level[order]
-    begin = np.cumsum(size) - size
-    place = np.arange(len(sh)) - begin[own]
-    many = size[own]
-    use = (place <= many - np.ceil(similarity * many - 1e-9)) & (level > 0)
-    last = (begin + size - 1)[own[use]]
-    h = _mix(sh.astype(np.uint64) + np.uint64(47))
-    bit, word = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(0xFFFFFFFF)) % np.uint64(WORDS)
-    rest = np.zeros((int(use.sum()), WORDS), np.uint64)
-    for i in range(WORDS if len(sh) else 0):
-        parity = np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))
-        rest[:, i] = parity[last] ^ parity[use]
-    return own[use], sh[use], place[use], rest
+    ends = np.cumsum(size)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))]
+    at = 0
+    while at < len(size):
+        a = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, a + SHINGLES_A_SORT, side="right")))
+        piece = slice(a, int(ends[end - 1]))
+        key = (own[piece].astype(np.uint64) << np.uint64(40)) | (level[piece].astype(np.uint64) << np.uint64(32)) | shingles[piece]
+        key.sort()
+        many = size[at:end]
+        stop = ends[at:end] - a
+        # The places to send: the first of each record, of shingles in the range that others have too.
+        first = np.clip((many - np.ceil(similarity * many - 1e-9)).astype(np.int64) + 1, 0, many)
+        head = np.repeat(np.arange(end - at), first)
+        place = np.arange(len(head)) - np.repeat(np.cumsum(first) - first, first)
+        here = place + (stop - many)[head]
+        sh = key[here] & np.uint64(0xFFFFFFFF)
+        use = np.flatnonzero((sh >= low) & (sh < high) & (key[here] & np.uint64(0xFF << 32) > 0))
+        head, place, here = head[use], place[use], here[use]
+        last = stop[head] - 1
+        h = _mix((key & np.uint64(0xFFFFFFFF)) + np.uint64(47))
+        bit, word = np.uint64(1) << (h >> np.uint64(58)), h & np.uint64(WORDS - 1)
+        rest = np.zeros((len(use), WORDS), np.uint64)
+        for i in range(WORDS):
+            parity = np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))
+            rest[:, i] = parity[last] ^ parity[here]
+        out.append((head + at, sh[use].astype(np.uint32), place, rest))
+        at = end
+    record, sh, place, rest = (np.concatenate(x) for x in zip(*out))
+    return record, sh, place, rest
 
 
 def _is_wide(size, place, similarity: float):
@@ -256,6 +286,14 @@ def _loaded(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), size), sh, size
 
 
+def _sketches(column) -> np.ndarray:
+    """A row of bytes for each value of a binary column, all of one length and none NULL."""
+    if not len(column):
+        return np.zeros((0, 1), np.uint8)
+    o = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]].reshape(len(column), -1)
+
+
 def _records(texts: DataFrame, words: int, min_words: int) -> DataFrame:
     """(id, num) of every usable text, with size, sketch and sorted shingles where its set is new to the piece."""
 
@@ -330,17 +368,27 @@ def _levels(sets: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def _candidates(sets: DataFrame, n: int, rounds: int, similarity: float):
-    """Yields, round by round, pairs (a, b) of sets that may have the similarity; none that has it is missing from all. Postings travel packed by bucket, a range of shingles; what a round wrote is gone when the next begins."""
+    """Yields pairs (a, b) of sets that may have the similarity; none that has it is missing from all.
+
+    Postings travel packed by bucket, a range of shingles, in rounds; those of a round are gone when the next begins. Pairs are held
+    until there are ``CANDIDATES_A_SET`` for each set, or members of long runs among them, and are gone when the next are asked for.
+    """
     spark = sets.sparkSession
     level, bits = _levels(sets, n)
     known = spark.sparkContext.broadcast(level)
     each = max(12, math.ceil(n * 50 / KEYS_A_BUCKET / rounds))  # buckets
+    held, total = [], 0
     for i in range(rounds):
         _freed(spark)
-        found = Stored(_met(sets, known, bits, i * each, (i + 1) * each, rounds * each, similarity), "candidates")
-        _freed(spark)
-        yield _paired(found.df, similarity)
-        found.drop()
+        held.append(Stored(_met(sets, known, bits, i * each, (i + 1) * each, rounds * each, similarity), "candidates"))
+        rows, pairs = held[-1].df.agg(F.count(F.lit(1)), F.count("b")).first()
+        total += pairs
+        if i == rounds - 1 or rows > pairs or total >= CANDIDATES_A_SET * n:
+            _freed(spark)
+            yield _paired(functools.reduce(DataFrame.unionByName, (x.df for x in held)), similarity)
+            for x in held:
+                x.drop()
+            held, total = [], 0
     known.unpersist()
 
 
@@ -349,11 +397,12 @@ def _met(sets: DataFrame, known, bits: int, low: int, high: int, buckets: int, s
 
     def postings(batches):
         for num, own, sh, size in _grouped(_kept(batches), SHINGLES_AT_ONCE):
-            at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[sh >> np.uint32(32 - bits)], similarity)
+            at, key, place, rest = prefixes(own, sh, size.astype(np.int64), known.value[sh >> np.uint32(32 - bits)], similarity, *(-(-(x << 32) // buckets) for x in (low, high)))
+            order = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+            order.sort()
+            order = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            key, place, rest, at = key[order], place[order], rest[order], at[order]
             bucket = (key.astype(np.int64) * buckets) >> 32
-            order = np.flatnonzero((bucket >= low) & (bucket < high))
-            order = order[np.argsort(key[order], kind="stable")]
-            bucket, key, place, rest, at = bucket[order], key[order], place[order], rest[order], at[order]
             many = size[at].astype(np.int64)
             wide = _is_wide(many, place, similarity)
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, int)
@@ -366,10 +415,11 @@ def _met(sets: DataFrame, known, bits: int, low: int, high: int, buckets: int, s
             yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "keys", "nums", "which", "sizes", "places", "rests", "wides"])
 
     def pairs(table):
-        key, num, size, place, rest = [], [], [], [], []
+        key, own, nums, size, place, rest = [], [], [], [], [], []
         for r in table.select(["keys", "nums", "which", "sizes", "places", "rests", "wides"]).to_pylist():
             key.append(np.cumsum(_from_planes(r["keys"]), dtype=np.uint32))
-            num.append(np.frombuffer(r["nums"], np.int64)[_from_planes(r["which"])])
+            own.append(_from_planes(r["which"]).astype(np.int64) + sum(map(len, nums)))
+            nums.append(np.frombuffer(r["nums"], np.int64))
             size.append(_from_planes(r["sizes"]).astype(np.int64))
             place.append(_from_planes(r["places"]).astype(np.int64))
             full = np.zeros((len(key[-1]), WORDS), np.uint64)
@@ -377,27 +427,29 @@ def _met(sets: DataFrame, known, bits: int, low: int, high: int, buckets: int, s
             full[~wide, 0] = np.frombuffer(r["rests"], np.uint64)
             full[wide] = np.frombuffer(r["wides"], np.uint64).reshape(-1, WORDS)
             rest.append(full)
-        key, num, size, place, rest = (np.concatenate(c) for c in (key, num, size, place, rest))
-        order = np.lexsort((num, size, key))
+        key, own, nums, size, place, rest = (np.concatenate(c) for c in (key, own, nums, size, place, rest))
+        names, first, rank = np.unique(nums, return_index=True, return_inverse=True)
         # Equal sets of several tasks are one posting.
-        order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (num[order][1:] != num[order][:-1])]] if len(order) else order
-        key, num, size, place, rest = key[order], num[order], size[order], place[order], rest[order]
+        keep = np.flatnonzero(first[rank[own]] == own)
+        order = keep[np.argsort((key[keep].astype(np.uint64) << np.uint64(32)) | size[keep].astype(np.uint64))]
+        key, num, size, place, rest = key[order], rank[own[order]], size[order], place[order], rest[order]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         run = np.diff(np.r_[begin, len(key)])
         run = np.repeat(run, run)
         hot = run > LONG_RUN
         short = (run > 1) & ~hot
         ids, many, at = num[short], size[short], place[short]
-        met = [np.zeros((0, 2), np.int64)]
+        met = [np.zeros(0, np.uint64)]
         for x, y in posting_pairs(key[short], many, at, rest[short], similarity):
-            met.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+            met.append((np.minimum(ids[x], ids[y]).astype(np.uint64) << np.uint64(32)) | np.maximum(ids[x], ids[y]).astype(np.uint64))
         met = np.concatenate(met)
-        met = met[np.lexsort((met[:, 1], met[:, 0]))]
-        met = met[np.r_[True, (met[1:] != met[:-1]).any(1)]] if len(met) else met
-        none = pa.nulls(len(met), pa.int64())
-        long = [num[hot], key[hot].astype(np.int64), size[hot], place[hot], *rest[hot].view(np.int64).T]
+        met.sort()
+        met = met[np.r_[True, met[1:] != met[:-1]]] if len(met) else met
+        met = names[(met >> np.uint64(32)).astype(np.int64)], names[(met & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        none = pa.nulls(len(met[0]), pa.int64())
+        long = [names[num[hot]], key[hot].astype(np.int64), size[hot], place[hot], *rest[hot].view(np.int64).T]
         columns = [pa.chunked_array([none, pa.array(np.ascontiguousarray(c))]) for c in long[1:]]
-        columns = [pa.chunked_array([pa.array(met[:, 0].copy()), pa.array(long[0])]), pa.chunked_array([pa.array(met[:, 1].copy()), pa.nulls(len(long[0]), pa.int64())]), *columns]
+        columns = [pa.chunked_array([pa.array(met[0]), pa.array(long[0])]), pa.chunked_array([pa.array(met[1]), pa.nulls(len(long[0]), pa.int64())]), *columns]
         return pa.Table.from_arrays(columns, ["a", "b", *HOT])
 
     packed = sets.mapInArrow(postings, "bucket int, keys binary, nums binary, which binary, sizes binary, places binary, rests binary, wides binary").repartition(high - low, "bucket")
@@ -449,7 +501,7 @@ def _verified(records: DataFrame, sets: DataFrame, candidates, rounds: int, simi
 
     def near(batches):
         for b in batches:
-            x, y = (np.stack([np.frombuffer(v, np.uint8) for v in b.column(i).to_pylist()]) if b.num_rows else np.zeros((0, 1), np.uint8) for i in (3, 5))
+            x, y = _sketches(b.column(3)), _sketches(b.column(5))
             sa, sb = b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             ok = (apart <= spare * (sa + sb) + 1e-9) & (np.minimum(sa, sb) >= similarity * np.maximum(sa, sb) - 1e-9)
@@ -461,17 +513,12 @@ def _verified(records: DataFrame, sets: DataFrame, candidates, rounds: int, simi
         right = sets.select(F.col("num").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ka", "sb", "kb").mapInArrow(near, "a bigint, b bigint")
 
-    def finer(batches):
-        for b in batches:
-            if b.num_rows:
-                own, sh, size = _loaded(b.column(1))
-                k = parity_sketch(own, sh, len(size), FINE_BITS)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.array([r.tobytes() for r in k], pa.binary())], ["num", "size", "sketch"])
-
     met = [Stored(sketched(some, narrow), "close") for some in candidates]
-    pairs = stored(functools.reduce(DataFrame.unionByName, (m.df for m in met)).dropDuplicates(["a", "b"]), "close")
-    for m in met:
-        m.drop()
+    pairs = met[0].df
+    if len(met) > 1:
+        pairs = stored(functools.reduce(DataFrame.unionByName, (m.df for m in met)).dropDuplicates(["a", "b"]), "close")
+        for m in met:
+            m.drop()
     _freed(spark)
     # Only sets that some pair needs are shuffled: the others fail a membership filter of at most 16 MB; where it is full, the joins alone drop them.
     nodes = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num")))
@@ -490,35 +537,42 @@ def _verified(records: DataFrame, sets: DataFrame, candidates, rounds: int, simi
             if m[a : a + block].any():
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([m[a : a + block].tobytes()])], ["at", "part"])
 
-    kind, fine = "at bigint, part binary", "num bigint, size int, sketch binary"
+    kind, fine = "at bigint, part binary", "num bigint, size int, sketch binary, shingles binary"
     member = spark.sparkContext.broadcast(_summed(nodes.mapInArrow(mark, kind), kind, (1 << bits) // 8, block))
 
     def needed(batches):
         m = member.value
         for b in batches:
             s = slot(b.column(0).to_numpy())
-            yield b.filter(pa.array(((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)))
+            b = b.filter(pa.array(((m[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)))
+            if b.num_rows:
+                own, sh, size = _loaded(b.column(1))
+                k = parity_sketch(own, sh, len(size), FINE_BITS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.array([r.tobytes() for r in k], pa.binary()), b.column(1)], ["num", "size", "sketch", "shingles"])
 
     def jaccard(batches):
         for b in batches:
+            (_, x, many), (_, y, most) = _loaded(b.column(2)), _loaded(b.column(3))
+            ends = zip(np.cumsum(many).tolist(), many.tolist(), np.cumsum(most).tolist(), most.tolist())
             keep, sim = [], []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j = both / (len(x) + len(y) - both)
+            for i, (u, n, v, m) in enumerate(ends):
+                z = np.concatenate((x[u - n : u], y[v - m : v]))
+                z.sort()
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
+                j = both / (n + m - both)
                 if j >= similarity - 1e-12:
                     keep.append(i)
                     sim.append(j)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    full = stored(sets.mapInArrow(needed, "num bigint, shingles binary").dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
+    full = stored(sets.mapInArrow(needed, fine).dropDuplicates(["num"]), "needed")  # written, so that AQE can split the joins at a hub
     # Few of the sets have many such pairs: a finer sketch of them goes before the sets themselves, and the pairs of one part of the sets before those of the next.
     out = []
     for i in range(rounds):
         _freed(spark)
         own = F.pmod(F.xxhash64("num"), F.lit(rounds)) == i
         some, mine = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i), full.where(own)
-        closer = Stored(sketched(some, full.mapInArrow(finer, fine), mine.mapInArrow(finer, fine)), "closer")
+        closer = Stored(sketched(some, full, mine), "closer")
         _freed(spark)
         left, right = mine.select(F.col("num").alias("a"), F.col("shingles").alias("x")), full.select(F.col("num").alias("b"), F.col("shingles").alias("y"))
         out.append(stored(closer.df.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a bigint, b bigint, similarity double"), "links"))

@@ -201,3 +201,41 @@ def test_sets_are_read_again_in_bounded_pieces(monkeypatch):
     got = list(nc._kept([b.slice(1), b.slice(6)]))
     assert [n.tolist() for _, n, *_ in got] == [[1, 2], [3], [4, 5]]
     assert all(np.array_equal(sh, np.concatenate([sets[i] for i in n])) and np.array_equal(own, np.repeat(np.arange(len(n)), size)) for _, n, _, own, sh, size in got)
+
+
+@pytest.mark.parametrize("held, long_run, closes", [(12, 20_000, {1}), (0, 20_000, {5}), (12, 5, {1, 3, 4, 5})])
+def test_pairs_of_all_rounds_are_checked_at_once_unless_they_are_many(spark, monkeypatch, held, long_run, closes):
+    from quillspan.core import workspace
+
+    monkeypatch.setattr(nc, "RECORDS_A_ROUND", 40)
+    monkeypatch.setattr(nc, "CANDIDATES_A_SET", held)
+    monkeypatch.setattr(nc, "LONG_RUN", long_run)
+    before = len(workspace._MADE.get(spark.sparkContext.applicationId, []))
+    rows = corpus() + [(3000 + i, t) for i, t in common()]
+    assert pairs(nc.near_copies(frame(spark, rows).repartition(3), shingle_words=3, similarity=0.5)) == brute(rows)
+    made = [t.path.rsplit("-", 1)[1] for t in workspace._MADE[spark.sparkContext.applicationId][before:]]
+    assert made.count("candidates") == nc.MOST_ROUNDS and made.count("close") in closes
+
+
+@pytest.mark.parametrize("similarity", [1e-10, 0.3, 0.5, 1.0])
+@pytest.mark.parametrize("piece", [1, 40, 10**6])
+def test_prefixes_by_range_are_those_of_the_definition(monkeypatch, similarity, piece):
+    monkeypatch.setattr(nc, "SHINGLES_A_SORT", piece)
+    rng = np.random.default_rng(5)
+    size = np.array([1, 7, 30, 2, 64])
+    sets = [np.unique(rng.integers(0, 2**32, n, dtype=np.uint32)) for n in size]
+    own, sh, level = np.repeat(np.arange(len(size)), size), np.concatenate(sets), rng.integers(0, 3, size.sum()).astype(np.uint8)
+    want = []
+    for r in range(len(size)):
+        order = sorted(zip(level[own == r].tolist(), sh[own == r].tolist()))
+        for place, (common, s) in enumerate(order[: int(size[r] - np.ceil(similarity * size[r] - 1e-9)) + 1]):
+            rest = [0] * nc.WORDS
+            for _, o in order[place + 1 :]:
+                h = int(nc._mix(np.array([o + 47], np.uint64))[0])
+                rest[h % 2**32 % nc.WORDS] ^= 1 << (h >> 58)
+            want += [(r, s, place, *rest)] * bool(common)
+    cuts = [0, 1 << 30, 3 << 30, 1 << 32]
+    got = [nc.prefixes(own, sh, size, level, similarity, a, b) for a, b in zip(cuts, cuts[1:])]
+    assert all(((a <= g[1]) & (g[1] < b)).all() for g, a, b in zip(got, cuts, cuts[1:]))
+    rows = [(r, s, p, *w) for g in got for r, s, p, w in zip(g[0].tolist(), g[1].tolist(), g[2].tolist(), g[3].tolist())]
+    assert sorted(rows) == sorted(want) and [x.tolist() for x in nc.prefixes(own, sh, size, level, similarity)][:3] == [list(c) for c in list(zip(*want))[:3]]
